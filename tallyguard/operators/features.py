@@ -329,6 +329,33 @@ def add_features(
     return history.select(*[F.col("p")[c].alias(c) for c in events.columns], features.alias("features"))
 
 
+def account_context(
+    events: DataFrame, windows: FeatureWindows = FeatureWindows(), chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """What is known of the account before each event: totals, last event, novelty, windows."""
+    history = _with_history(_layout(events, windows, chunk_rows))
+    p, last = F.col("p"), F.col("h_last")
+    return history.select(
+        p["event_id"].alias("event_id"),
+        p["event_seq"].alias("event_seq"),
+        p["account_id"].alias("account_id"),
+        F.col("h_count").cast("bigint").alias("rolling_count"),
+        F.col("h_sum").cast("double").alias("rolling_sum"),
+        F.col("h_long").cast("bigint").alias("recent_count"),
+        F.col("h_spend").cast("double").alias("recent_sum"),
+        F.col("h_fails").cast("bigint").alias("recent_failed_auth_count"),
+        (F.col("h_device") > 0).alias("known_device"),
+        (F.col("h_merchant") > 0).alias("known_merchant"),
+        F.col("h_merchant").cast("bigint").alias("account_merchant_count"),
+        F.timestamp_micros(last["us"]).alias("last_time"),
+        last["latitude"].alias("last_latitude"),
+        last["longitude"].alias("last_longitude"),
+        last["country"].alias("last_country"),
+        F.timestamp_micros("h_first").alias("first_seen"),
+        p["__high_risk"].alias("high_risk_merchant"),
+    )
+
+
 def trailing_counts_by_range(events: DataFrame, windows: FeatureWindows = FeatureWindows()) -> DataFrame:
     """The window counts in the plain RANGE form, for comparison with the expiry form.
 

@@ -114,3 +114,95 @@ def feature_column(name: str) -> str:
 
 
 FEATURE_LIST = ", ".join(f"round({feature_column(f)}, 6) AS {f}" for f in FEATURES)
+
+
+def uuid_sql(text: str) -> str:
+    digest = f"sha256({text})"
+    parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    return " || '-' || ".join(f"substr({digest}, {a}, {n})" for a, n in parts)
+
+
+# Rules, weights and reasons, written out as SQL conditions.
+RULES = [
+    ("impossible_travel", "critical", 0.32, "geo_distance_from_last_tx_km >= 500 AND time_since_last_tx_sec <= 3600"),
+    ("very_high_velocity", "high", 0.20, "tx_count_5m >= 5"),
+    ("repeated_small_amount_card_testing", "high", 0.24, "tx_count_5m >= 4 AND amount <= 15"),
+    ("high_amount_on_new_device", "high", 0.22, "device_new_for_account <> 0 AND amount >= 1500"),
+    ("blacklist_hit", "critical", 0.28, "high_risk_merchant_flag >= 1"),
+    ("risky_geo_combo", "medium", 0.14, "international_mismatch <> 0 AND night_tx_flag <> 0"),
+]
+WEIGHTS = {"low": 0.04, "medium": 0.08, "high": 0.14, "critical": 0.22}
+REASONS = [
+    ("velocity_spike", "tx_count_5m >= 4"),
+    ("geo_jump", "geo_distance_from_last_tx_km >= 500"),
+    ("new_device", "device_new_for_account >= 1"),
+    ("amount_spike", "amount_vs_recent_avg_ratio >= 3"),
+    ("high_risk_merchant", "high_risk_merchant_flag >= 1"),
+    ("auth_failures", "failed_auth_count_recent >= 1"),
+]
+
+
+def scored_cte(intercept: float, weights: dict[str, float], source: str = "feats") -> str:
+    flags = ", ".join(f"({cond}) AS r{i}" for i, (_, _, _, cond) in enumerate(RULES))
+    total = " + ".join(
+        f"CASE WHEN r{i} THEN {WEIGHTS[sev]!r}e0 + {delta!r}e0 * 0.25e0 ELSE 0e0 END"
+        for i, (_, sev, delta, _) in enumerate(RULES)
+    )
+    z = f"({intercept!r}e0)" + "".join(
+        f" + {feature_column(name)} * ({w:.10f}e0)" for name, w in weights.items()
+    )
+    critical = " OR ".join(f"r{i}" for i, r in enumerate(RULES) if r[1] == "critical")
+    high = " OR ".join(f"r{i}" for i, r in enumerate(RULES) if r[1] == "high")
+    names = ", ".join(f"CASE WHEN r{i} THEN '{r[0]}' END" for i, r in enumerate(RULES))
+    codes = ", ".join(
+        [f"CASE WHEN r{i} THEN 'rule:{r[0]}' END" for i, r in enumerate(RULES)]
+        + [f"CASE WHEN {cond} THEN '{code}' END" for code, cond in REASONS]
+    )
+    return f"""
+flagged AS (SELECT *, {flags} FROM {source}),
+rated AS (SELECT *, 1e0 / (1e0 + exp(-({z}))) AS model_probability, {total} AS rule_weight FROM flagged),
+judged AS (SELECT *, least(1e0, model_probability * 0.78e0 + least(rule_weight, 0.35e0)) AS final_score FROM rated),
+scored AS (SELECT *,
+    CASE WHEN ({critical}) OR final_score >= 0.82e0 THEN 'BLOCK'
+         WHEN final_score >= 0.55e0 OR ({high}) THEN 'REVIEW' ELSE 'APPROVE' END AS decision,
+    list_filter([{names}], x -> x IS NOT NULL) AS rule_ids,
+    list_filter([{codes}], x -> x IS NOT NULL)[1:8] AS codes,
+    {uuid_sql("'case:' || event_id")} AS case_id
+  FROM judged)"""
+
+
+FEEDBACK = f"""
+fb0 AS (
+  SELECT case_id, transaction_id, event_id, event_seq, t,
+    CASE event_seq % 4 WHEN 0 THEN 'fraud' WHEN 1 THEN 'false_positive' WHEN 2 THEN 'legitimate' ELSE 'review' END AS first_label
+  FROM scored WHERE event_seq % 5 = 0),
+fb1 AS (
+  SELECT *, first_label AS feedback_label, t + 60 AS created, 1 AS turn FROM fb0
+  UNION ALL
+  SELECT *, CASE WHEN first_label = 'fraud' THEN 'legitimate' ELSE 'fraud' END, t + 120, 2 FROM fb0 WHERE event_seq % 15 = 0),
+feedback AS (
+  SELECT {uuid_sql("'feedback:' || event_id || ':' || turn")} AS feedback_id, case_id, transaction_id, event_id,
+    'analyst_' || (event_seq % 3) AS analyst_id, feedback_label, created
+  FROM fb1),
+cases AS (
+  SELECT s.case_id, s.transaction_id, s.event_id, s.event_seq, s.account_id, s.merchant_id, s.decision, s.t, s.final_score,
+    s.simulation_scenario, s.rule_ids, s.amount, s.country, s.channel,
+    CASE WHEN f.feedback_label IS NULL OR f.feedback_label = 'review' THEN 'open' ELSE 'closed' END AS status
+  FROM scored s LEFT JOIN (
+    SELECT case_id, feedback_label FROM feedback
+    QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY created DESC, feedback_id DESC) = 1) f USING (case_id))"""
+
+# Messages that decode and pass the checks, and the stage and text of those that do not.
+MESSAGES = """
+messages AS (
+  SELECT *,
+    CASE WHEN event_seq % 97 = 0 OR event_seq % 89 = 0 OR event_seq % 83 = 0 OR event_seq % 79 = 0 THEN 'validation'
+         WHEN event_seq % 73 = 0 OR event_seq % 71 = 0 THEN 'processing' ELSE 'good' END AS route,
+    CASE WHEN event_seq % 97 = 0 THEN 'message: must be a JSON object'
+         WHEN event_seq % 89 = 0 THEN 'country: field required'
+         WHEN event_seq % 83 = 0 THEN 'unknown fields: unexpected'
+         WHEN event_seq % 79 = 0 THEN 'channel: must be one of pos, ecommerce, upi, wallet, transfer'
+         WHEN event_seq % 73 = 0 THEN 'amount must be positive'
+         WHEN event_seq % 71 = 0 THEN 'prior_auth_failures cannot be negative' ELSE '' END AS error_message
+  FROM tx),
+valid_tx AS (SELECT * EXCLUDE (route, error_message) FROM messages WHERE route = 'good')"""
