@@ -33,13 +33,13 @@ def sliding(
     combine: dict[str, Column],
     step_seconds: int = STEP_SECONDS,
 ) -> DataFrame:
-    """Aggregates over [end - window, end) for each step end ``at`` that has any event."""
+    """Aggregates over [end - window, end) for each step end ``tick`` that has any event."""
     steps = window_seconds // step_seconds
     per_step = events.groupBy(
         *labels, F.floor(us / (step_seconds * 1_000_000)).cast("bigint").alias("__step")
     ).agg(*[expr.alias(name) for name, expr in partial.items()])
     spread = per_step.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("__ahead"))
-    at = ((F.col("__step") + F.col("__ahead")) * step_seconds).alias("at")
+    at = ((F.col("__step") + F.col("__ahead")) * step_seconds).alias("tick")
     return spread.groupBy(*labels, at).agg(*[expr.alias(name) for name, expr in combine.items()])
 
 
@@ -52,7 +52,7 @@ def rate(
 ) -> DataFrame:
     """Events per second over the trailing window."""
     counts = increase(events, us, labels, window_seconds, step_seconds)
-    return counts.select(*(labels or []), "at", (F.col("increase") / float(window_seconds)).alias("rate"))
+    return counts.select(*(labels or []), "tick", (F.col("increase") / float(window_seconds)).alias("rate"))
 
 
 def increase(
@@ -76,11 +76,11 @@ def increase(
 
 def error_ratio(errors: DataFrame, total: DataFrame) -> DataFrame:
     """Error rate over total rate, the total taken as at least 1 per second."""
-    joined = total.select("at", F.col("rate").alias("total_rate")).join(
-        errors.select("at", F.col("rate").alias("error_rate")), "at", "left"
+    joined = total.select("tick", F.col("rate").alias("total_rate")).join(
+        errors.select("tick", F.col("rate").alias("error_rate")), "tick", "left"
     )
     bad = F.coalesce("error_rate", F.lit(0.0))
-    return joined.select("at", (bad / F.greatest("total_rate", F.lit(1.0))).alias("value"))
+    return joined.select("tick", (bad / F.greatest("total_rate", F.lit(1.0))).alias("value"))
 
 
 def histogram_quantile(
@@ -105,12 +105,12 @@ def histogram_quantile(
         {"n": F.sum("n")},
         step_seconds,
     )
-    group = Window.partitionBy(*labels, "at")
+    group = Window.partitionBy(*labels, "tick")
     ordered = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumns(
         {"upto": F.sum("n").over(ordered), "rank": F.sum("n").over(group) * F.lit(quantile)}
     )
-    holder = ranked.where(F.col("upto") >= F.col("rank")).groupBy(*labels, "at").agg(
+    holder = ranked.where(F.col("upto") >= F.col("rank")).groupBy(*labels, "tick").agg(
         F.min(F.struct("__bucket", "n", "upto", "rank")).alias("b")
     )
     b = F.col("b")
@@ -121,7 +121,7 @@ def histogram_quantile(
     estimate = F.when(index == len(LATENCY_BOUNDS), F.lit(LATENCY_BOUNDS[-1])).otherwise(
         low + (high - low) * inside
     )
-    return holder.select(*labels, "at", estimate.alias("value"))
+    return holder.select(*labels, "tick", estimate.alias("value"))
 
 
 def exact_quantile(
@@ -129,8 +129,8 @@ def exact_quantile(
 ) -> DataFrame:
     """Exact quantile per tumbling step, from counts per distinct value."""
     at = ((F.floor(us / (step_seconds * 1_000_000)) + 1) * step_seconds).cast("bigint")
-    counts = events.groupBy(at.alias("at"), value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("at").agg(F.percentile("v", quantile, "n").alias("value"))
+    counts = events.groupBy(at.alias("tick"), value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("tick").agg(F.percentile("v", quantile, F.col("n")).alias("value"))
 
 
 def max_over_time(
@@ -151,21 +151,21 @@ def alert_states(
     """State of an alert at each evaluation step: inactive, pending or firing.
 
     The condition must hold at consecutive steps for ``hold_seconds``; a step without data
-    counts as fine and ends the run. ``series`` has one row per step (``at``, ``value``).
+    counts as fine and ends the run. ``series`` has one row per step (``tick``, ``value``).
     """
-    judged = series.select("at", "value", (F.col("value") > limit).alias("over"))
-    order = Window.partitionBy("alert").orderBy("at")
+    judged = series.select("tick", "value", (F.col("value") > limit).alias("over"))
+    order = Window.partitionBy("alert").orderBy("tick")
     named = judged.withColumn("alert", F.lit(name))
     over = named.where("over")
     started = F.when(
-        F.coalesce(F.lag("at").over(order) == F.col("at") - step_seconds, F.lit(False)), F.lit(None)
-    ).otherwise(F.col("at"))
+        F.coalesce(F.lag("tick").over(order) == F.col("tick") - step_seconds, F.lit(False)), F.lit(None)
+    ).otherwise(F.col("tick"))
     runs = over.withColumn("started", started).withColumn(
         "started", F.last("started", ignorenulls=True).over(order)
     )
-    state = F.when(F.col("at") - F.col("started") >= hold_seconds, "firing").otherwise("pending")
-    active = runs.select("alert", "at", "value", state.alias("state"))
-    calm = named.where("NOT over").select("alert", "at", "value", F.lit("inactive").alias("state"))
+    state = F.when(F.col("tick") - F.col("started") >= hold_seconds, "firing").otherwise("pending")
+    active = runs.select("alert", "tick", "value", state.alias("state"))
+    calm = named.where("NOT over").select("alert", "tick", "value", F.lit("inactive").alias("state"))
     return active.unionByName(calm)
 
 

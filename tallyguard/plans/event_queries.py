@@ -380,7 +380,8 @@ def _feature_frame_split_accounts(spark, sf_dir):
 
 @query(
     "trailing_counts_by_range",
-    f"{WITH_FEATURES} SELECT event_seq, n_short, n_medium, n_long FROM feats",
+    f"""{WITH_FEATURES} SELECT event_seq, CAST(n_short AS BIGINT) AS n_short, CAST(n_medium AS BIGINT) AS n_medium,
+    CAST(n_long AS BIGINT) AS n_long FROM feats""",
 )
 def _trailing_counts_by_range(spark, sf_dir):
     tx = load_transactions(spark, sf_dir).select("event_seq", "event_time", "account_id")

@@ -165,8 +165,8 @@ judged AS (SELECT *, least(1e0, model_probability * 0.78e0 + least(rule_weight,
 scored AS (SELECT *,
     CASE WHEN ({critical}) OR final_score >= 0.82e0 THEN 'BLOCK'
          WHEN final_score >= 0.55e0 OR ({high}) THEN 'REVIEW' ELSE 'APPROVE' END AS decision,
-    list_filter([{names}], x -> x IS NOT NULL) AS rule_ids,
-    list_filter([{codes}], x -> x IS NOT NULL)[1:8] AS codes,
+    CASE WHEN concat_ws(',', {names}) = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(concat_ws(',', {names}), ',') END AS rule_ids,
+    CASE WHEN concat_ws(',', {codes}) = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(concat_ws(',', {codes}), ',')[1:8] END AS codes,
     {uuid_sql("'case:' || event_id")} AS case_id
   FROM judged)"""
 
