@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tallyguard.plans import case_queries, event_queries, metric_queries, model_queries  # noqa: F401
+from tallyguard.plans import (  # noqa: F401
+    case_queries,
+    event_queries,
+    metric_queries,
+    model_queries,
+    stream_queries,
+)
 from tallyguard.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
