@@ -28,10 +28,11 @@ def with_case_status(decisions: DataFrame, feedback: DataFrame) -> DataFrame:
     """Decisions with the status their latest feedback left them in.
 
     A case starts open. Feedback closes it, unless the label asks for another review. Feedback
-    is append-only, so the status is derived instead of updated in place.
+    is append-only, so the status is derived instead of updated in place. Case ids are unique
+    on both sides, so the join cannot be skewed.
     """
     latest = latest_feedback(feedback, "case_id").select("case_id", "feedback_label")
-    joined = lookup(decisions, latest, ["case_id"], "case_id")
+    joined = decisions.join(latest, "case_id", "left")
     status = (
         F.when(F.col("feedback_label").isNull(), F.col("case_status"))
         .when(F.col("feedback_label") == "review", F.lit("open"))
@@ -95,7 +96,10 @@ def list_cases(
 
 
 def with_case_context(cases: DataFrame, latest_scored: DataFrame, latest_raw: DataFrame) -> DataFrame:
-    """Cases left joined to the latest score and raw row of their transaction."""
+    """Cases left joined to the latest score and raw row of their transaction.
+
+    Several cases may share a transaction; ``lookup`` spreads one that has very many.
+    """
     score_side = latest_scored.select(
         "transaction_id", "score", "scenario", "rule_hits", "account_id", "merchant_id"
     )
@@ -105,7 +109,8 @@ def with_case_context(cases: DataFrame, latest_scored: DataFrame, latest_raw: Da
         F.col("payload")["country"].alias("country"),
         F.col("payload")["channel"].alias("channel"),
     )
-    joined = cases.join(score_side, "transaction_id", "left").join(raw_side, "transaction_id", "left")
+    joined = lookup(cases, score_side, ["transaction_id"], "case_id")
+    joined = lookup(joined, raw_side, ["transaction_id"], "case_id")
     empty = F.array().cast(latest_scored.schema["rule_hits"].dataType)
     return joined.select(
         "case_id",
@@ -199,14 +204,14 @@ def case_timelines(
             ["transaction_id"],
             order,
         )
-    received = cases.join(latest_raw, "transaction_id").select(
+    received = lookup(cases, latest_raw, ["transaction_id"], "case_id", how="inner").select(
         "case_id",
         F.lit("ingested").alias("type"),
         F.lit(0).alias("step"),
         F.col("event_time").alias("timestamp"),
         F.lit("Transaction received").alias("detail"),
     )
-    rated = cases.join(latest_scored, "transaction_id").select(
+    rated = lookup(cases, latest_scored, ["transaction_id"], "case_id", how="inner").select(
         "case_id",
         F.lit("scored").alias("type"),
         F.lit(1).alias("step"),

@@ -19,16 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyguard.functions.scalars import haversine_km, seconds_between, utc_hour
-from tallyguard.operators.skew import (
-    CHUNK,
-    CHUNK_ROWS,
-    WIDTH,
-    chunk_of,
-    fill_missing,
-    heavy_keys,
-    lookup,
-    with_width,
-)
+from tallyguard.operators.skew import CHUNK, CHUNK_ROWS, HEAVY, fill_missing, find_chunks, lookup
 from tallyguard.schemas import (
     CHANNELS,
     FEATURES,
@@ -165,26 +156,21 @@ def _narrow(events: DataFrame) -> DataFrame:
 
 def _layout(events: DataFrame, windows: FeatureWindows, chunk_rows: int) -> DataFrame:
     """Arrival, expiry and carry rows with their (key, chunk)."""
-    packed = _narrow(add_merchant_risk(events))
-    heavy = heavy_keys(_narrow(events), ["__key"], "__us", chunk_rows)
-    chunk = chunk_of(F.col("us"), F.col(WIDTH)).alias(CHUNK)
+    narrow = _narrow(events)
+    leaves = tuple(w * MICROS + 1 for w in (windows.short, windows.medium, windows.long))
+    chunks = find_chunks(narrow, ["__key"], "__us", chunk_rows, offsets=(0, *leaves))
+    entries = _narrow(add_merchant_risk(events)).select(
+        "__key", "__seq", F.inline(_steps(windows, payload=True))
+    )
     rows = (
-        with_width(packed, heavy, ["__key"])
-        .select("__key", "__seq", WIDTH, F.inline(_steps(windows, payload=True)))
-        .select("*", chunk)
-        .drop(WIDTH)
+        chunks.assign(entries, "us")
+        .drop(HEAVY)
         .withColumns({"device_n": F.lit(1), "merchant_n": F.lit(1)})
     )
-    if heavy is None:
+    if not chunks.any:
         return rows
-    narrow = (
-        _narrow(events)
-        .join(F.broadcast(heavy), ["__key"])
-        .select("__key", "__seq", WIDTH, F.inline(_steps(windows, payload=False)))
-        .select("*", chunk)
-        .drop(WIDTH)
-    )
-    for carry in _carry_rows(narrow):
+    slim = narrow.select("__key", "__seq", F.inline(_steps(windows, payload=False)))
+    for carry in _carry_rows(chunks.assign(slim, "us").where(HEAVY).drop(HEAVY)):
         rows = rows.unionByName(fill_missing(carry, rows, {"kind": F.lit(CARRY)}))
     return rows
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyguard.operators.skew import keyed_running, lookup
+
 STEP_SECONDS = 60
 
 # Upper bounds of latency histogram buckets in seconds (the last bucket is open).
@@ -127,10 +129,30 @@ def histogram_quantile(
 def exact_quantile(
     events: DataFrame, us: Column, value: Column, quantile: float = 0.95, step_seconds: int = 300
 ) -> DataFrame:
-    """Exact quantile per tumbling step, from counts per distinct value."""
-    at = ((F.floor(us / (step_seconds * 1_000_000)) + 1) * step_seconds).cast("bigint")
-    counts = events.groupBy(at.alias("tick"), value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("tick").agg(F.percentile("v", quantile, F.col("n")).alias("value"))
+    """Exact quantile per tumbling step, interpolated between the two rows around it.
+
+    Values are counted per step and ranked with running counts, which split a step that holds
+    very many distinct values over several tasks.
+    """
+    tick = ((F.floor(us / (step_seconds * 1_000_000)) + 1) * step_seconds).cast("bigint")
+    counts = (
+        events.groupBy(tick.alias("tick"), value.alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("v_micros", F.floor(F.col("v") * 1_000_000).cast("bigint"))
+    )
+    ranked = keyed_running(counts, ["tick"], "v_micros", "v", {"before": F.col("n")})
+    totals = counts.groupBy("tick").agg(F.sum("n").alias("rows"))
+    sized = lookup(ranked, totals, ["tick"], "v")
+    place = (F.col("rows") - 1) * F.lit(quantile)
+
+    def at(position: Column) -> Column:
+        holds = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
+        return F.max(F.when(holds, F.col("v")))
+
+    around = sized.groupBy("tick").agg(
+        at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part")
+    )
+    return around.select("tick", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value"))
 
 
 def max_over_time(

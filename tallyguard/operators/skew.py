@@ -1,65 +1,109 @@
 """Helpers that keep one heavy key from becoming one heavy task.
 
-* ``heavy_keys`` / ``with_chunk``: a key with many rows is cut into time chunks. Everything
-  that runs per key then runs per (key, chunk), and what a chunk needs to know about the
-  chunks before it arrives as small pre-aggregated carry rows.
+* ``find_chunks``: keys with many rows are cut into time chunks. Everything that runs per key
+  then runs per (key, chunk), and what a chunk needs to know about the chunks before it
+  arrives as small pre-aggregated carry rows.
 * ``keyed_running``: running sums per key in time order built on those chunks.
 * ``value_prefix``: running sums over a value order without a single-task sort.
 * ``lookup``: left join to a unique-key table; broadcast only after its size was counted,
-  salted otherwise.
+  else a shuffled join in which heavy keys are salted.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
 CHUNK_SHARE = 50_000
-SLOT_US = 3_600_000_000
-MIN_CHUNK_US = 1_000
+HOT_ROWS = 2_000_000
+HOT_SHARE = 10_000
 BROADCAST_ROWS = 200_000
 SALTS = 32
 
+MAX_LEVELS = 8
+
 CHUNK = "__chunk"
-WIDTH = "__width"
+HEAVY = "__heavy"
 
 
-def heavy_keys(
-    df: DataFrame, keys: list[str], us: str, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame | None:
-    """Keys with more than ``chunk_rows`` rows and their chunk width in microseconds, or None.
+@dataclass(frozen=True)
+class Chunks:
+    """How heavy keys are cut: even time slots per key, crowded slots again into even slots.
+
+    ``levels`` hold (keys, chunk path so far, start, width). Each is bounded by construction: a
+    heavy key holds more than 1/50,000 of all rows and a crowded slot twice as much, so a level
+    has fewer than 50,000 rows per row offset. They are safe to broadcast.
+    """
 
-    The width follows the busiest hour of the key, so a burst is cut finer. A key must also
-    hold more than 1/50,000 of all rows when the table is large, which bounds the result to
-    50,000 rows whatever the data: it is safe to collect and to broadcast. The aggregate reads
-    the key and time columns only; where it finds no heavy key, plans need no carry rows.
+    keys: list[str]
+    levels: tuple[DataFrame, ...] = ()
+
+    @property
+    def any(self) -> bool:
+        return bool(self.levels)
+
+    def assign(self, df: DataFrame, us: str) -> DataFrame:
+        """Adds ``__chunk``, a path of slot numbers that sorts in time order, and ``__heavy``."""
+        placed = df.withColumn(CHUNK, F.array().cast("array<bigint>"))
+        for level in self.levels:
+            slot = F.floor((F.col(us) - F.col("__from")) / F.col("__width")).cast("bigint")
+            deeper = F.when(F.col("__from").isNull(), F.col(CHUNK)).otherwise(F.concat(CHUNK, F.array(slot)))
+            placed = (
+                placed.join(F.broadcast(level), [*self.keys, CHUNK], "left")
+                .withColumn(CHUNK, deeper)
+                .drop("__from", "__width")
+            )
+        return placed.withColumn(HEAVY, F.size(CHUNK) > 0)
+
+
+def find_chunks(
+    df: DataFrame, keys: list[str], us: str, chunk_rows: int = CHUNK_ROWS, offsets: tuple[int, ...] = (0,)
+) -> Chunks:
+    """Looks for heavy keys and decides how to cut them.
+
+    One aggregate over the key and time columns finds them. Only if there are any, further
+    ones over their rows find slots that are still crowded, until none is. Rows of one key at
+    one instant stay together. ``offsets`` are the distances, in microseconds, at which a row
+    has entries of its own (its expiries), which crowd slots too.
     """
-    slots = df.groupBy(*keys, F.floor(F.col(us) / SLOT_US).alias("__slot")).agg(
-        F.count(F.lit(1)).alias("__n")
+    load = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__rows"), F.min(us).alias("__from"), F.max(us).alias("__to")
     )
-    load = slots.groupBy(*keys).agg(F.sum("__n").alias("__rows"), F.max("__n").alias("__peak"))
-    many = load.where(F.col("__rows") > chunk_rows)
-    found = many.select(*keys, "__rows", "__peak")
+    found = load.where(F.col("__rows") > chunk_rows)
     if found.isEmpty():
-        return None
-    total = df.count()
-    target = max(chunk_rows, total // CHUNK_SHARE)
-    width = F.greatest(
-        F.lit(MIN_CHUNK_US), F.floor(F.lit(float(SLOT_US)) * target / F.col("__peak"))
-    ).cast("bigint")
-    listed = found.where(F.col("__rows") > target).select(*keys, width.alias(WIDTH))
-    return df.sparkSession.createDataFrame(listed.collect(), listed.schema)
-
-
-def chunk_of(us: Column, width: Column) -> Column:
-    return F.when(width.isNull(), F.lit(0).cast("bigint")).otherwise(F.floor(us / width).cast("bigint"))
+        return Chunks(keys)
+    target = max(chunk_rows, df.count() // CHUNK_SHARE)
+    path = F.array().cast("array<bigint>").alias(CHUNK)
+    first = found.where(F.col("__rows") > target).select(
+        *keys, path, "__rows", "__from", (F.col("__to") + max(offsets)).alias("__to")
+    )
+    chunks = Chunks(keys)
+    entries = None
+    for _ in range(MAX_LEVELS):
+        width = F.ceil((F.col("__to") - F.col("__from") + 1) * target / F.col("__rows"))
+        level = _as_literal(
+            first.select(*keys, CHUNK, "__from", F.greatest(F.lit(1), width).cast("bigint").alias("__width"))
+        )
+        if level is None:
+            break
+        chunks = Chunks(keys, (*chunks.levels, level))
+        if entries is None:
+            spread = F.explode(F.array(*[F.col(us) + o for o in offsets])).alias("__us")
+            entries = df.select(*keys, spread).join(F.broadcast(level.select(*keys)), keys, "left_semi")
+        crowd = chunks.assign(entries, "__us").groupBy(*keys, CHUNK).agg(
+            F.count(F.lit(1)).alias("__rows"), F.min("__us").alias("__from"), F.max("__us").alias("__to")
+        )
+        first = crowd.where((F.col("__rows") > 2 * target) & (F.col("__to") > F.col("__from")))
+    return chunks
 
 
-def with_width(df: DataFrame, heavy: DataFrame | None, keys: list[str]) -> DataFrame:
-    if heavy is None:
-        return df.withColumn(WIDTH, F.lit(None).cast("bigint"))
-    return df.join(F.broadcast(heavy), keys, "left")
+def _as_literal(df: DataFrame) -> DataFrame | None:
+    """A bounded table as local rows, so that all branches of a plan see the same one."""
+    rows = df.collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows else None
 
 
 def keyed_running(
@@ -71,10 +115,8 @@ def keyed_running(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds, per measure, its sum over the earlier rows of the same key (0 on the first row)."""
-    heavy = heavy_keys(df, keys, us, chunk_rows)
-    rows = with_width(df, heavy, keys).withColumns(
-        {CHUNK: chunk_of(F.col(us), F.col(WIDTH)), **{f"__{m}": e for m, e in measures.items()}}
-    )
+    chunks = find_chunks(df, keys, us, chunk_rows)
+    rows = chunks.assign(df, us).withColumns({f"__{m}": e for m, e in measures.items()})
     payload = [c for c in df.columns if c not in keys]
     packed = rows.select(
         *keys,
@@ -85,12 +127,8 @@ def keyed_running(
         *[f"__{m}" for m in measures],
         F.struct(*payload).alias("__p"),
     )
-    if heavy is not None:
-        totals = (
-            rows.where(F.col(WIDTH).isNotNull())
-            .groupBy(*keys, CHUNK)
-            .agg(*[F.sum(f"__{m}").alias(f"__{m}") for m in measures])
-        )
+    if chunks.any:
+        totals = rows.where(HEAVY).groupBy(*keys, CHUNK).agg(*[F.sum(f"__{m}").alias(f"__{m}") for m in measures])
         before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         carried = {f"__{m}": F.coalesce(F.sum(f"__{m}").over(before), F.lit(0)) for m in measures}
         carry = totals.select(*keys, CHUNK, *[e.alias(n) for n, e in carried.items()])
@@ -182,15 +220,31 @@ def lookup(
     salt_from: str,
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join to a table with unique keys. ``how`` is left, left_semi, left_anti or inner.
 
-    The table is counted first (at most ``broadcast_rows + 1`` rows are looked at). Only
-    below the limit is it broadcast; beyond it the keys are salted on both sides, so a key
-    that holds a large share of ``df`` is spread over many tasks.
+    The table is counted first (at most ``broadcast_rows + 1`` rows are looked at). Only below
+    the limit is it broadcast. Beyond it both sides are shuffled; keys that hold very many rows
+    of ``df`` are then spread over 32 salts, and only their table rows are copied.
     """
     if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return df.join(F.broadcast(table), on, how)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(salt_from), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = hot_keys(df, on, hot_rows)
+    if hot is None:
+        return df.join(table, on, how)
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_from), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salted = df.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__hot")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = table.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with very many rows, at most 10,000 of them, or None."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
+    found = counts.where(F.col("__rows") > hot_rows)
+    if found.isEmpty():
+        return None
+    least = max(hot_rows, df.count() // HOT_SHARE)
+    return _as_literal(found.where(F.col("__rows") > least).select(*on, F.lit(True).alias("__hot")))

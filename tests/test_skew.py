@@ -4,16 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyguard.operators.skew import (
-    CHUNK,
-    WIDTH,
-    chunk_of,
-    heavy_keys,
-    keyed_running,
-    lookup,
-    value_prefix,
-    with_width,
-)
+from tallyguard.operators.skew import CHUNK, find_chunks, keyed_running, lookup, value_prefix
 
 
 def skewed(spark, n=3000):
@@ -26,14 +17,29 @@ def skewed(spark, n=3000):
     return rows, spark.createDataFrame(rows, "key string, us long, seq long, n long")
 
 
+def largest_chunk(df, chunks):
+    return chunks.assign(df, "us").groupBy("key", CHUNK).count().agg(F.max("count")).first()[0]
+
+
 def test_heavy_key_is_cut_into_small_chunks(spark):
     rows, df = skewed(spark)
-    heavy = heavy_keys(df, ["key"], "us", 100)
-    assert [r["key"] for r in heavy.collect()] == ["hot"]
-    chunked = with_width(df, heavy, ["key"]).withColumn(CHUNK, chunk_of(F.col("us"), F.col(WIDTH)))
-    largest = chunked.groupBy("key", CHUNK).count().agg(F.max("count")).first()[0]
-    assert largest <= 200
-    assert heavy_keys(df, ["key"], "us", 5000) is None
+    chunks = find_chunks(df, ["key"], "us", 100)
+    assert [r["key"] for r in chunks.levels[0].collect()] == ["hot"]
+    assert largest_chunk(df, chunks) <= 200
+    assert not find_chunks(df, ["key"], "us", 5000).any
+
+
+def test_burst_of_a_heavy_key_is_cut_finer(spark):
+    """Most rows of the key fall into one second of a year; the rest is spread out."""
+    year = 365 * 86_400 * 1_000_000
+    rows = [("hot", year // 2 + i * 300, i, 1) for i in range(3000)] + [("hot", i * (year // 50), 9000 + i, 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, us long, seq long, n long")
+    chunks = find_chunks(df, ["key"], "us", 100)
+    assert len(chunks.levels) > 1
+    assert largest_chunk(df, chunks) <= 200
+    assert chunks.assign(df, "us").select(CHUNK).distinct().count() < 120
+    got = {r["seq"]: r["before"] for r in keyed_running(df, ["key"], "us", "seq", {"before": F.col("n")}, 100).collect()}
+    assert [got[r[2]] for r in sorted(rows, key=lambda r: r[1:3])] == list(range(len(rows)))
 
 
 def test_keyed_running_matches_brute_force(spark):
@@ -64,6 +70,10 @@ def test_lookup_gives_the_same_rows_broadcast_or_salted(spark):
     table = df.groupBy("key").agg(F.min("seq").alias("first")).where("key <> 'k7'")
     for how in ("left", "inner", "left_semi", "left_anti"):
         small = lookup(df, table, ["key"], "seq", how)
-        large = lookup(df, table, ["key"], "seq", how, broadcast_rows=10)
+        plain = lookup(df, table, ["key"], "seq", how, broadcast_rows=10)
+        salted = lookup(df, table, ["key"], "seq", how, broadcast_rows=10, hot_rows=500)
         assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-        assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
+        assert "__salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+        expected = sorted(map(tuple, small.collect()), key=str)
+        assert expected == sorted(map(tuple, plain.collect()), key=str)
+        assert expected == sorted(map(tuple, salted.collect()), key=str)
