@@ -94,7 +94,7 @@ def _decisions(spark, sf_dir):
 @query("decisions_from_messages", f"{WITH_VALID_SCORES} {DECISION_SQL}")
 def _decisions_from_messages(spark, sf_dir):
     messages = repeated_messages(raw_messages(load_transactions(spark, sf_dir)))
-    good, _ = decide_messages(spark, messages)
+    good, _ = decide_messages(messages)
     return decision_view(good)
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from tallyguard.operators.dedupe import claim_first
 from tallyguard.operators.features import add_features
 from tallyguard.operators.rules import Rule, apply_rules, load_rules
 from tallyguard.operators.scoring import FittedScorer, LogisticScorer, score
 from tallyguard.operators.validate import dead_letters, normalise, route_messages, valid_events
-from tallyguard.session import work_dir
+from tallyguard.session import written
 from tallyguard.sources.sinks import with_case
 
 
@@ -26,15 +26,11 @@ def decide(
     return with_case(score(judged, scorer or LogisticScorer()), decided_at)
 
 
-def decide_messages(
-    spark: SparkSession, messages: DataFrame, **options: object
-) -> tuple[DataFrame, DataFrame]:
+def decide_messages(messages: DataFrame, **options: object) -> tuple[DataFrame, DataFrame]:
     """Decisions and dead letters of a set of raw messages.
 
     The routed messages are written once to the work folder: the feature job reads its input
     several times, and decoding is the costly part.
     """
-    path = work_dir(spark, "routed")
-    route_messages(messages).write.mode("overwrite").parquet(path)
-    routed = spark.read.parquet(path)
+    routed = written(route_messages(messages), "routed")
     return decide(claim_first(valid_events(routed)), **options), dead_letters(routed)

@@ -23,7 +23,7 @@ from tallyguard.operators.validate import dead_letters, route_messages, valid_ev
 from tallyguard.plans.decisions import decide
 from tallyguard.plans.registry import WITH_MESSAGES, WITH_SCORES, WITH_TX, WITH_VALID_SCORES, query
 from tallyguard.plans.store import decision_store
-from tallyguard.session import work_dir
+from tallyguard.session import written
 from tallyguard.sources.adapter import load_transactions, raw_messages, repeated_messages
 
 
@@ -67,10 +67,8 @@ def _decision_increase(spark, sf_dir):
 
 def _routes(spark, sf_dir):
     """Stage and time of each raw message, from the failure cases of the adapter."""
-    path = work_dir(spark, "routes")
     routed = route_messages(raw_messages(load_transactions(spark, sf_dir)))
-    routed.select("event_seq", "timestamp", "route").write.parquet(path)
-    return spark.read.parquet(path)
+    return written(routed.select("event_seq", "timestamp", "route"), "routes")
 
 
 def _ratio(spark, sf_dir):
@@ -240,9 +238,7 @@ def _alert_summary(spark, sf_dir):
     UNION ALL SELECT route, 'failed', n FROM bad UNION ALL SELECT 'dedupe', 'duplicate', n FROM dup WHERE n > 0""",
 )
 def _stage_counters(spark, sf_dir):
-    path = work_dir(spark, "routed")
-    route_messages(repeated_messages(raw_messages(load_transactions(spark, sf_dir)))).write.parquet(path)
-    routed = spark.read.parquet(path)
+    routed = written(route_messages(repeated_messages(raw_messages(load_transactions(spark, sf_dir)))), "routed")
     events = valid_events(routed)
     return stage_counters(decide(claim_first(events)), dead_letters(routed), duplicate_deliveries(events))
 

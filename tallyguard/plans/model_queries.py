@@ -23,7 +23,7 @@ from tallyguard.plans.registry import AS_OF, WITH_CASES, WITH_FEATURES, WITH_SCO
 from tallyguard.plans.store import decision_store
 from tallyguard.plans.training import bootstrap, drift_samples, feature_frame, load_scorer, registry, train
 from tallyguard.schemas import FEATURES
-from tallyguard.session import work_dir
+from tallyguard.session import work_dir, written
 from tallyguard.sources.adapter import load_transactions
 from tallyguard.sources.sinks import registry_rows
 from tallyguard.sources.tables import current_model, current_models
@@ -226,7 +226,7 @@ def halves_sql() -> str:
 
 
 def _halves(spark, sf_dir):
-    frame = feature_frame(load_transactions(spark, sf_dir))
+    frame = written(feature_frame(load_transactions(spark, sf_dir)), "frame")
     early = F.col("event_us") < HALF * 1_000_000
     return frame.where(early), frame.where(~early)
 
@@ -261,7 +261,7 @@ DRIFT_SQL = f"""{WITH_FEATURES}, halves AS (SELECT * REPLACE (coalesce(label, 0)
 
 
 def _tails(spark, sf_dir):
-    return [tail_sample(half, 500) for half in _halves(spark, sf_dir)]
+    return [written(tail_sample(half, 500), "sample") for half in _halves(spark, sf_dir)]
 
 
 @query("drift_report", f"""{DRIFT_SQL} SELECT "column", test, round(statistic, 6) AS statistic, drifted FROM report""")

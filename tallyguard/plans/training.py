@@ -24,6 +24,7 @@ from tallyguard.operators.evaluation import (
 from tallyguard.operators.features import add_features
 from tallyguard.operators.scoring import FittedScorer, Model
 from tallyguard.schemas import FEATURES, MODEL_METADATA
+from tallyguard.session import written
 from tallyguard.sources.sinks import registry_rows, write_report, write_rows
 from tallyguard.sources.tables import current_model
 
@@ -234,16 +235,19 @@ def drift_samples(
 
     Features come from the whole history of each side. ``cold_start`` rebuilds the current
     side from its last ``sample`` events alone, which makes history features look new. With
-    fewer than 50 labelled current events the reference sample stands in for them.
+    fewer than 50 labelled current events the reference sample stands in for them. The samples
+    are written to the work folder, as the report reads them many times.
     """
-    reference = tail_sample(feature_frame(reference_events), sample)
+    reference = written(tail_sample(feature_frame(reference_events), sample), "sample")
     usable = current_events.where(F.col("label").isNotNull())
     if usable.limit(DRIFT_MINIMUM).count() < DRIFT_MINIMUM:
         return reference, reference
     if cold_start:
         last = current_events.orderBy(F.col("event_time").desc(), F.col("event_seq").desc()).limit(sample)
-        return reference, feature_frame(last.where(F.col("label").isNotNull()))
-    return reference, tail_sample(feature_frame(usable), sample)
+        current = feature_frame(last.where(F.col("label").isNotNull()))
+    else:
+        current = tail_sample(feature_frame(usable), sample)
+    return reference, written(current, "sample")
 
 
 def run_drift(reference: DataFrame, current: DataFrame, report_dir: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _fallback_dirs: dict[str, str] = {}
 
@@ -43,3 +43,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
             _fallback_dirs[app] = tempfile.mkdtemp(prefix="tallyguard-")
         shared = _fallback_dirs[app]
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the work folder and read back.
+
+    Cuts the lineage of a frame that several branches read. The table is in shared storage, so
+    the loss of an executor costs at most the tasks in flight.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -1,7 +1,7 @@
 """Typed decoding of JSON messages against the closed event contract.
 
-The text is parsed once into a VARIANT. Each field is then checked and converted by its own
-rules: text stays text, numbers may come as numeric strings, flags as 0/1 or yes/no words,
+The text is parsed into one VARIANT per field, which tells the JSON type, and into one text per
+field. Each field is then checked and converted by its own rules: text stays text, numbers may come as numeric strings, flags as 0/1 or yes/no words,
 times as ISO text or epochs. Every violation is listed; a message without any is an event.
 """
 
@@ -24,6 +24,7 @@ NULLABLE = {"label"}
 NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity|nan)\s*$"
 WHOLE_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
 UUID_TEXT = r"^(urn:uuid:)?\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?$"
+PLAIN_UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 ZONED_TEXT = r"(?i)(z|[+-]\d{2}(:?\d{2})?)$"
 TRUE_WORDS = ["true", "t", "yes", "y", "on", "1"]
 FALSE_WORDS = ["false", "f", "no", "n", "off", "0"]
@@ -53,15 +54,19 @@ def _kind(name: Column) -> Column:
 
 
 def _number(kind: Column, text: Column) -> Column:
-    numeric = (kind == "number") | ((kind == "text") & text.rlike(NUMBER_TEXT))
-    return F.when(numeric, F.trim(text).try_cast("double")).when(
-        kind == "flag", (text == "true").cast("double")
+    return (
+        F.when(kind == "number", text.try_cast("double"))
+        .when((kind == "text") & text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double"))
+        .when(kind == "flag", (text == "true").cast("double"))
     )
 
 
 def _whole(kind: Column, text: Column) -> Column:
-    value = F.when((kind == "number") | ((kind == "text") & text.rlike(WHOLE_TEXT)), F.trim(text).try_cast("double"))
-    value = F.when(kind == "flag", (text == "true").cast("double")).otherwise(value)
+    value = (
+        F.when(kind == "number", text.try_cast("double"))
+        .when((kind == "text") & text.rlike(WHOLE_TEXT), F.trim(text).try_cast("double"))
+        .when(kind == "flag", (text == "true").cast("double"))
+    )
     return F.when(value == F.floor(value), value.try_cast("int"))
 
 
@@ -88,7 +93,8 @@ def _uuid(kind: Column, text: Column) -> Column:
     digits = F.lower(F.regexp_replace(F.regexp_replace(text, "^urn:uuid:", ""), "[-{}]", ""))
     parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     shaped = F.concat_ws("-", *[F.substring(digits, a, n) for a, n in parts])
-    return F.when((kind == "text") & text.rlike(UUID_TEXT), shaped)
+    usual = (kind == "text") & text.rlike(PLAIN_UUID)
+    return F.when(usual, text).when((kind == "text") & text.rlike(UUID_TEXT), shaped)
 
 
 def _convert(name: str, variant: Column, kind: Column, text: Column) -> Column:
@@ -128,29 +134,32 @@ def decode_events(messages: DataFrame, value: str = "value", arrival: str | None
     """
     received = F.col(arrival) if arrival else F.current_timestamp()
     variants = "struct<" + ", ".join(f"{name}:variant" for name in CONTRACT) + ">"
+    texts = "struct<" + ", ".join(f"{name}:string" for name in CONTRACT) + ">"
     parsed = computed_once(
-        messages, {"__v": F.from_json(value, variants), "__keys": F.json_object_keys(F.col(value))}
-    )
-    field = {name: F.col("__v")[name] for name in CONTRACT}
-    parsed = computed_once(
-        parsed,
+        messages,
         {
-            **{f"__k_{name}": F.schema_of_variant(field[name]) for name in CONTRACT},
-            **{f"__t_{name}": F.try_variant_get(field[name], "$", "string") for name in CONTRACT},
+            "__v": F.from_json(value, variants),
+            "__t": F.from_json(value, texts),
+            "__keys": F.json_object_keys(F.col(value)),
         },
     )
+    parsed = computed_once(
+        parsed, {f"__k_{name}": F.schema_of_variant(F.col("__v")[name]) for name in CONTRACT}
+    )
     checked = [name for name in CONTRACT if not _plain_text(name)]
     parsed = computed_once(
         parsed,
         {
-            f"__c_{name}": _convert(name, field[name], _kind(F.col(f"__k_{name}")), F.col(f"__t_{name}"))
+            f"__c_{name}": _convert(
+                name, F.col("__v")[name], _kind(F.col(f"__k_{name}")), F.col("__t")[name]
+            )
             for name in checked
         },
     )
     converted = {
         name: F.col(f"__c_{name}")
         if name in checked
-        else F.when(F.col(f"__k_{name}") == "STRING", F.col(f"__t_{name}"))
+        else F.when(F.col(f"__k_{name}") == "STRING", F.col("__t")[name])
         for name in CONTRACT
     }
     unknown = F.array_sort(F.array_except(F.col("__keys"), F.array(*[F.lit(n) for n in CONTRACT])))
