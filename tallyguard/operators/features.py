@@ -346,22 +346,38 @@ def trailing_counts_by_range(events: DataFrame, windows: FeatureWindows = Featur
     """The window counts in the plain RANGE form, for comparison with the expiry form.
 
     The frame also holds the event itself and its later peers at the same time, which are
-    taken off again. Each row re-reads its frame, so this suits sparse accounts only.
+    taken off again. An account is cut into slots as long as the longest window; each event is
+    also put into the next slot, as context for the frames there. Each row re-reads its frame,
+    so this suits accounts with few events per window.
     """
-    us = F.unix_micros("event_time")
-    rows = events.withColumn("__us", us)
+    slot_us = windows.long * MICROS + 1
+    slot = F.floor(F.col("__us") / slot_us).cast("bigint")
+    rows = events.select(F.struct("*").alias("__p"), "account_id", "event_seq", F.unix_micros("event_time").alias("__us"))
+    copies = rows.select("*", slot.alias("__own"), F.explode(F.array(slot, slot + 1)).alias("__slot"))
+    own = F.col("__slot") == F.col("__own")
+    payload = F.when(own, F.col("__p")).alias("__p")
+    placed = copies.select("account_id", "event_seq", "__us", "__slot", own.alias("__mine"), payload)
     peers = (
-        Window.partitionBy("account_id", "__us").orderBy("event_seq").rowsBetween(0, Window.unboundedFollowing)
+        Window.partitionBy("account_id", "__slot", "__us")
+        .orderBy("event_seq")
+        .rowsBetween(0, Window.unboundedFollowing)
     )
     later = F.count(F.lit(1)).over(peers)
 
     def trailing(seconds: int) -> Column:
-        frame = Window.partitionBy("account_id").orderBy("__us").rangeBetween(-seconds * MICROS, 0)
+        frame = (
+            Window.partitionBy("account_id", "__slot").orderBy("__us").rangeBetween(-seconds * MICROS, 0)
+        )
         return F.count(F.lit(1)).over(frame) - later
 
-    return rows.select(
-        *events.columns,
-        trailing(windows.short).alias("n_short"),
-        trailing(windows.medium).alias("n_medium"),
-        trailing(windows.long).alias("n_long"),
+    return (
+        placed.select(
+            "__p",
+            "__mine",
+            trailing(windows.short).alias("n_short"),
+            trailing(windows.medium).alias("n_medium"),
+            trailing(windows.long).alias("n_long"),
+        )
+        .where("__mine")
+        .select("__p.*", "n_short", "n_medium", "n_long")
     )

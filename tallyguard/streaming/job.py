@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +29,28 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 COPY_SALTS = 8
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State in RocksDB: it may grow beyond the heap, and stateful processors need it."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+@contextmanager
+def stream_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings a stream takes over when it starts; the session gets its own back.
+
+    State lies in RocksDB: it may grow beyond the heap, and stateful processors need it. Every
+    state partition is a store of its own that commits in each micro-batch, so there are at
+    most twice as many as cores. A checkpoint keeps the number it began with.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        "spark.sql.shuffle.partitions": str(min(partitions, 2 * cores)),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def drop_repeats(events: DataFrame, horizon: str = "30 days", copy_salts: int = COPY_SALTS) -> DataFrame:
@@ -112,29 +134,29 @@ def start_stream(
     **options: object,
 ) -> StreamingQuery:
     """Starts the decision job on a stream of messages."""
-    use_rocksdb(messages.sparkSession)
-    return (
-        decided_stream(messages, **options)
-        .writeStream.queryName("decisions")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(writer or BatchWriter(out_dir))
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    with stream_settings(messages.sparkSession):
+        return (
+            decided_stream(messages, **options)
+            .writeStream.queryName("decisions")
+            .outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(writer or BatchWriter(out_dir))
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all available input into a Parquet folder, then stops."""
-    use_rocksdb(stream.sparkSession)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .option("path", path)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with stream_settings(stream.sparkSession):
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .option("path", path)
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
 
 

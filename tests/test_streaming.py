@@ -9,7 +9,7 @@ from tallyguard.functions.scalars import iso_utc
 from tallyguard.operators.features import add_features
 from tallyguard.schemas import CONTRACT
 from tallyguard.sources.streams import MESSAGE_SCHEMA, file_messages
-from tallyguard.streaming.job import BatchWriter, progress_counters, run_to_table, start_stream, use_rocksdb
+from tallyguard.streaming.job import BatchWriter, progress_counters, run_to_table, start_stream
 from tallyguard.streaming.processor import stream_features
 
 
@@ -107,7 +107,6 @@ def test_decision_stream_writes_each_event_once(spark, tmp_path):
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):
-    use_rocksdb(spark)
     writer = BatchWriter(f"{tmp_path}/out")
     rows = frame(spark, random_events(14, 20))
     good = add_features(rows).select(F.lit("good").alias("route"), F.struct("*").alias("good"))
