@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyguard.llm.packing import pack
+from tallyguard.llm.simhash import near_duplicates
+from tallyguard.llm.suffixes import benchmark_overlap
 from tallyguard.llm.token_files import read_token_files, write_token_files
 from tallyguard.llm.tokens import default_tokenizer
 
@@ -29,6 +31,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
 
 
+@query
+def op5_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a benchmark window hits."""
+    return benchmark_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from the token files."""
