@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-import tallyguard
+import tallyguard.functions
+import tallyguard.operators
+import tallyguard.schemas
+import tallyguard.streaming
 from tallyguard.functions.scalars import haversine_km, seconds_between, utc_hour
 from tallyguard.operators.features import MICROS, MONEY, FeatureWindows, risk_level
 from tallyguard.schemas import CHANNELS, FEATURES, FIRST_EVENT_GAP_SECONDS, STATE_TTL_SECONDS
@@ -61,7 +64,8 @@ HISTORY = T.StructType(
 
 
 # The state handlers travel to the executors by value: those need no copy of this package.
-cloudpickle.register_pickle_by_value(tallyguard)
+for _part in (tallyguard.streaming, tallyguard.functions, tallyguard.operators, tallyguard.schemas):
+    cloudpickle.register_pickle_by_value(_part)
 
 
 def in_time_order(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
