@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyguard.llm.packing import pack
+from tallyguard.llm.pages import extract
 from tallyguard.llm.personal import personal_data
 from tallyguard.llm.simhash import near_duplicates
 from tallyguard.llm.suffixes import benchmark_overlap
@@ -33,6 +34,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
 
 
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a benchmark window hits."""
