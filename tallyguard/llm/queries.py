@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyguard.llm import licenses, repeats
 from tallyguard.llm.packing import pack
 from tallyguard.llm.pages import extract
 from tallyguard.llm.personal import personal_data
 from tallyguard.llm.simhash import near_duplicates
 from tallyguard.llm.suffixes import benchmark_overlap
 from tallyguard.llm.token_files import read_token_files, write_token_files
-from tallyguard.llm.toxicity import score, train
 from tallyguard.llm.tokens import default_tokenizer
+from tallyguard.llm.topk import exact_top_k
+from tallyguard.llm.toxicity import score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +30,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_license_scan"] = licenses.oracle()
+
+
+@query
+def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, in runs of 50 words or more."""
+    return repeats.repeated_units(_table(spark, sf_dir, "documents")).drop("place")
+
+
+ORACLES["op2_repeated_lines"] = repeats.oracle()
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in full sequences of at most 2048 tokens."""
@@ -52,6 +72,13 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best rows for every hundredth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
