@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.llm.tokens import encoder
+from tallyguard.llm.workers import map_arrow
 
 TIERS = (256, 512, 1024, 2048)
 PIECES = (
@@ -278,4 +279,4 @@ def pack(
     if list(tiers) != sorted(set(tiers)) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be rising powers of two")
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(_pack(tokenizer, end_id, tuple(tiers), pool, step_tokens), PIECES)
+    return map_arrow(rows, _pack(tokenizer, end_id, tuple(tiers), pool, step_tokens), PIECES)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.session import written
+from tallyguard.llm.workers import map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -320,7 +321,7 @@ def _classify(model: SpanModel, least: float):
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Candidates of every row, written to the shared folder: they are read twice."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(_find, _SPANS_DDL), "spans")
+    return written(map_arrow(rows, _find, _SPANS_DDL), "spans")
 
 
 def train_on(found: DataFrame) -> SpanModel:
@@ -340,7 +341,7 @@ def personal_data(
     earlier one. Without candidates nothing is trained. An empty table gives no rows.
     """
     found = find_candidates(docs, id_col, text_col)
-    return found.mapInArrow(_classify(train_on(found), least), _RESULT_DDL)
+    return map_arrow(found, _classify(train_on(found), least), _RESULT_DDL)
 
 
 def _mask(model: SpanModel, least: float):
@@ -367,4 +368,4 @@ def _mask(model: SpanModel, least: float):
 def mask_personal_data(docs: DataFrame, model: SpanModel, least: float = 0.5) -> DataFrame:
     """The rows with every span in the string column ``text`` replaced by its kind in brackets;
     of spans that overlap, the first names the gap. All other columns stay as they are."""
-    return docs.mapInArrow(_mask(model, least), docs.schema)
+    return map_arrow(docs, _mask(model, least), docs.schema)

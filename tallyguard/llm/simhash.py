@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.session import written
+from tallyguard.llm.workers import map_arrow
 
 DISTANCE = 2
 SHINGLE = 3
@@ -79,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGL
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")
     )
-    return rows.mapInArrow(_fingerprints(size, seed), "doc_id long, print long")
+    return map_arrow(rows, _fingerprints(size, seed), "doc_id long, print long")
 
 
 def pivot_rows(prints: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -171,8 +172,8 @@ def linked_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFram
     the distance would."""
     if not 0 < distance < SEGMENTS:
         raise ValueError("the distance must be 1 to 7 bits")
-    dealt = prints.mapInArrow(_tables(distance), "bucket long, print long").repartition("bucket")
-    found = dealt.sortWithinPartitions("bucket").mapInArrow(_bucket_links(distance), "u long, v long")
+    dealt = map_arrow(prints, _tables(distance), "bucket long, print long").repartition("bucket")
+    found = map_arrow(dealt.sortWithinPartitions("bucket"), _bucket_links(distance), "u long, v long")
     return found.distinct()
 
 

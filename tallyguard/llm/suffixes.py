@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.llm.workers import map_arrow
+
 WINDOW = 13
 BLOCK_BYTES = 16_000_000
 
@@ -287,8 +289,8 @@ def benchmark_overlap(
     while block is not None:
         after = next(blocks, None)
         shared = spark.sparkContext.broadcast(Index(block, window))
-        rows = rows.mapInArrow(
-            _search(shared, after is None, *contaminated_from), RESULT if after is None else _PASSED_DDL
+        rows = map_arrow(
+            rows, _search(shared, after is None, *contaminated_from), RESULT if after is None else _PASSED_DDL
         )
         block = after
     return rows

@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from tallyguard.llm.elias_fano import RisingList, encode
 from tallyguard.llm.tokens import encoder
 from tallyguard.session import work_dir
+from tallyguard.llm.workers import map_arrow
 
 _HEADER = struct.Struct("<4sHHQqQ")
 _MAGIC = b"IDEF"
@@ -162,7 +162,7 @@ def write_token_files(
     dealt = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     target, top = _file_system(folder)
     target.create_dir(top, recursive=True)
-    manifest = dealt.select("doc_id", "text").mapInArrow(_write(folder, tokenizer, end_id, file_ids), MANIFEST)
+    manifest = map_arrow(dealt.select("doc_id", "text"), _write(folder, tokenizer, end_id, file_ids), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return folder, spark.read.parquet(f"{folder}/manifest")
 
@@ -184,18 +184,20 @@ def placed(manifest: DataFrame) -> DataFrame:
 
 
 def _read(folder: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, top = _file_system(folder)
-        for frame in frames:
-            for file, first in zip(frame["file"], frame["first"], strict=True):
+        for batch in batches:
+            for file, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with target.open_input_file(f"{top}/{file}") as source:
                     data = TokenFile(source.read())
                 rows = [
                     (name, first + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
                     for name, at, ids in data.documents()
                 ]
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, pa.int64()) for column in zip(*rows, strict=True)],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                )
 
     return run
 
@@ -205,4 +207,4 @@ def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
     files = placed(manifest).select("file", "first")
     spark = manifest.sparkSession
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return files.repartition(tasks, "file").mapInPandas(_read(folder), ROWS)
+    return map_arrow(files.repartition(tasks, "file"), _read(folder), ROWS)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.llm.workers import map_arrow
+
 TRAINING_ROWS = 10_000
 LEXICON_SIZE = 2_000
 FOLDS = 5
@@ -255,8 +257,10 @@ def learn_lexicon(rows: DataFrame, clean: int, toxic: int) -> tuple[dict, dict,
     """Words and stems with their log-odds, at most ``LEXICON_SIZE`` of each, and the clean words
     that are one edit from a term. ``rows`` hold doc_id, text and toxic."""
     least = max(3, toxic // 200)
-    counted = rows.mapInArrow(_terms, _TERMS).groupBy("term", "stem").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
+    counted = (
+        map_arrow(rows, _terms, _TERMS)
+        .groupBy("term", "stem")
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     )
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     terms = counted.where(F.col("toxic") >= least).withColumn("odds", odds).where("odds >= 1.2")
@@ -273,7 +277,7 @@ def learn_lexicon(rows: DataFrame, clean: int, toxic: int) -> tuple[dict, dict,
             kept = [t for t in batch.column(0).to_pylist() if t not in words and trie.match(t)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["term"])
 
-    ordinary = counted.where(~F.col("stem") & (F.col("clean") > 0)).select("term").mapInArrow(near, "term string")
+    ordinary = map_arrow(counted.where(~F.col("stem") & (F.col("clean") > 0)).select("term"), near, "term string")
     common = frozenset(r["term"] for r in ordinary.collect()) if words else frozenset()
     return words, stems, common
 
@@ -342,7 +346,9 @@ def train(
     first = F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(100)) < 60
     sizes = {r["toxic"]: r["count"] for r in rows.where(first).groupBy("toxic").count().collect()}
     words, stems, common = learn_lexicon(rows.where(first), sizes.get(0, 0), sizes.get(1, 0))
-    fitted = rows.where(~first).mapInArrow(_feature_rows(words, stems, common), "x array<double>, toxic int").collect()
+    fitted = map_arrow(
+        rows.where(~first), _feature_rows(words, stems, common), "x array<double>, toxic int"
+    ).collect()
     x = np.array([r["x"] for r in fitted], dtype=float).reshape(len(fitted), FEATURES)
     y = np.array([r["toxic"] for r in fitted], dtype=float)
     return ToxicityModel(words, stems, common, *fit_classifier(x, y))
@@ -365,7 +371,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     half, for every row. Null texts are empty and get a score too; a null id counts as learned
     from, as it never has a label."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(model), "doc_id long, score double")
+    scored = map_arrow(rows, _score(model), "doc_id long, score double")
     return scored.select(
         "doc_id",
         F.coalesce(held_out(), F.lit(False)).alias("held_out"),
@@ -387,4 +393,4 @@ def _keep(model: ToxicityModel, limit: float):
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
     """The rows whose string column ``text`` scores below the limit, with all their columns."""
-    return docs.mapInArrow(_keep(model, limit), docs.schema)
+    return map_arrow(docs, _keep(model, limit), docs.schema)
