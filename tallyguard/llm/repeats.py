@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyguard.llm.joins import join_counted
 from tallyguard.llm.workers import map_arrow
 from tallyguard.session import written
 
@@ -97,7 +98,8 @@ def repeated_units(
     found = written(map_arrow(rows, _split(DIVIDERS[unit]), _UNITS_DDL), "units")
     order = F.struct("rank", "doc_id", "place", "unit", "start")
     first = found.groupBy("digest").agg(F.count("*").alias("copies"), F.min(order).alias("first")).where("copies > 1")
-    repeats = found.join(first, "digest").where(order > F.col("first"))
+    first = written(first, "first")
+    repeats = join_counted(found, first, "digest", "copies").where(order > F.col("first"))
     in_doc = Window.partitionBy("place").orderBy("unit")
     runs = repeats.withColumn("run", F.col("unit") - F.row_number().over(in_doc))
     of_run = Window.partitionBy("place", "run")
