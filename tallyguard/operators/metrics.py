@@ -129,7 +129,8 @@ def histogram_quantile(
 def exact_quantile(
     events: DataFrame, us: Column, value: Column, quantile: float = 0.95, step_seconds: int = 300
 ) -> DataFrame:
-    """Exact quantile per tumbling step, interpolated between the two rows around it.
+    """Exact quantile per tumbling step: the two rows around it (``low``, ``high``), how far it lies
+    between them (``part``), and the interpolated ``value``.
 
     Values are counted per step and ranked with running counts, which split a step that holds
     very many distinct values over several tasks.
@@ -152,7 +153,8 @@ def exact_quantile(
     around = sized.groupBy("tick").agg(
         at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part")
     )
-    return around.select("tick", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    return around.select("tick", "low", "high", "part", value.alias("value"))
 
 
 def max_over_time(

@@ -23,7 +23,7 @@ from tallyguard.operators.features import (
 from tallyguard.operators.metrics import counters
 from tallyguard.operators.skew import lookup
 from tallyguard.operators.validate import contract_columns, dead_letters, normalise, route_messages, valid_events
-from tallyguard.plans.oracle_parts import FEATURE_LIST, features_cte, uuid_sql
+from tallyguard.plans.oracle_parts import FEATURE_LIST, compared_sql, features_cte, uuid_sql
 from tallyguard.plans.registry import AS_OF, WITH_FEATURES, WITH_MESSAGES, WITH_TX, query
 from tallyguard.plans.training import feature_frame
 from tallyguard.schemas import FEATURES
@@ -63,15 +63,20 @@ def event_seconds(column: str = "event_time"):
     return F.unix_seconds(F.col(column)).alias("t")
 
 
+def compared(name: str, column):
+    """A feature rounded to six digits; the age, whose sixth digit may be a tie, in whole seconds."""
+    if name == "account_age_days":
+        return F.round(column * 86_400).cast("bigint").alias("account_age_seconds")
+    return F.round(column, 6).alias(name)
+
+
 def picked(df, *names: str):
     """Event key and some features, rounded for comparison."""
-    return df.select("event_seq", *[F.round(F.col("features")[n], 6).alias(n) for n in names])
+    return df.select("event_seq", *[compared(n, F.col("features")[n]) for n in names])
 
 
 def picked_sql(*names: str) -> str:
-    from tallyguard.plans.oracle_parts import feature_column
-
-    columns = ", ".join(f"round({feature_column(n)}, 6) AS {n}" for n in names)
+    columns = ", ".join(map(compared_sql, names))
     return f"{WITH_FEATURES} SELECT event_seq, {columns} FROM feats"
 
 
@@ -361,7 +366,7 @@ def _frame(events, **options):
     return rows.select(
         "event_seq",
         F.floor(F.col("event_us") / 1_000_000).cast("bigint").alias("t"),
-        *[F.round(f, 6).alias(f) for f in FEATURES],
+        *[compared(f, F.col(f)) for f in FEATURES],
         F.col("label").cast("bigint").alias("label"),
         "simulation_scenario",
     )

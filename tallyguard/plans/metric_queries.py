@@ -130,11 +130,14 @@ def _latency_p95_by_channel(spark, sf_dir):
 
 @query(
     "latency_p95_exact",
-    f"""{WITH_TX} SELECT (t // 300 + 1) * 300 AS tick, round(quantile_cont(amount / 10000, 0.95), 6) AS value FROM tx GROUP BY 1""",
+    f"""{WITH_TX}, r AS (SELECT (t // 300 + 1) * 300 AS tick, amount / 10000 AS v,
+      row_number() OVER (PARTITION BY t // 300 ORDER BY amount) - 1 AS i, (count(*) OVER (PARTITION BY t // 300) - 1) * 0.95e0 AS place FROM tx)
+    SELECT tick, round(max(v) FILTER (i = floor(place)), 6) AS low, round(max(v) FILTER (i = ceil(place)), 6) AS high,
+      round(max(place - floor(place)), 6) AS part FROM r GROUP BY tick""",
 )
 def _latency_p95_exact(spark, sf_dir):
     rows = exact_quantile(latencies(spark, sf_dir), _us(), F.col("latency"))
-    return rows.select("tick", F.round("value", 6).alias("value"))
+    return rows.select("tick", *[F.round(c, 6).alias(c) for c in ("low", "high", "part")])
 
 
 @query(

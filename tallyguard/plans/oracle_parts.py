@@ -113,7 +113,14 @@ def feature_column(name: str) -> str:
     return name
 
 
-FEATURE_LIST = ", ".join(f"round({feature_column(f)}, 6) AS {f}" for f in FEATURES)
+def compared_sql(name: str) -> str:
+    """A feature as the queries show it: rounded to six digits, the age in whole seconds."""
+    if name == "account_age_days":
+        return f"CAST(round({feature_column(name)} * 86400e0) AS BIGINT) AS account_age_seconds"
+    return f"round({feature_column(name)}, 6) AS {name}"
+
+
+FEATURE_LIST = ", ".join(map(compared_sql, FEATURES))
 
 
 def uuid_sql(text: str) -> str:
