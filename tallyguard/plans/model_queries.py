@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyguard.operators.drift import dataset_drift, drift_report, numeric_drift
+from tallyguard.operators.drift import categorical_drift, dataset_drift, drift_report, numeric_drift
 from tallyguard.operators.evaluation import (
     THRESHOLDS,
     average_precision,
@@ -18,7 +18,7 @@ from tallyguard.operators.evaluation import (
     threshold_sweep,
 )
 from tallyguard.operators.labels import feedback_labels, feedback_rollup, labelled, training_frame, training_source
-from tallyguard.plans.oracle_parts import feature_column
+from tallyguard.plans.oracle_parts import TX, feature_column, features_cte
 from tallyguard.plans.registry import AS_OF, WITH_CASES, WITH_FEATURES, WITH_SCORES, WITH_TX, query
 from tallyguard.plans.store import decision_store
 from tallyguard.plans.training import bootstrap, drift_samples, feature_frame, load_scorer, registry, train
@@ -251,41 +251,92 @@ def chi_sql(column: str, alias: str) -> str:
     {alias} AS (SELECT '{column}' AS "column", sum((r - er) * (r - er) / er + (c - ec) * (c - ec) / ec) AS statistic, count(*) - 1 AS df FROM {alias}e)"""
 
 
+# The tail of the chi-square distribution by the logarithm of the gamma function: a finite sum for
+# an even number of degrees, for an odd one the tail of one degree and a finite sum.
+CHI_TAIL = """CASE WHEN df < 1 THEN 1e0 WHEN df % 2 = 0 THEN
+      coalesce(list_sum(list_transform(range(0, df // 2), lambda i: exp(i * ln(h) - h - lgamma(i + 1e0)))), 0e0)
+    ELSE CASE WHEN h > 25e0 THEN exp(-h) / sqrt(pi() * h) * (1 - 0.5e0 / h + 0.75e0 / (h * h))
+      ELSE 1e0 - list_sum(list_transform(range(0, 200), lambda i: exp((i + 0.5e0) * ln(h) - h - lgamma(i + 1.5e0)))) END
+      + coalesce(list_sum(list_transform(range(1, df // 2 + 1), lambda i: exp((i - 0.5e0) * ln(h) - h - lgamma(i + 0.5e0)))), 0e0) END"""
+
+
+def report_sql(*categories: str) -> str:
+    """The report over ``ref`` and ``cur`` as further table expressions."""
+    chi = ", ".join(chi_sql(c, f"chi_{i}") for i, c in enumerate(categories))
+    union = " UNION ALL ".join(f"SELECT * FROM chi_{i}" for i in range(len(categories)))
+    return f"""{ks_sql(FEATURES, "ref", "cur")}, {chi},
+    chis AS (SELECT *, greatest(statistic / 2, 1e-300) AS h FROM ({union})),
+    report AS (SELECT "column", 'ks' AS test, statistic, p_value FROM ksp
+      UNION ALL SELECT "column", 'chi_square', statistic, greatest(0e0, least(1e0, {CHI_TAIL})) FROM chis)"""
+
+
 DRIFT_SQL = f"""{WITH_FEATURES}, halves AS (SELECT * REPLACE (coalesce(label, 0) AS label), t < {HALF} AS early FROM feats),
     ref AS (SELECT * FROM halves WHERE early ORDER BY t DESC, event_seq DESC LIMIT 500),
     cur AS (SELECT * FROM halves WHERE NOT early ORDER BY t DESC, event_seq DESC LIMIT 500),
-    {ks_sql(FEATURES, "ref", "cur")}, {chi_sql("label", "chi_a")}, {chi_sql("simulation_scenario", "chi_b")},
-    report AS (SELECT "column", 'ks' AS test, statistic, p_value < 0.05e0 AS drifted FROM ksp
-      UNION ALL SELECT "column", 'chi_square', statistic, coalesce(statistic > [3.841e0, 5.991e0, 7.815e0, 9.488e0, 11.070e0, 12.592e0][df], false)
-      FROM (SELECT * FROM chi_a UNION ALL SELECT * FROM chi_b))"""
+    {report_sql("label", "simulation_scenario")}"""
+REPORT_OUT = """SELECT "column", test, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, p_value < 0.05e0 AS drifted FROM report"""
+
+
+def _report_out(report):
+    return report.select(
+        "column", "test", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"), "drifted"
+    )
 
 
 def _tails(spark, sf_dir):
     return [written(tail_sample(half, 500), "sample") for half in _halves(spark, sf_dir)]
 
 
-@query("drift_report", f"""{DRIFT_SQL} SELECT "column", test, round(statistic, 6) AS statistic, drifted FROM report""")
+@query("drift_report", f"{DRIFT_SQL} {REPORT_OUT}")
 def _drift_report(spark, sf_dir):
-    report = drift_report(*_tails(spark, sf_dir))
-    return report.select("column", "test", F.round("statistic", 6).alias("statistic"), "drifted")
+    return _report_out(drift_report(*_tails(spark, sf_dir)))
 
 
 @query(
     "dataset_drift",
-    f"""{DRIFT_SQL} SELECT count(*) AS columns, count(*) FILTER (drifted) AS drifted_columns,
-    round(count(*) FILTER (drifted) / CAST(count(*) AS DOUBLE), 6) AS dataset_drift_score FROM report""",
+    f"""{DRIFT_SQL} SELECT count(*) AS columns, count(*) FILTER (p_value < 0.05e0) AS drifted_columns,
+    round(count(*) FILTER (p_value < 0.05e0) / CAST(count(*) AS DOUBLE), 6) AS dataset_drift_score FROM report""",
 )
 def _dataset_drift(spark, sf_dir):
     score = dataset_drift(drift_report(*_tails(spark, sf_dir)))
     return score.withColumn("dataset_drift_score", F.round("dataset_drift_score", 6))
 
 
-@query("drift_with_cold_start")
+WIDE_COLUMNS = ["merchant_id", "channel", "country", "device_id"]
+
+
+@query(
+    "category_drift",
+    f"""{WITH_TX}, ref AS (SELECT * FROM tx WHERE t < {HALF}), cur AS (SELECT * FROM tx WHERE t >= {HALF}),
+    {", ".join(chi_sql(c, f"chi_{i}") for i, c in enumerate(WIDE_COLUMNS))},
+    chis AS (SELECT *, greatest(statistic / 2, 1e-300) AS h FROM ({" UNION ALL ".join(f"SELECT * FROM chi_{i}" for i in range(len(WIDE_COLUMNS)))})),
+    report AS (SELECT "column", 'chi_square' AS test, statistic, greatest(0e0, least(1e0, {CHI_TAIL})) AS p_value FROM chis)
+    {REPORT_OUT}""",
+)
+def _category_drift(spark, sf_dir):
+    """Columns with few and with very many categories, the halves of the events compared."""
+    tx = load_transactions(spark, sf_dir)
+    early = F.col("event_time") < F.timestamp_seconds(F.lit(HALF))
+    parts = [categorical_drift(tx.where(early), tx.where(~early), c) for c in WIDE_COLUMNS]
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
+    return _report_out(report)
+
+
+COLD_SQL = f"""WITH {TX}, last500 AS (SELECT * FROM (SELECT * FROM tx WHERE t >= {HALF} ORDER BY t DESC, event_seq DESC LIMIT 500) WHERE label IS NOT NULL),
+    {features_cte("last500", "cold")}, early_tx AS (SELECT * FROM tx WHERE t < {HALF}), {features_cte("early_tx", "early")},
+    ref AS (SELECT * REPLACE (coalesce(label, 0) AS label) FROM early ORDER BY t DESC, event_seq DESC LIMIT 500),
+    cur AS (SELECT * REPLACE (coalesce(label, 0) AS label) FROM cold),
+    {report_sql("label", "simulation_scenario")}"""
+
+
+@query("drift_with_cold_start", f"{COLD_SQL} {REPORT_OUT}")
 def _drift_with_cold_start(spark, sf_dir):
     """The current side rebuilt from its last 500 events alone: history features look drifted."""
     tx = load_transactions(spark, sf_dir)
     early = F.col("event_time") < F.timestamp_seconds(F.lit(HALF))
-    return drift_report(*drift_samples(tx.where(early), tx.where(~early), cold_start=True))
+    return _report_out(drift_report(*drift_samples(tx.where(early), tx.where(~early), cold_start=True)))
 
 
 @query("trained_classifier")

@@ -42,9 +42,15 @@ DRIFT_MINIMUM = 50
 MODEL_NAME = "fraud_gbt"
 
 
-def feature_frame(events: DataFrame, **options: object) -> DataFrame:
-    """One flat row per event: 25 features, label (NULL counts as 0), time and scenario."""
+def feature_frame(events: DataFrame, labelled_only: bool = False, **options: object) -> DataFrame:
+    """One flat row per event: 25 features, label (NULL counts as 0), time and scenario.
+
+    ``labelled_only`` drops events without a label after their features, and those of later
+    events, have been computed from the whole history.
+    """
     rows = add_features(events, **options)
+    if labelled_only:
+        rows = rows.where(F.col("label").isNotNull())
     return rows.select(
         "event_id",
         "event_seq",
@@ -233,20 +239,22 @@ def drift_samples(
 ) -> tuple[DataFrame, DataFrame]:
     """Feature rows of the last ``sample`` events on each side.
 
-    Features come from the whole history of each side. ``cold_start`` rebuilds the current
-    side from its last ``sample`` events alone, which makes history features look new. With
-    fewer than 50 labelled current events the reference sample stands in for them. The samples
-    are written to the work folder, as the report reads them many times.
+    Features come from the whole history of each side, labelled events are chosen afterwards.
+    ``cold_start`` rebuilds the current side from the labelled ones of its last ``sample`` events
+    alone, which makes history features look new. With fewer than 50 labelled events among the
+    last ``sample`` of the current side, the reference side stands in for it. The samples are
+    written to the work folder, as the report reads them many times.
     """
+    newest = [F.col("event_time").desc(), F.col("event_seq").desc()]
     reference = written(tail_sample(feature_frame(reference_events), sample), "sample")
-    usable = current_events.where(F.col("label").isNotNull())
-    if usable.limit(DRIFT_MINIMUM).count() < DRIFT_MINIMUM:
-        return reference, reference
-    if cold_start:
-        last = current_events.orderBy(F.col("event_time").desc(), F.col("event_seq").desc()).limit(sample)
-        current = feature_frame(last.where(F.col("label").isNotNull()))
+    last = current_events.orderBy(*newest).limit(sample).where(F.col("label").isNotNull())
+    enough = last.count() >= DRIFT_MINIMUM
+    if not cold_start:
+        if not enough:
+            return reference, reference
+        current = tail_sample(feature_frame(current_events, labelled_only=True), sample)
     else:
-        current = tail_sample(feature_frame(usable), sample)
+        current = feature_frame(last if enough else reference_events.orderBy(*newest).limit(sample))
     return reference, written(current, "sample")
 
 
