@@ -12,14 +12,38 @@ from tallyguard.sources.json_events import decode_events
 GOOD, CONTRACT_ERROR, BUSINESS_ERROR, SOURCE_ERROR = "good", "validation", "processing", "kafka_source"
 
 
-def business_errors(account_id: Column, transaction_id: Column, amount: Column, failures: Column) -> Column:
-    """Messages of the broken business rules, comma separated; empty text when there is none."""
+# The largest amount that the stored decimals hold.
+MAX_AMOUNT = 1e12
+
+
+def in_range(value: Column, limit: float) -> Column:
+    """Whether a number is finite and closer to zero than the limit; NULL passes."""
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < limit), F.lit(True))
+
+
+def business_errors(
+    account_id: Column,
+    transaction_id: Column,
+    amount: Column,
+    failures: Column,
+    latitude: Column | None = None,
+    longitude: Column | None = None,
+) -> Column:
+    """Messages of the broken business rules, comma separated; empty text when there is none.
+
+    A number that isn't finite, or too large to store, breaks a rule, so that nothing after this
+    check meets a value that it can't convert.
+    """
     checks = [
         (account_id == "", "account_id is required"),
         (transaction_id == "", "transaction_id is required"),
         (amount <= 0, "amount must be positive"),
+        (~in_range(amount, MAX_AMOUNT), f"amount must be a number below {MAX_AMOUNT:.0f}"),
         (failures < 0, "prior_auth_failures cannot be negative"),
     ]
+    for name, degrees in (("latitude", latitude), ("longitude", longitude)):
+        if degrees is not None:
+            checks.append((~in_range(degrees, MAX_AMOUNT), f"{name} must be a finite number"))
     return F.concat_ws(", ", *[F.when(broken, F.lit(text)) for broken, text in checks])
 
 
@@ -46,7 +70,12 @@ def route_messages(messages: DataFrame) -> DataFrame:
     decoded = decode_events(messages)
     event = F.col("event")
     broken = business_errors(
-        event["account_id"], event["transaction_id"], event["amount"], event["prior_auth_failures"]
+        event["account_id"],
+        event["transaction_id"],
+        event["amount"],
+        event["prior_auth_failures"],
+        event["latitude"],
+        event["longitude"],
     )
     no_value = F.col("value").isNull()
     contract = F.size("errors") > 0
