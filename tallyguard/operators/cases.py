@@ -53,12 +53,10 @@ def case_filter(status: str | None = None, decision: str | None = None, search:
     return condition
 
 
-def _latest_for(table: DataFrame, page: DataFrame) -> DataFrame:
+def _latest_for(table: DataFrame, transactions: list[str]) -> DataFrame:
     """Latest row per transaction, only for the transactions of one page (at most 100)."""
-    wanted = F.broadcast(page.select("transaction_id").distinct())
-    return latest_per_key(
-        table.join(wanted, "transaction_id", "left_semi"), ["transaction_id"], ["event_time", "event_seq"]
-    )
+    wanted = table.where(F.col("transaction_id").isin(transactions))
+    return latest_per_key(wanted, ["transaction_id"], ["event_time", "event_seq"])
 
 
 def list_cases(
@@ -75,7 +73,8 @@ def list_cases(
 ) -> DataFrame:
     """One page of cases with their latest score and raw transaction.
 
-    The page is cut first; scores and raw rows are then read for its transactions only.
+    The page, at most 100 rows, is taken first; its transactions are then a filter that the scans
+    of scores and raw rows can use.
     """
     if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
         raise ValueError("page must be at least 1 and page_size between 1 and 100")
@@ -90,12 +89,17 @@ def list_cases(
         .offset((page - 1) * page_size)
         .limit(page_size)
     )
-    return with_case_context(cut, _latest_for(scored, cut), _latest_for(raw, cut)).orderBy(
-        order, F.col("case_id")
-    )
+    rows = cut.collect()
+    taken = decisions.sparkSession.createDataFrame(rows, cut.schema)
+    wanted = sorted({r["transaction_id"] for r in rows if r["transaction_id"] is not None})
+    return with_case_context(
+        taken, _latest_for(scored, wanted), _latest_for(raw, wanted), lambda page, side, key, _: page.join(F.broadcast(side), key, "left")
+    ).orderBy(order, F.col("case_id"))
 
 
-def with_case_context(cases: DataFrame, latest_scored: DataFrame, latest_raw: DataFrame) -> DataFrame:
+def with_case_context(
+    cases: DataFrame, latest_scored: DataFrame, latest_raw: DataFrame, join=lookup
+) -> DataFrame:
     """Cases left joined to the latest score and raw row of their transaction.
 
     Several cases may share a transaction; ``lookup`` spreads one that has very many.
@@ -109,8 +113,8 @@ def with_case_context(cases: DataFrame, latest_scored: DataFrame, latest_raw: Da
         F.col("payload")["country"].alias("country"),
         F.col("payload")["channel"].alias("channel"),
     )
-    joined = lookup(cases, score_side, ["transaction_id"], "case_id")
-    joined = lookup(joined, raw_side, ["transaction_id"], "case_id")
+    joined = join(cases, score_side, ["transaction_id"], "case_id")
+    joined = join(joined, raw_side, ["transaction_id"], "case_id")
     empty = F.array().cast(latest_scored.schema["rule_hits"].dataType)
     return joined.select(
         "case_id",
@@ -284,19 +288,25 @@ def new_activities(previous: DataFrame, current: DataFrame, key: str = "id") ->
     return current.join(previous.select(key).distinct(), key, "left_anti")
 
 
-def link_feedback(feedback: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Feedback entries with the transaction and event of their case.
+def route_feedback(feedback: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Feedback entries with the transaction and event of their case, and an ``error``.
 
-    ``feedback`` holds case_id, analyst_id, feedback_label, notes and created_at; entries for
-    unknown cases are dropped, as the case lookup fails for them. Many entries for one case
-    are spread by their own content.
+    ``feedback`` holds case_id, analyst_id, feedback_label, notes and created_at. The error is
+    NULL for entries that can be stored; entries for unknown cases say so and have no
+    transaction. Many entries for one case are spread by their own content.
     """
-    cases = decisions.select("case_id", "transaction_id", "event_id")
+    cases = decisions.select("case_id", "transaction_id", "event_id", F.lit(True).alias("__known"))
     entry = F.concat_ws(
         "|", "case_id", "analyst_id", "feedback_label", F.unix_micros("created_at").cast("string")
     )
     keyed = feedback.withColumn("feedback_id", uuid_from(entry))
-    return lookup(keyed, cases, ["case_id"], "feedback_id", how="inner")
+    error = F.when(F.col("__known").isNull(), F.concat(F.lit("unknown case "), F.coalesce("case_id", F.lit("null"))))
+    return lookup(keyed, cases, ["case_id"], "feedback_id").withColumn("error", error).drop("__known")
+
+
+def link_feedback(feedback: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The feedback entries of known cases, with the transaction and event of their case."""
+    return route_feedback(feedback, decisions).where(F.col("error").isNull()).drop("error")
 
 
 def audit_rows(feedback: DataFrame) -> DataFrame:

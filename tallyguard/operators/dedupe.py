@@ -1,30 +1,29 @@
 """First delivery per event, duplicate reports and latest row per key.
 
-All of them are aggregations with a map-side partial step, so many copies of one key shrink
-to one row per task before the shuffle.
+The first of a rank and the aggregations both have a step before the shuffle, in which many
+copies of one key shrink to one row per task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyguard.operators.skew import lookup
 
 
-def _pick(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("__row"))
-    return chosen.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
+def _ranked(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return _pick(df, keys, order, F.min_by)
+    return _ranked(df, keys, [F.col(c).asc() for c in order])
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key; end the order with an id to settle ties."""
-    return _pick(df, keys, order, F.max_by)
+    return _ranked(df, keys, [F.col(c).desc() for c in order])
 
 
 def claim_first(events: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ rows per (label, step): their number depends on the time span, not on the number
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ from tallyguard.operators.skew import keyed_running, lookup
 
 STEP_SECONDS = 60
 
+# Windows of more steps than this are put together from two blocks.
+WIDE_STEPS = 60
+
 # Upper bounds of latency histogram buckets in seconds (the last bucket is open).
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
 
@@ -32,17 +39,58 @@ def sliding(
     labels: list[str],
     window_seconds: int,
     partial: dict[str, Column],
-    combine: dict[str, Column],
+    combine: dict[str, tuple[Callable, str]],
     step_seconds: int = STEP_SECONDS,
 ) -> DataFrame:
-    """Aggregates over [end - window, end) for each step end ``tick`` that has any event."""
+    """Aggregates over [end - window, end) for each step end ``tick`` that has any event.
+
+    ``partial`` aggregates the events of a step; ``combine`` names, for each result, the function
+    (such as sum or max) and the partial column that it goes over.
+    """
     steps = window_seconds // step_seconds
     per_step = events.groupBy(
         *labels, F.floor(us / (step_seconds * 1_000_000)).cast("bigint").alias("__step")
     ).agg(*[expr.alias(name) for name, expr in partial.items()])
+    if steps > WIDE_STEPS:
+        return _two_blocks(per_step, labels, steps, combine, step_seconds)
     spread = per_step.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("__ahead"))
     at = ((F.col("__step") + F.col("__ahead")) * step_seconds).alias("tick")
-    return spread.groupBy(*labels, at).agg(*[expr.alias(name) for name, expr in combine.items()])
+    return spread.groupBy(*labels, at).agg(*[fn(column).alias(name) for name, (fn, column) in combine.items()])
+
+
+def _two_blocks(
+    per_step: DataFrame, labels: list[str], steps: int, combine: dict[str, tuple[Callable, str]], step_seconds: int
+) -> DataFrame:
+    """The same for wide windows. Time is cut into blocks as long as the window, so a window is the
+    end of one block and the beginning of the next; running aggregates from both sides of each
+    block give the two parts, and a step is not copied into every window that holds it."""
+    block = F.floor(F.col("__step") / steps).alias("__block")
+    own = per_step.withColumns({"__block": block, "__at": F.pmod(F.col("__step"), F.lit(steps))}).drop("__step")
+    grid = own.select(*labels, "__block").distinct().select(
+        *labels, "__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint"))).alias("__at")
+    )
+    keys = Window.partitionBy(*labels, "__block").orderBy("__at")
+    before, after = keys.rowsBetween(Window.unboundedPreceding, -1), keys.rowsBetween(0, Window.unboundedFollowing)
+    # The steps without events are rows of nulls, which the aggregates pass over.
+    dense = own.unionByName(grid, allowMissingColumns=True)
+    columns = list(dict.fromkeys(column for _, column in combine.values()))
+    first = {c: fn for fn, c in combine.values()}
+    cells = dense.groupBy(*labels, "__block", "__at").agg(*[first[c](c).alias(c) for c in columns])
+    sides = cells.select(
+        *labels,
+        "__block",
+        "__at",
+        *[fn(c).over(before).alias(f"__before_{name}") for name, (fn, c) in combine.items()],
+        *[fn(c).over(after).alias(f"__after_{name}") for name, (fn, c) in combine.items()],
+    )
+
+    def part(side: str, blocks_on: int) -> Column:
+        tick = ((F.col("__block") + blocks_on) * steps + F.col("__at")) * step_seconds
+        return F.struct(tick.alias("tick"), *[F.col(f"__{side}_{name}").alias(name) for name in combine])
+
+    parts = sides.select(*labels, F.inline(F.array(part("before", 0), part("after", 1))))
+    some = reduce(operator.or_, [F.col(name).isNotNull() for name in combine])
+    return parts.where(some).groupBy(*labels, "tick").agg(*[fn(name).alias(name) for name, (fn, _) in combine.items()])
 
 
 def rate(
@@ -71,7 +119,7 @@ def increase(
         labels or [],
         window_seconds,
         {"n": F.count(F.lit(1))},
-        {"increase": F.sum("n")},
+        {"increase": (F.sum, "n")},
         step_seconds,
     )
 
@@ -104,7 +152,7 @@ def histogram_quantile(
         [*labels, "__bucket"],
         window_seconds,
         {"n": F.count(F.lit(1))},
-        {"n": F.sum("n")},
+        {"n": (F.sum, "n")},
         step_seconds,
     )
     group = Window.partitionBy(*labels, "tick")
@@ -161,7 +209,7 @@ def max_over_time(
     samples: DataFrame, us: Column, value: str, window_seconds: int, labels: list[str] | None = None
 ) -> DataFrame:
     return sliding(
-        samples, us, labels or [], window_seconds, {"m": F.max(value)}, {"value": F.max("m")}
+        samples, us, labels or [], window_seconds, {"m": F.max(value)}, {"value": (F.max, "m")}
     )
 
 
@@ -178,19 +226,21 @@ def alert_states(
     counts as fine and ends the run. ``series`` has one row per step (``tick``, ``value``).
     """
     judged = series.select("tick", "value", (F.col("value") > limit).alias("over"))
-    order = Window.partitionBy("alert").orderBy("tick")
-    named = judged.withColumn("alert", F.lit(name))
-    over = named.where("over")
-    started = F.when(
-        F.coalesce(F.lag("tick").over(order) == F.col("tick") - step_seconds, F.lit(False)), F.lit(None)
-    ).otherwise(F.col("tick"))
-    runs = over.withColumn("started", started).withColumn(
-        "started", F.last("started", ignorenulls=True).over(order)
-    )
-    state = F.when(F.col("tick") - F.col("started") >= hold_seconds, "firing").otherwise("pending")
-    active = runs.select("alert", "tick", "value", state.alias("state"))
-    calm = named.where("NOT over").select("alert", "tick", "value", F.lit("inactive").alias("state"))
-    return active.unionByName(calm)
+    # An alert fires if it was over its limit at every step of the hold: only those steps count.
+    steps = hold_seconds // step_seconds
+    ahead = F.explode(F.sequence(F.lit(0), F.lit(steps * step_seconds), F.lit(step_seconds)))
+    held = (
+        judged.where("over")
+        .select("tick", ahead.alias("ahead"))
+        .groupBy((F.col("tick") + F.col("ahead")).alias("tick"))
+        .agg(F.count(F.lit(1)).alias("steps_over"))
+    )
+    state = (
+        F.when(~F.col("over"), "inactive")
+        .when(F.col("steps_over") == steps + 1, "firing")
+        .otherwise("pending")
+    )
+    return judged.join(held, "tick", "left").select(F.lit(name).alias("alert"), "tick", "value", state.alias("state"))
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ CHUNK_SHARE = 50_000
 HOT_ROWS = 2_000_000
 HOT_SHARE = 10_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 MAX_LEVELS = 8
@@ -213,6 +214,14 @@ def value_prefix(
     )
 
 
+def fits_broadcast(table: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small enough to be sent to every executor; bytes are those of its rows as
+    JSON text, which is at least about what they take in memory."""
+    row = F.octet_length(F.to_json(F.struct(*table.columns)))
+    measured = table.limit(most_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(row).alias("bytes")).first()
+    return measured["rows"] <= most_rows and (measured["bytes"] or 0) <= most_bytes
+
+
 def lookup(
     df: DataFrame,
     table: DataFrame,
@@ -224,11 +233,12 @@ def lookup(
 ) -> DataFrame:
     """Join to a table with unique keys. ``how`` is left, left_semi, left_anti or inner.
 
-    The table is counted first (at most ``broadcast_rows + 1`` rows are looked at). Only below
-    the limit is it broadcast. Beyond it both sides are shuffled; keys that hold very many rows
-    of ``df`` are then spread over 32 salts, and only their table rows are copied.
+    The table is measured first (at most ``broadcast_rows + 1`` rows are looked at). Only below
+    the limits of rows and bytes is it broadcast. Beyond them both sides are shuffled; keys that
+    hold very many rows of ``df`` are then spread over 32 salts, and only their table rows are
+    copied.
     """
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(table, broadcast_rows):
         return df.join(F.broadcast(table), on, how)
     hot = hot_keys(df, on, hot_rows)
     if hot is None:

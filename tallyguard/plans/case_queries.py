@@ -12,6 +12,7 @@ from tallyguard.operators.cases import (
     case_timelines,
     latest_feedback,
     link_feedback,
+    route_feedback,
     list_cases,
     new_activities,
     page_info,
@@ -477,6 +478,21 @@ def _linked_feedback(spark, sf_dir):
     )
 
 
+@query(
+    "routed_feedback",
+    f"""{WITH_CASES} SELECT case_id, transaction_id, analyst_id, created, CAST(NULL AS VARCHAR) AS error FROM feedback
+    UNION ALL SELECT 'lost-' || case_id, NULL, analyst_id, created, 'unknown case lost-' || case_id FROM feedback WHERE feedback_label = 'fraud'""",
+)
+def _routed_feedback(spark, sf_dir):
+    """All feedback, and again the entries that say fraud, for cases that don't exist."""
+    s = decision_store(spark, sf_dir)
+    entries = s.feedback.select("case_id", "analyst_id", "feedback_label", "notes", "created_at")
+    lost = entries.where("feedback_label = 'fraud'").withColumn("case_id", F.concat(F.lit("lost-"), "case_id"))
+    return route_feedback(entries.unionByName(lost), s.decisions).select(
+        "case_id", "transaction_id", "analyst_id", t("created_at").alias("created"), "error"
+    )
+
+
 @query(
     "feedback_audit",
     f"""{WITH_CASES} SELECT 'fraud_case' AS entity_type, case_id AS entity_id, 'analyst_feedback' AS action, analyst_id AS actor,

@@ -27,7 +27,7 @@ from tallyguard.plans.oracle_parts import FEATURE_LIST, compared_sql, features_c
 from tallyguard.plans.registry import AS_OF, WITH_FEATURES, WITH_MESSAGES, WITH_TX, query
 from tallyguard.plans.training import feature_frame
 from tallyguard.schemas import FEATURES
-from tallyguard.session import work_dir
+from tallyguard.session import work_dir, written
 from tallyguard.sources.adapter import (
     epoch_micros,
     load_transactions,
@@ -137,6 +137,35 @@ def _message_routes(spark, sf_dir):
     return routed.select("event_seq", "route", "error_message")
 
 
+EXTREMES = ["inf", "nan", "1e12", "1e15", "-inf"]
+
+
+@query(
+    "extreme_amounts",
+    f"""{WITH_MESSAGES}, m AS (SELECT *, event_seq // 5 % 5 AS i, route <> 'validation' AND event_seq % 5 = 0 AS extreme FROM messages)
+    SELECT event_seq, CASE WHEN extreme THEN 'processing' ELSE route END AS route, CASE WHEN extreme THEN concat_ws(', ',
+      CASE WHEN i = 4 THEN 'amount must be positive' END, 'amount must be a number below 1000000000000',
+      CASE WHEN event_seq % 71 = 0 AND event_seq % 73 <> 0 THEN 'prior_auth_failures cannot be negative' END) ELSE error_message END AS error_message,
+    CASE WHEN extreme OR route <> 'good' THEN 0 ELSE 1 END AS decided FROM m""",
+)
+def _extreme_amounts(spark, sf_dir):
+    """Every fifth message has an amount that no column can hold; all the others are decided."""
+    from tallyguard.plans.decisions import decide
+
+    seq = F.col("event_seq")
+    chosen = F.get(F.array(*[F.lit(x) for x in EXTREMES]), (F.floor(seq / 5) % 5).cast("int"))
+    changed = F.regexp_replace(
+        "value", F.lit('"amount":"?[0-9.Ee+-]+"?'), F.concat(F.lit('"amount":"'), chosen, F.lit('"'))
+    )
+    messages = raw_messages(load_transactions(spark, sf_dir))
+    messages = messages.withColumn("value", F.when(seq % 5 == 0, changed).otherwise(F.col("value")))
+    routed = written(route_messages(messages), "routed")
+    decided = decide(valid_events(routed)).select("event_seq", F.lit(1).alias("decided"))
+    return lookup(routed.select("event_seq", "route", "error_message"), decided, ["event_seq"], "event_seq").fillna(
+        0, ["decided"]
+    )
+
+
 @query(
     "dead_letters",
     f"""{WITH_MESSAGES} SELECT {uuid_sql("'tx.raw:' || event_seq || ':' || route")} AS dead_letter_id,

@@ -23,6 +23,8 @@ def build_session(app_name: str = "tallyguard", master: str | None = None, **con
         "spark.python.unix.domain.socket.enabled": "true",
         **conf,
     }
+    if "spark.checkpoint.dir" not in settings and (master or "").startswith("local"):
+        settings["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="tallyguard-")
     for name, value in settings.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
@@ -31,13 +33,16 @@ def build_session(app_name: str = "tallyguard", master: str | None = None, **con
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream checkpoints.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a temporary folder is made.
+    It lies in the shared folder named by ``spark.checkpoint.dir``. Where that is unset, a session
+    on one machine gets a temporary folder; on a cluster other machines couldn't see one, so
+    the setting is required there.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _fallback_dirs:
             _fallback_dirs[app] = tempfile.mkdtemp(prefix="tallyguard-")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyguard.functions.scalars import hour_start
 from tallyguard.operators.rules import Rule, apply_rules, load_rules
 from tallyguard.operators.scoring import FittedScorer, LogisticScorer, score
 from tallyguard.operators.validate import GOOD, dead_letters, normalise, route_messages
@@ -30,19 +31,17 @@ COPY_SALTS = 8
 
 
 @contextmanager
-def stream_settings(spark: SparkSession) -> Iterator[None]:
+def stream_settings(spark: SparkSession, state_partitions: int | None = None) -> Iterator[None]:
     """Settings a stream takes over when it starts; the session gets its own back.
 
     State lies in RocksDB: it may grow beyond the heap, and stateful processors need it. Every
-    state partition is a store of its own that commits in each micro-batch, so there are at
-    most twice as many as cores. A checkpoint keeps the number it began with.
+    state partition is a store of its own that commits in each micro-batch. A checkpoint keeps
+    the number of partitions it began with, so ``state_partitions`` should suit the cluster that
+    the stream may grow to; unless given, it is ``spark.sql.shuffle.partitions``.
     """
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cores = spark.sparkContext.defaultParallelism
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
-        "spark.sql.shuffle.partitions": str(min(partitions, 2 * cores)),
-    }
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if state_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
@@ -53,13 +52,19 @@ def stream_settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def drop_repeats(events: DataFrame, horizon: str = "30 days", copy_salts: int = COPY_SALTS) -> DataFrame:
-    """First delivery of each event id within the horizon.
+def drop_repeats(
+    events: DataFrame, horizon: str = "30 days", copy_salts: int = COPY_SALTS, clock: str = "event_time"
+) -> DataFrame:
+    """First delivery of each event id within the horizon of the ``clock`` column.
+
+    Rows older than the horizon behind the newest one are dropped with the claims they would
+    need. The clock of the decision job is the arrival time, which hardly runs backwards, so an
+    event that is late by its own time is still claimed and decided.
 
     Deliveries are first reduced per (id, salt) and then per id, so that an id delivered very
     often does not send all its copies to one task.
     """
-    marked = events.withWatermark("event_time", horizon)
+    marked = events.withWatermark(clock, horizon)
     if copy_salts > 1:
         marked = (
             marked.withColumn("__salt", F.pmod(F.xxhash64("event_seq"), F.lit(copy_salts)))
@@ -78,8 +83,10 @@ def decided_stream(
     model takes effect without a restart.
     """
     routed = route_messages(messages)
-    good = routed.where(F.col("route") == GOOD).select("event.*", "event_seq")
-    enriched = stream_features(drop_repeats(good, horizon, copy_salts), **feature_options)
+    arrived = F.coalesce("timestamp", F.col("event")["event_time"]).alias("__arrived")
+    good = routed.where(F.col("route") == GOOD).select("event.*", "event_seq", arrived)
+    claimed = drop_repeats(good, horizon, copy_salts, "__arrived").drop("__arrived")
+    enriched = stream_features(claimed, **feature_options)
     payload = F.struct(*enriched.columns).alias("good")
     kept = enriched.select(F.lit(GOOD).alias("route"), payload)
     bad = routed.where(F.col("route") != GOOD)
@@ -109,6 +116,7 @@ class BatchWriter:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        decided = None
         try:
             enriched = normalise(batch.where(F.col("route") == GOOD).select("good.*"))
             judged = score(apply_rules(enriched, self.rules), self._current_scorer())
@@ -120,8 +128,9 @@ class BatchWriter:
             write_batch(letters, f"{self.out_dir}/dead_letters", batch_id)
             messages = fan_out(decided).unionByName(dead_letter_messages(letters))
             write_messages(messages, f"{self.out_dir}/messages", batch_id)
-            decided.unpersist()
         finally:
+            if decided is not None:
+                decided.unpersist()
             batch.unpersist()
 
 
@@ -131,10 +140,11 @@ def start_stream(
     checkpoint: str,
     writer: BatchWriter | None = None,
     trigger: dict[str, object] | None = None,
+    state_partitions: int | None = None,
     **options: object,
 ) -> StreamingQuery:
     """Starts the decision job on a stream of messages."""
-    with stream_settings(messages.sparkSession):
+    with stream_settings(messages.sparkSession, state_partitions):
         return (
             decided_stream(messages, **options)
             .writeStream.queryName("decisions")
@@ -160,12 +170,29 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
-def hourly_counts(events: DataFrame, label: str, delay: str = "10 minutes") -> DataFrame:
-    """Streaming hourly counts by label; an hour is final once the watermark has passed it."""
-    windowed = events.withWatermark("event_time", delay).groupBy(F.window("event_time", "1 hour"), label)
-    return windowed.count().select(
-        F.unix_seconds(F.col("window")["start"]).alias("bucket"), label, "count"
+def run_hourly_counts(events: DataFrame, label: str, path: str, checkpoint: str) -> None:
+    """Writes the counts by hour and label that each micro-batch adds.
+
+    A micro-batch needs no state and no watermark: its counts go to a folder of its own, which a
+    retry overwrites. So no row is too late, and an hour is readable while it is still open.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        hour = hour_start(F.unix_micros("event_time")).alias("bucket")
+        write_batch(batch.groupBy(hour, label).agg(F.count(F.lit(1)).alias("added")), path, batch_id)
+
+    query = (
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(add)
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+
+
+def hourly_counts(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """The counts so far: the sum of what the micro-batches added."""
+    return spark.read.parquet(path).groupBy("bucket", label).agg(F.sum("added").alias("count"))
 
 
 def progress_counters(query: StreamingQuery) -> list[dict[str, object]]:
