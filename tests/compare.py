@@ -27,7 +27,7 @@ def connect(sf_dir: str):
 
 def same(a, b) -> bool:
     if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6) or (math.isnan(a) and math.isnan(b))
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=5e-7) or (math.isnan(a) and math.isnan(b))
     return a == b
 
 
