@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +64,12 @@ def labelled(frame: DataFrame) -> DataFrame:
     return frame.where(F.col("label").isNotNull())
 
 
-def training_source(frame: DataFrame, fallback: DataFrame, minimum: int = MINIMUM_LABELLED) -> DataFrame:
-    """The labelled table rows where there are enough of them, else the fallback dataset."""
+def training_source(
+    frame: DataFrame, fallback: Callable[[], DataFrame], minimum: int = MINIMUM_LABELLED
+) -> DataFrame:
+    """The labelled table rows where there are enough of them, else the fallback data set, which is
+    read only then."""
     rows = labelled(frame)
     if rows.limit(minimum).count() < minimum:
-        return fallback
+        return fallback()
     return rows

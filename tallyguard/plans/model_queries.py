@@ -25,8 +25,8 @@ from tallyguard.plans.training import bootstrap, drift_samples, feature_frame, l
 from tallyguard.schemas import FEATURES
 from tallyguard.session import work_dir, written
 from tallyguard.sources.adapter import load_transactions
-from tallyguard.sources.sinks import registry_rows
-from tallyguard.sources.tables import current_model, current_models
+from tallyguard.sources.sinks import export_csv, registry_rows
+from tallyguard.sources.tables import current_model, current_models, read_csv_events
 
 TRAINING_ROUNDS = 20
 
@@ -43,6 +43,12 @@ labels_out AS (
 OUT = "transaction_id, latest_feedback_label, feedback_count, label, label_source"
 
 
+def dataset_labels(spark, path):
+    """Labelled rows of a CSV data set, with the columns that training needs of table rows."""
+    rows = labelled(read_csv_events(spark, path))
+    return rows.withColumns({"label": F.col("label").cast("bigint"), "label_source": F.lit("dataset")})
+
+
 def _labels(spark, sf_dir):
     s = decision_store(spark, sf_dir)
     return training_frame(s.raw, s.feedback).withColumn("label", F.col("label").cast("bigint"))
@@ -64,7 +70,25 @@ def _labelled_rows(spark, sf_dir):
 )
 def _training_source(spark, sf_dir):
     frame = _labels(spark, sf_dir)
-    rows = training_source(frame, frame.limit(0))
+    rows = training_source(frame, lambda: dataset_labels(spark, _dataset(spark, sf_dir)))
+    return rows.groupBy("label_source", "label").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _dataset(spark, sf_dir):
+    """The events as a CSV data set."""
+    path = work_dir(spark, "dataset")
+    export_csv(load_transactions(spark, sf_dir), path)
+    return path
+
+
+@query(
+    "training_source_from_dataset",
+    f"{WITH_TX} SELECT 'dataset' AS label_source, CAST(label AS BIGINT) AS label, count(*) AS events FROM tx WHERE label IS NOT NULL GROUP BY ALL",
+)
+def _training_source_from_dataset(spark, sf_dir):
+    """With too few labelled rows in the table, the labelled rows of the CSV data set."""
+    frame = _labels(spark, sf_dir).where("event_seq < 0")
+    rows = training_source(frame, lambda: dataset_labels(spark, _dataset(spark, sf_dir)))
     return rows.groupBy("label_source", "label").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -339,20 +363,38 @@ def _drift_with_cold_start(spark, sf_dir):
     return _report_out(drift_report(*drift_samples(tx.where(early), tx.where(~early), cold_start=True)))
 
 
-@query("trained_classifier")
+@query(
+    "trained_classifier",
+    f"""{WITH_TX}, n AS (SELECT count(*) AS n FROM tx WHERE label IS NOT NULL)
+    SELECT 'fraud_gbt' AS model_name, '1' AS model_version, 'champion' AS alias, n - greatest(CAST(floor(n * 0.8e0) AS BIGINT), 1) AS test_rows,
+      unnest(['f1', 'pr_auc', 'precision', 'recall', 'roc_auc']) AS metric, true AS in_range, true AS thresholds_in_order FROM n""",
+)
 def _trained_classifier(spark, sf_dir):
-    """Trains a boosted classifier on all labelled events and reports its test metrics."""
+    """Trains a boosted classifier on all labelled events and registers it with its test metrics."""
     frame = feature_frame(labelled(load_transactions(spark, sf_dir)))
     model_dir = work_dir(spark, "models")
-    train(spark, frame, model_dir, rounds=TRAINING_ROUNDS)
+    result = train(spark, frame, model_dir, rounds=TRAINING_ROUNDS)
     row = current_model(registry(spark, model_dir))
     meta = F.col("metadata")
+    ordered = (meta["review_threshold"] >= 0.1) & (meta["review_threshold"] < meta["block_threshold"])
+    tested = sum(map(sum, result["confusion_matrix"]))
     return row.select(
-        "model_name", "model_version", "alias", meta["review_threshold"].alias("review_threshold"), F.explode(meta["metrics"])
+        "model_name", "model_version", "alias", ordered.alias("thresholds_in_order"), F.explode(meta["metrics"])
+    ).select(
+        "model_name",
+        "model_version",
+        "alias",
+        F.lit(tested).cast("bigint").alias("test_rows"),
+        F.col("key").alias("metric"),
+        F.col("value").between(0.05, 1.0).alias("in_range"),
+        "thresholds_in_order",
     )
 
 
-@query("scored_by_classifier")
+@query(
+    "scored_by_classifier",
+    f"{WITH_TX} SELECT event_seq, true AS in_range, true AS as_scored FROM tx",
+)
 def _scored_by_classifier(spark, sf_dir):
     """Decisions of all events by the current model of the registry, trained if there is none."""
     from tallyguard.plans.decisions import decide
@@ -360,8 +402,19 @@ def _scored_by_classifier(spark, sf_dir):
     tx = load_transactions(spark, sf_dir)
     model_dir = work_dir(spark, "models")
     bootstrap(spark, feature_frame(labelled(tx)), model_dir, rounds=TRAINING_ROUNDS)
-    events = decide(tx, scorer=load_scorer(spark, model_dir))
-    return events.select("event_seq", "model_probability", "final_score", "decision")
+    scorer = load_scorer(spark, model_dir)
+    events = decide(tx, scorer=scorer)
+    p, total = F.col("model_probability"), F.col("final_score")
+    most = F.least(F.lit(1.0), p * 0.78 + 0.35)
+    lenient = (total < scorer.model.review_threshold) & (F.size("rule_hits") == 0)
+    return events.select(
+        "event_seq",
+        (p.between(0.0, 1.0) & (total >= p * 0.78 - 1e-9) & (total <= most + 1e-9)).alias("in_range"),
+        F.when(lenient, F.col("decision") == "APPROVE")
+        .when(total >= scorer.model.block_threshold, F.col("decision") == "BLOCK")
+        .otherwise(F.col("decision").isin("APPROVE", "REVIEW", "BLOCK"))
+        .alias("as_scored"),
+    )
 
 
 @query(

@@ -1,8 +1,9 @@
 """Typed decoding of JSON messages against the closed event contract.
 
-The text is parsed into one VARIANT per field, which tells the JSON type, and into one text per
-field. Each field is then checked and converted by its own rules: text stays text, numbers may come as numeric strings, flags as 0/1 or yes/no words,
-times as ISO text or epochs. Every violation is listed; a message without any is an event.
+The text is parsed once, into a map of VARIANT, which tells the JSON type of each field. Each
+field is then checked and converted by its own rules: text stays text, numbers may come as
+numeric strings, flags as 0/1 or yes/no words, times as ISO text or epochs. Every violation is
+listed; a message without any is an event.
 """
 
 from __future__ import annotations
@@ -133,25 +134,24 @@ def decode_events(messages: DataFrame, value: str = "value", arrival: str | None
     missing event time becomes the arrival time.
     """
     received = F.col(arrival) if arrival else F.current_timestamp()
-    variants = "struct<" + ", ".join(f"{name}:variant" for name in CONTRACT) + ">"
-    texts = "struct<" + ", ".join(f"{name}:string" for name in CONTRACT) + ">"
+    # One parse gives every field with its type; an object that can't be read as such is null.
+    parsed = computed_once(messages, {"__m": F.from_json(value, "map<string,variant>")})
     parsed = computed_once(
-        messages,
+        parsed,
         {
-            "__v": F.from_json(value, variants),
-            "__t": F.from_json(value, texts),
-            "__keys": F.json_object_keys(F.col(value)),
+            "__keys": F.map_keys("__m"),
+            **{f"__v_{name}": F.try_element_at("__m", F.lit(name)) for name in CONTRACT},
         },
     )
-    parsed = computed_once(
-        parsed, {f"__k_{name}": F.schema_of_variant(F.col("__v")[name]) for name in CONTRACT}
-    )
+    described = {f"__k_{name}": F.schema_of_variant(f"__v_{name}") for name in CONTRACT}
+    texts = {f"__t_{name}": F.try_variant_get(F.col(f"__v_{name}"), "$", "string") for name in CONTRACT}
+    parsed = computed_once(parsed, {**described, **texts})
     checked = [name for name in CONTRACT if not _plain_text(name)]
     parsed = computed_once(
         parsed,
         {
             f"__c_{name}": _convert(
-                name, F.col("__v")[name], _kind(F.col(f"__k_{name}")), F.col("__t")[name]
+                name, F.col(f"__v_{name}"), _kind(F.col(f"__k_{name}")), F.col(f"__t_{name}")
             )
             for name in checked
         },
@@ -159,7 +159,7 @@ def decode_events(messages: DataFrame, value: str = "value", arrival: str | None
     converted = {
         name: F.col(f"__c_{name}")
         if name in checked
-        else F.when(F.col(f"__k_{name}") == "STRING", F.col("__t")[name])
+        else F.when(F.col(f"__k_{name}") == "STRING", F.col(f"__t_{name}"))
         for name in CONTRACT
     }
     unknown = F.array_sort(F.array_except(F.col("__keys"), F.array(*[F.lit(n) for n in CONTRACT])))

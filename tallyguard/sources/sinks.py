@@ -206,6 +206,27 @@ def write_messages(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").partitionBy("topic").parquet(target)
 
 
+def topic_options(brokers: str, **more: str) -> dict[str, str]:
+    """Options of the topic writer: all replicas confirm, and a retry doesn't write twice."""
+    return {
+        "kafka.bootstrap.servers": brokers,
+        "kafka.acks": "all",
+        "kafka.enable.idempotence": "true",
+        "kafka.compression.type": "zstd",
+        **more,
+    }
+
+
+def topic_rows(messages: DataFrame) -> DataFrame:
+    """Messages as the topic writer takes them: binary key and value, and the topic of each row."""
+    return messages.select(F.col("key").cast("binary"), F.col("value").cast("binary"), "topic")
+
+
+def write_topics(messages: DataFrame, brokers: str, **more: str) -> None:
+    """Sends messages to their topics. Needs Spark's Kafka package on the class path."""
+    topic_rows(messages).write.format("kafka").options(**topic_options(brokers, **more)).save()
+
+
 def export_csv(events: DataFrame, path: str) -> None:
     """Contract columns as CSV with a header, ``metadata`` as JSON text, times in UTC."""
     columns = []

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tallyguard.functions.scalars import hour_start
 from tallyguard.operators.rules import Rule, apply_rules, load_rules
@@ -207,3 +208,44 @@ def progress_counters(query: StreamingQuery) -> list[dict[str, object]]:
         }
         for p in query.recentProgress
     ]
+
+
+class StreamCounters(StreamingQueryListener):
+    """Keeps what each micro-batch reported, while the stream runs: rows, rows too late for the
+    claims, and how long the batch and its phases took. Only the newest ``keep`` are held."""
+
+    def __init__(self, keep: int = 1_000) -> None:
+        self.rows: deque[dict[str, object]] = deque(maxlen=keep)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append(
+            {
+                "name": p.name,
+                "batch_id": p.batchId,
+                "started": p.timestamp,
+                "input_rows": p.numInputRows,
+                "late_rows": sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+                "state_rows": sum(s.numRowsTotal for s in p.stateOperators),
+                "state_commit_ms": sum(s.commitTimeMs for s in p.stateOperators),
+                "batch_ms": p.durationMs.get("triggerExecution", 0),
+            }
+        )
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The held batches as a table, the input of rates, latency histograms and alerts."""
+        schema = (
+            "name string, batch_id long, started string, input_rows long, late_rows long, state_rows long, "
+            "state_commit_ms long, batch_ms long"
+        )
+        table = spark.createDataFrame(list(self.rows), schema)
+        return table.withColumn("started", F.col("started").cast("timestamp"))

@@ -49,8 +49,8 @@ def test_latest_feedback_overrides_the_label(spark):
     labels = {(r["transaction_id"], r["position"]): r["feedback_label"] for r in feedback_labels(given).collect()}
     assert labels[("txn_2", 1)] == "legitimate" and labels[("txn_2", 2)] == "fraud"
     assert labels[("txn_1", 1)] == "fraud"
-    assert training_source(raw, raw.limit(0)).count() == 0
-    assert training_source(raw, raw.limit(0), minimum=2).count() == 3
+    assert training_source(raw, lambda: raw.limit(0)).count() == 0
+    assert training_source(raw, lambda: raw.limit(0), minimum=2).count() == 3
 
 
 def test_case_paging_and_status(spark):

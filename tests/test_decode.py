@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyguard.functions.scalars import round_exact, scenario_label
 from tallyguard.operators.dedupe import claim_first, duplicate_deliveries, duplicate_report, latest_per_key
 from tallyguard.operators.validate import dead_letters, route_messages, valid_events
+from tallyguard.plans.decisions import decide
+from tallyguard.sources.sinks import raw_rows
 
 SCHEMA = "key string, value string, topic string, timestamp timestamp, event_seq long"
 
@@ -142,3 +144,33 @@ def test_scenario_labels(spark):
         "unknown scenario",
         "unknown scenario",
     ]
+
+
+EXTREME = ["inf", "-inf", "nan", 1e12, 1e15, 1e300, "1e400"]
+
+
+@pytest.mark.parametrize("amount", EXTREME)
+def test_an_amount_out_of_range_is_a_dead_letter_and_the_others_are_decided(spark, amount):
+    other = body(event_id="00000000-0000-0000-0000-000000000002")
+    df = routed(spark, body(amount=amount), other).persist()
+    letters = dead_letters(df).collect()
+    assert [x["failed_stage"] for x in letters] == ["processing"]
+    assert "amount must be" in letters[0]["error_message"]
+    decided = decide(valid_events(df))
+    assert raw_rows(decided).count() == 1 and decided.first()["decision"] is not None
+
+
+def test_the_largest_amount_is_stored(spark):
+    decided = decide(valid_events(routed(spark, body(amount=999_999_999_999.99))))
+    assert float(raw_rows(decided).first()["amount"]) == 999_999_999_999.99
+
+
+@pytest.mark.parametrize("field", ["latitude", "longitude"])
+def test_a_place_that_is_no_number_is_a_dead_letter(spark, field):
+    assert routed(spark, body(**{field: "nan"})).first()["error_message"] == f"{field} must be a finite number"
+
+
+def test_repeated_and_nested_fields(spark):
+    text = json.dumps(body())
+    rows = routed(spark, text[:-1] + ', "metadata": {"k": [1, {"a": null}]}}', "{}", "", "null", '"text"').collect()
+    assert [r["route"] for r in rows[1:]] == ["validation"] * 4

@@ -1,15 +1,29 @@
 from __future__ import annotations
 
 import json
+import time
+from collections import Counter
+from dataclasses import replace
+from datetime import timedelta
 
 from helpers import assert_features, expected_features, frame, random_events
 from pyspark.sql import functions as F
 
 from tallyguard.functions.scalars import iso_utc
 from tallyguard.operators.features import add_features
+from tallyguard.operators.scoring import LogisticScorer
 from tallyguard.schemas import CONTRACT
+from tallyguard.sources.sinks import topic_options, topic_rows
 from tallyguard.sources.streams import MESSAGE_SCHEMA, file_messages
-from tallyguard.streaming.job import BatchWriter, progress_counters, run_to_table, start_stream
+from tallyguard.streaming.job import (
+    BatchWriter,
+    StreamCounters,
+    hourly_counts,
+    progress_counters,
+    run_hourly_counts,
+    run_to_table,
+    start_stream,
+)
 from tallyguard.streaming.processor import stream_features
 
 
@@ -117,3 +131,78 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     writer(batch, 7)
     writer(batch, 7)
     assert spark.read.parquet(f"{tmp_path}/out/fraud_decisions").count() == 20
+
+
+class Versions:
+    """Hands out the second model from the second micro-batch on."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __call__(self):
+        self.calls += 1
+        return versioned("2") if self.calls > 1 else None
+
+
+def versioned(version):
+    scorer = LogisticScorer()
+    scorer.model = replace(scorer.model, model_version=version)
+    return scorer
+
+
+def test_a_new_model_takes_effect_between_micro_batches(spark, tmp_path):
+    rows = random_events(15, 40)
+    messages_of(spark, rows, f"{tmp_path}/in", 2)
+    writer = BatchWriter(f"{tmp_path}/out", versioned("1"), reload=Versions())
+    counters = StreamCounters()
+    spark.streams.addListener(counters)
+    try:
+        start_stream(
+            file_messages(spark, f"{tmp_path}/in/part*"), f"{tmp_path}/out", f"{tmp_path}/cp", writer, state_partitions=2
+        ).awaitTermination()
+        deadline = time.time() + 20
+        while sum(r["input_rows"] for r in counters.rows) < len(rows) and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counters)
+    scored = spark.read.parquet(f"{tmp_path}/out/transactions_scored")
+    used = scored.select("batch_id", "model_version").distinct().collect()
+    assert {(r["batch_id"] > 0, r["model_version"]) for r in used} == {(False, "1"), (True, "2")}
+    table = counters.frame(spark)
+    # The source is read once for each branch of the stream.
+    assert table.agg(F.sum("input_rows")).first()[0] >= len(rows)
+    assert table.where("batch_ms > 0 AND started IS NOT NULL").count() >= 2
+
+
+def test_late_events_are_decided_and_every_message_has_one_route(spark, tmp_path):
+    rows = random_events(16, 60)
+    late = [dict(r, event_time=r["event_time"] - timedelta(days=45)) for r in rows[:9]]
+    kept = rows[9:]
+    messages_of(spark, kept, f"{tmp_path}/a", 1)
+    messages_of(spark, late, f"{tmp_path}/b", 1)
+    arrived = F.lit(max(r["event_time"] for r in kept).replace(tzinfo=None)).cast("timestamp")
+    spark.read.parquet(f"{tmp_path}/a/part0").write.parquet(f"{tmp_path}/in/part0")
+    spark.read.parquet(f"{tmp_path}/b/part0").withColumn("timestamp", arrived).write.parquet(f"{tmp_path}/in/part1")
+    bad = [("k", "{}", "tx.raw", None, 9_001), ("k", None, "tx.raw", None, 9_002)]
+    spark.createDataFrame(bad, MESSAGE_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part2")
+    start_stream(file_messages(spark, f"{tmp_path}/in/part*"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    decided = {r["transaction_id"] for r in spark.read.parquet(f"{tmp_path}/out/transactions_scored").collect()}
+    letters = spark.read.parquet(f"{tmp_path}/out/dead_letters").count()
+    assert decided == {r["transaction_id"] for r in rows}
+    assert len(decided) + letters == len(rows) + len(bad)
+
+
+def test_hours_are_counted_while_they_are_open(spark, tmp_path):
+    rows = random_events(17, 80)
+    schema = write_parts(spark, rows, f"{tmp_path}/in", 3)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part*")
+    run_hourly_counts(live, "channel", f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = {(r["bucket"], r["channel"]): r["count"] for r in hourly_counts(spark, f"{tmp_path}/out", "channel").collect()}
+    wanted = Counter((int(r["event_time"].timestamp()) // 3600 * 3600, r["channel"]) for r in rows)
+    assert got == wanted
+
+
+def test_topic_rows_are_binary(spark):
+    rows = topic_rows(spark.createDataFrame([("k", "v", "t")], "key string, value string, topic string"))
+    assert [f.dataType.simpleString() for f in rows.schema] == ["binary", "binary", "string"]
+    assert topic_options("a:1", linger="5")["kafka.acks"] == "all"
