@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.session import written
+from tallyguard.llm.joins import join_counted
 from tallyguard.llm.workers import map_arrow
+from tallyguard.session import written
 
 DISTANCE = 2
 SHINGLE = 3
@@ -216,15 +217,19 @@ def near_duplicates(
     it are such rows: then it is null. An empty table gives no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    classes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
+    least = prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = written(least, "classes")
     roots = stars(linked_fingerprints(classes.select("print"), distance))
     members = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = members.join(classes, members["node"] == classes["print"]).select("print", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = linked.join(smallest, "root").select("print", "component_id")
-    components = classes.join(of_linked, "print", "left").select(
-        "print", F.coalesce("component_id", "least").alias("component_id")
+    components = written(
+        classes.join(of_linked, "print", "left").select(
+            "print", "copies", F.coalesce("component_id", "least").alias("component_id")
+        ),
+        "components",
     )
-    return prints.join(components, "print").select(
+    return join_counted(prints, components, "print", "copies").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
