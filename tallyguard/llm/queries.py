@@ -41,8 +41,8 @@ ORACLES["op1_license_scan"] = licenses.oracle()
 
 @query
 def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, in runs of 50 words or more."""
-    return repeats.repeated_units(_table(spark, sf_dir, "documents")).drop("place")
+    """Passages of 50 words or more that an earlier document, or place in the document, has."""
+    return repeats.repeats(_table(spark, sf_dir, "documents")).drop("place")
 
 
 ORACLES["op2_repeated_lines"] = repeats.oracle()

@@ -1,9 +1,12 @@
 """Substring de-duplication by hashing lines or paragraphs.
 
-Every unit is normalised (lower case, white space as one space) and hashed. The digests are
-grouped over the whole table; the earliest occurrence of a digest stays, the others are
-repeats. Repeats that follow one another in a document form a run, and runs of enough words are
-removed. Units keep their offsets in the original text.
+A text is divided into units: paragraphs, lines, or lines divided at the ends of their sentences,
+so that a passage is also found where it was put into the middle of a line. Every unit is
+normalised (lower case, white space as one space) and hashed. The digests are grouped over the
+whole table; the earliest occurrence of a digest stays, the others are repeats. Repeats that
+follow one another in a document form a run, and a run is removed if the passage it belongs to
+may have the wanted number of words: the run itself, or the run with the units at its two ends,
+which may hold the passage's first and last words. Runs keep their offsets in the original text.
 """
 
 from __future__ import annotations
@@ -21,9 +24,15 @@ from tallyguard.llm.workers import map_arrow
 from tallyguard.session import written
 
 LEAST_WORDS = 50
+LEAST_RUN = 18
 
-# How the units of a text are divided.
-DIVIDERS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*")}
+# Where a text is divided into units.
+DIVIDERS = {
+    "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*"),
+    "line": re.compile(r"\n"),
+    "sentence": re.compile(r"\n|(?<=[.!?])(?= )"),
+}
+_EDGES = " \t\r\n\f\v"
 
 _UNITS = pa.schema(
     [
@@ -33,24 +42,36 @@ _UNITS = pa.schema(
         ("unit", pa.int32()),
         ("start", pa.int64()),
         ("end", pa.int64()),
-        ("words", pa.int64()),
+        ("words", pa.int32()),
+        ("words_before", pa.int32()),
+        ("words_after", pa.int32()),
         ("digest", pa.binary()),
     ]
 )
-_UNITS_DDL = "doc_id long, place long, rank long, unit int, start long, end long, words long, digest binary"
+_UNITS_DDL = (
+    "doc_id long, place long, rank long, unit int, start long, end long, words int, words_before int, words_after int, "
+    "digest binary"
+)
 
 
-def units(text: str | None, divider: re.Pattern) -> Iterator[tuple[int, int, int, bytes]]:
-    """Start, end, words and digest of every unit that has words; offsets in code points."""
+def units(text: str | None, divider: re.Pattern) -> list[tuple[int, int, int, int, int, bytes]]:
+    """Start, end, words, words of the units before and after, and digest of every unit that has
+    words. Offsets are in code points; white space at the edges isn't part of a unit."""
     if not text:
-        return
-    at = 0
+        return []
+    found, at = [], 0
     borders = [(m.start(), m.end()) for m in divider.finditer(text)]
     for end, after in [*borders, (len(text), len(text))]:
-        words = text[at:end].lower().encode().split()
+        unit = text[at:end]
+        words = unit.lower().encode().split()
         if words:
-            yield at, end, len(words), hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
+            start = at + len(unit) - len(unit.lstrip(_EDGES))
+            end = at + len(unit.rstrip(_EDGES))
+            digest = hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
+            found.append((start, end, len(words), digest))
         at = after
+    sizes = [0, *(unit[2] for unit in found), 0]
+    return [(s, e, n, sizes[i], sizes[i + 2], d) for i, (s, e, n, d) in enumerate(found)]
 
 
 def _split(divider: re.Pattern):
@@ -69,24 +90,26 @@ def _split(divider: re.Pattern):
     return run
 
 
-def repeated_units(
+def repeats(
     docs: DataFrame,
-    unit: str = "line",
+    unit: str = "sentence",
     least_words: int = LEAST_WORDS,
+    least_run: int = LEAST_RUN,
     id_col: str = "doc_id",
     text_col: str = "text",
     rank_col: str | None = None,
     place_col: str | None = None,
 ) -> DataFrame:
-    """One row per removed unit: document, start and end in its text (code points, end exclusive),
-    words, digest, and document and start of the occurrence that stays.
+    """One row per removed run: document, start and end in its text (code points, end exclusive),
+    units, words, digest of the first unit, and document and start of that unit's occurrence that
+    stays; ``place`` numbers the document's row.
 
     Occurrences are ranked by the integer ``rank_col`` (the document id, unless given), then by id,
     then by ``place_col`` (a number of each row; unless given, the order in which Spark reads the
-    rows), then by place in the text; nulls come first. A run
-    of following repeats is removed if it has ``least_words`` words or more; units without words
-    don't interrupt it. Null and empty texts have no units. Copies of whole rows are repeats
-    like any other. An empty table gives no rows.
+    rows), then by place in the text; nulls come first. A run is removed if it has
+    ``least_words`` words, or if it has ``least_run`` and reaches ``least_words`` with the units
+    next to it; units without words don't interrupt it. Null and empty texts have no units.
+    Copies of whole rows are repeats like any other. An empty table gives no rows.
     """
     place = F.col(place_col) if place_col else F.monotonically_increasing_id()
     rows = docs.select(
@@ -99,23 +122,30 @@ def repeated_units(
     order = F.struct("rank", "doc_id", "place", "unit", "start")
     first = found.groupBy("digest").agg(F.count("*").alias("copies"), F.min(order).alias("first")).where("copies > 1")
     first = written(first, "first")
-    repeats = join_counted(found, first, "digest", "copies").where(order > F.col("first"))
+    later = join_counted(found, first, "digest", "copies").where(order > F.col("first"))
     in_doc = Window.partitionBy("place").orderBy("unit")
-    runs = repeats.withColumn("run", F.col("unit") - F.row_number().over(in_doc))
-    of_run = Window.partitionBy("place", "run")
-    return (
-        runs.withColumn("run_words", F.sum("words").over(of_run))
-        .where(F.col("run_words") >= least_words)
-        .select(
-            "doc_id",
-            "start",
-            "end",
-            "words",
-            F.lower(F.hex("digest")).alias("digest"),
-            F.col("first.doc_id").alias("kept_doc_id"),
-            F.col("first.start").alias("kept_start"),
-            "place",
-        )
+    runs = later.withColumn("run", F.col("unit") - F.row_number().over(in_doc))
+    whole = runs.groupBy("place", "run").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.count("*").alias("units"),
+        F.sum("words").alias("words"),
+        F.min(F.struct("unit", "words_before", "digest", "first")).alias("head"),
+        F.max(F.struct("unit", "words_after")).alias("tail"),
+    )
+    reach = F.col("words") + F.col("head.words_before") + F.col("tail.words_after")
+    enough = (F.col("words") >= least_words) | (F.col("words") >= least_run) & (reach >= least_words)
+    return whole.where(enough).select(
+        "doc_id",
+        "start",
+        "end",
+        "units",
+        "words",
+        F.lower(F.hex("head.digest")).alias("digest"),
+        F.col("head.first.doc_id").alias("kept_doc_id"),
+        F.col("head.first.start").alias("kept_start"),
+        "place",
     )
 
 
@@ -129,39 +159,45 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, spans in zip(batch.column(column), batch.column(_SPANS).to_pylist(), strict=True):
             text = text.as_py()
             for span in sorted(spans or [], key=lambda s: -s["start"]):
-                after = span["end"] + (text[span["end"] : span["end"] + 1] == "\n")
-                text = text[: span["start"]] + text[after:]
+                start, end = span["start"], span["end"]
+                whole_line = (start == 0 or text[start - 1] == "\n") and text[end : end + 1] == "\n"
+                text = text[:start] + text[end + whole_line :]
             texts.append(text)
         yield batch.set_column(column, batch.schema.field(column), pa.array(texts, pa.string()))
 
 
-def without_repeats(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows with the repeats, and the line end after each, cut out of the string column
-    ``text``; all other columns stay. The rows are numbered and written first."""
+def without_repeats(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows with the removed runs cut out of the string column ``text``, and with them the line
+    end where whole lines go; all other columns stay. The rows are numbered and written first."""
     numbered = written(docs.withColumn(_PLACE, F.monotonically_increasing_id()), "numbered")
-    removed = repeated_units(numbered, unit, least_words, place_col=_PLACE)
+    removed = repeats(numbered, place_col=_PLACE, **options)
     spans = removed.groupBy(F.col("place").alias(_PLACE)).agg(F.collect_list(F.struct("start", "end")).alias(_SPANS))
     joined = numbered.join(spans, _PLACE, "left")
     return map_arrow(joined, _cut, joined.schema).drop(_PLACE, _SPANS)
 
 
-def oracle(table: str = "documents", least_words: int = LEAST_WORDS) -> str:
-    """The repeated lines as DuckDB SQL, for tables whose document ids are all different."""
+def oracle(table: str = "documents", least_words: int = LEAST_WORDS, least_run: int = LEAST_RUN) -> str:
+    """The repeats by sentences as DuckDB SQL, for tables whose document ids are all different."""
     return f"""
-WITH parts AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS part,
-         generate_subscripts(string_split(text, chr(10)), 1) AS line FROM {table}
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS place FROM {table}
+),
+pieces AS (
+  SELECT doc_id, place, unnest(parts) AS part, generate_subscripts(parts, 1) AS piece, len(parts) AS pieces
+  FROM (SELECT *, string_split(regexp_replace(line, '([.!?]) ', '\\1' || chr(31) || ' ', 'g'), chr(31)) AS parts FROM lines)
 ),
 placed AS (
-  SELECT *, coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY line
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "start",
+  SELECT *, coalesce(sum(length(part) + CASE WHEN piece = pieces THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place, piece
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
          list_filter(regexp_split_to_array(lower(part), '[ \\t\\n\\f\\r\\v]+'), lambda x: x <> '') AS words
-  FROM parts
+  FROM pieces
 ),
 units AS (
-  SELECT doc_id, "start", "start" + length(part) AS "end", len(words)::BIGINT AS words,
-         md5(array_to_string(words, ' ')) AS digest, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS unit
-  FROM placed WHERE len(words) > 0
+  SELECT doc_id, pos + length(part) - length(ltrim(part)) AS "start", pos + length(rtrim(part)) AS "end",
+         len(words)::BIGINT AS words, md5(array_to_string(words, ' ')) AS digest,
+         row_number() OVER w AS unit, coalesce(lag(len(words)) OVER w, 0) AS words_before, coalesce(lead(len(words)) OVER w, 0) AS words_after
+  FROM placed WHERE len(words) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY place, piece)
 ),
 ranked AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value("start") OVER w AS kept_start,
@@ -170,8 +206,12 @@ ranked AS (
 ),
 runs AS (
   SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE occurrence > 1
+),
+whole AS (
+  SELECT doc_id, min("start") AS "start", max("end") AS "end", count(*) AS units, sum(words)::BIGINT AS words,
+         arg_min(digest, unit) AS digest, arg_min(kept_doc_id, unit) AS kept_doc_id, arg_min(kept_start, unit) AS kept_start,
+         arg_min(words_before, unit) + arg_max(words_after, unit) AS around
+  FROM runs GROUP BY doc_id, run
 )
-SELECT doc_id, "start", "end", words, digest, kept_doc_id, kept_start FROM (
-  SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM runs
-) WHERE run_words >= {least_words}
+SELECT * EXCLUDE (around) FROM whole WHERE words >= {least_words} OR words >= {least_run} AND words + around >= {least_words}
 """

@@ -77,25 +77,47 @@ REPEATS = [
 ]
 
 
+def spans(rows):
+    return sorted((r.doc_id, r.start, r.end, r.units, r.words, r.kept_doc_id, r.kept_start) for r in rows.collect())
+
+
 def test_repeated_lines(spark):
-    found = sorted((r.doc_id, r.start, r.end, r.words, r.kept_doc_id, r.kept_start) for r in repeats.repeated_units(awkward(spark, REPEATS)).collect())
-    short = len("short line")
+    size, half, short = len(LONG), len(HALF[0]), len("short line")
+    found = spans(repeats.repeats(awkward(spark, REPEATS), unit="line", least_run=50))
     assert found == [
-        (2, 0, len(LONG), 60, 1, 10),
-        (2, len(LONG) + 1, len(LONG) + 1 + short, 2, 1, 11 + len(LONG)),
-        (4, 6, 6 + len(HALF[0]), 30, 3, 0),
-        (4, 7 + len(HALF[0]), 7 + len(HALF[0]) + len(HALF[1]), 30, 3, 2 + len(HALF[0])),
-        (8, 6, 10 + len(LONG), 60, 1, 10),
-        (8, 11 + len(LONG), 11 + len(LONG) + short, 2, 1, 11 + len(LONG)),
+        (2, 0, size + 1 + short, 2, 62, 1, 10),
+        (4, 6, 7 + 2 * half, 2, 60, 3, 0),
+        (8, 8, 11 + size + short, 2, 62, 1, 10),
     ]
-    docs = [r for r in REPEATS]
-    assert differences(repeats.repeated_units(awkward(spark, docs)).drop("place"), duck_of(docs), repeats.oracle()) == []
-    assert repeats.repeated_units(awkward(spark, [])).count() == 0
+    assert repeats.repeats(awkward(spark, [])).count() == 0
+
+
+SENTENCES = [" ".join(f"{c}{i}" for i in range(14)) + mark for c, mark in zip("abcde", "..!?.", strict=True)]
+PASSAGE = " ".join(SENTENCES)
+GLUED = [
+    (1, f"First words {PASSAGE} last words.\nMore."),
+    (2, f"Other text begins here {PASSAGE} and ends. There."),
+    (3, f"Only one sentence. {SENTENCES[1]} Nothing else of it."),
+    (4, f"{' '.join(SENTENCES[1:3])} is too short."),
+    (5, "Yes. No. Yes. No. First words."),
+]
+
+
+def test_a_passage_inside_a_line_is_found(spark):
+    found = spans(repeats.repeats(awkward(spark, GLUED)))
+    start = GLUED[1][1].index(SENTENCES[1])
+    inner = " ".join(SENTENCES[1:])
+    assert [f[:3] + f[4:6] for f in found] == [(2, start, start + len(inner), 56, 1)]
+
+
+@pytest.mark.parametrize("docs", [REPEATS, GLUED])
+def test_repeats_equal_their_sql(spark, docs):
+    assert differences(repeats.repeats(awkward(spark, docs)).drop("place"), duck_of(docs), repeats.oracle()) == []
 
 
 def test_repeats_are_cut_out(spark):
     docs = awkward(spark, REPEATS + [(i and i + 1000, t) for i, t in AWKWARD] + [(7, LONG), (7, LONG)])
-    rows = repeats.without_repeats(docs, least_words=50)
+    rows = repeats.without_repeats(docs, unit="line")
     assert rows.schema == docs.schema and rows.count() == docs.count()
     texts = {r.doc_id: r.text for r in rows.where("doc_id in (2, 4, 5)").collect()}
     assert texts[2] == "other" and texts[4] == "start\n" and texts[5] == dict(REPEATS)[5]
@@ -105,13 +127,13 @@ def test_rank_and_paragraphs(spark):
     body = LONG + "\n" + HALF[0]
     docs = [(1, f"a\n\n{body}"), (2, f"{body}\n\nb")]
     table = awkward(spark, docs).selectExpr("doc_id", "text", "-doc_id AS rank")
-    row = repeats.repeated_units(table, "paragraph", rank_col="rank").collect()
+    row = repeats.repeats(table, "paragraph", rank_col="rank").collect()
     assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in row] == [(1, 3, 3 + len(body), 2)]
 
 
 def test_a_line_that_everyone_has(spark):
     docs = [(i, f"{LONG}\nown line {i}") for i in range(500)]
-    found = repeats.repeated_units(awkward(spark, docs).repartition(16)).collect()
+    found = repeats.repeats(awkward(spark, docs).repartition(16)).collect()
     assert sorted(r.doc_id for r in found) == list(range(1, 500))
     assert {r.kept_doc_id for r in found} == {0}
 
