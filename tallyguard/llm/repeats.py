@@ -5,8 +5,9 @@ so that a passage is also found where it was put into the middle of a line. Ever
 normalised (lower case, white space as one space) and hashed. The digests are grouped over the
 whole table; the earliest occurrence of a digest stays, the others are repeats. Repeats that
 follow one another in a document form a run, and a run is removed if the passage it belongs to
-may have the wanted number of words: the run itself, or the run with the units at its two ends,
-which may hold the passage's first and last words. Runs keep their offsets in the original text.
+may have the wanted number of words: the run itself, or the run with the units that share a line
+with its two ends, which may hold the passage's first and last words. Runs keep their offsets in
+the original text.
 """
 
 from __future__ import annotations
@@ -55,23 +56,27 @@ _UNITS_DDL = (
 
 
 def units(text: str | None, divider: re.Pattern) -> list[tuple[int, int, int, int, int, bytes]]:
-    """Start, end, words, words of the units before and after, and digest of every unit that has
-    words. Offsets are in code points; white space at the edges isn't part of a unit."""
+    """Start, end, words, words of the units before and after in the same line, and digest of every
+    unit that has words. Offsets are in code points; white space at the edges isn't part of a unit."""
     if not text:
         return []
-    found, at = [], 0
+    found, at, line = [], 0, 0
     borders = [(m.start(), m.end()) for m in divider.finditer(text)]
-    for end, after in [*borders, (len(text), len(text))]:
-        unit = text[at:end]
+    for border, after in [*borders, (len(text), len(text))]:
+        unit = text[at:border]
         words = unit.lower().encode().split()
         if words:
             start = at + len(unit) - len(unit.lstrip(_EDGES))
             end = at + len(unit.rstrip(_EDGES))
             digest = hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
-            found.append((start, end, len(words), digest))
+            found.append((start, end, len(words), digest, line))
+        line += after > border
         at = after
-    sizes = [0, *(unit[2] for unit in found), 0]
-    return [(s, e, n, sizes[i], sizes[i + 2], d) for i, (s, e, n, d) in enumerate(found)]
+    none = (0, 0, 0, b"", -1)
+    return [
+        (s, e, n, before[2] * (before[4] == own), after[2] * (after[4] == own), d)
+        for before, (s, e, n, d, own), after in zip([none, *found], found, [*found[1:], none], strict=False)
+    ]
 
 
 def _split(divider: re.Pattern):
@@ -108,7 +113,7 @@ def repeats(
     then by ``place_col`` (a number of each row; unless given, the order in which Spark reads the
     rows), then by place in the text; nulls come first. A run is removed if it has
     ``least_words`` words, or if it has ``least_run`` and reaches ``least_words`` with the units
-    next to it; units without words don't interrupt it. Null and empty texts have no units.
+    next to it in its first and last line; units without words don't interrupt it. Null and empty texts have no units.
     Copies of whole rows are repeats like any other. An empty table gives no rows.
     """
     place = F.col(place_col) if place_col else F.monotonically_increasing_id()
@@ -196,8 +201,9 @@ placed AS (
 units AS (
   SELECT doc_id, pos + length(part) - length(ltrim(part)) AS "start", pos + length(rtrim(part)) AS "end",
          len(words)::BIGINT AS words, md5(array_to_string(words, ' ')) AS digest,
-         row_number() OVER w AS unit, coalesce(lag(len(words)) OVER w, 0) AS words_before, coalesce(lead(len(words)) OVER w, 0) AS words_after
-  FROM placed WHERE len(words) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY place, piece)
+         row_number() OVER (PARTITION BY doc_id ORDER BY place, piece) AS unit,
+         coalesce(lag(len(words)) OVER w, 0) AS words_before, coalesce(lead(len(words)) OVER w, 0) AS words_after
+  FROM placed WHERE len(words) > 0 WINDOW w AS (PARTITION BY doc_id, place ORDER BY piece)
 ),
 ranked AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value("start") OVER w AS kept_start,

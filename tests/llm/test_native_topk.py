@@ -100,6 +100,7 @@ GLUED = [
     (3, f"Only one sentence. {SENTENCES[1]} Nothing else of it."),
     (4, f"{' '.join(SENTENCES[1:3])} is too short."),
     (5, "Yes. No. Yes. No. First words."),
+    (6, f"{' '.join(SENTENCES[1:3])}\\nThis line is common, and what follows it here has many other words of its own to read."),
 ]
 
 
