@@ -53,6 +53,17 @@ def case_filter(status: str | None = None, decision: str | None = None, search:
     return condition
 
 
+def _transactions_of(cases: DataFrame, most: int = 1) -> list[str]:
+    """The transactions of a few cases. Case ids are unique, so one case is one row at most."""
+    found = cases.select("transaction_id").limit(most).collect()
+    return sorted({row[0] for row in found if row[0] is not None})
+
+
+def _broadcast_left(cases: DataFrame, side: DataFrame, on: list[str], _: str) -> DataFrame:
+    """The join of ``with_case_context`` for a page, whose other side has at most 100 rows."""
+    return cases.join(F.broadcast(side), on, "left")
+
+
 def _latest_for(table: DataFrame, transactions: list[str]) -> DataFrame:
     """Latest row per transaction, only for the transactions of one page (at most 100)."""
     wanted = table.where(F.col("transaction_id").isin(transactions))
@@ -92,9 +103,8 @@ def list_cases(
     rows = cut.collect()
     taken = decisions.sparkSession.createDataFrame(rows, cut.schema)
     wanted = sorted({r["transaction_id"] for r in rows if r["transaction_id"] is not None})
-    return with_case_context(
-        taken, _latest_for(scored, wanted), _latest_for(raw, wanted), lambda page, side, key, _: page.join(F.broadcast(side), key, "left")
-    ).orderBy(order, F.col("case_id"))
+    latest = _latest_for(scored, wanted), _latest_for(raw, wanted)
+    return with_case_context(taken, *latest, join=_broadcast_left).orderBy(order, F.col("case_id"))
 
 
 def with_case_context(
@@ -175,8 +185,9 @@ def transaction_with_score(raw: DataFrame, scored: DataFrame, transaction_id: st
 def case_header(decisions: DataFrame, scored: DataFrame, raw: DataFrame, case_id: str) -> DataFrame:
     """The one-row part of a case: verdict, score, reasons, features and raw transaction."""
     case = decisions.where(F.col("case_id") == case_id)
-    score_side = _latest_for(scored, case).select("transaction_id", "score", "reason_codes", "features")
-    raw_side = _latest_for(raw, case).select("transaction_id", F.col("payload").alias("raw_transaction"))
+    wanted = _transactions_of(case)
+    score_side = _latest_for(scored, wanted).select("transaction_id", "score", "reason_codes", "features")
+    raw_side = _latest_for(raw, wanted).select("transaction_id", F.col("payload").alias("raw_transaction"))
     return case.join(score_side, "transaction_id", "left").join(raw_side, "transaction_id", "left")
 
 
@@ -199,7 +210,8 @@ def case_timelines(
     if case_id is not None:
         cases = cases.where(F.col("case_id") == case_id)
         feedback = feedback.where(F.col("case_id") == case_id)
-        latest_raw, latest_scored = _latest_for(raw, cases), _latest_for(scored, cases)
+        wanted = _transactions_of(cases)
+        latest_raw, latest_scored = _latest_for(raw, wanted), _latest_for(scored, wanted)
     else:
         order = ["event_time", "event_seq"]
         latest_raw = latest_per_key(raw.select("transaction_id", *order), ["transaction_id"], order)
@@ -248,9 +260,8 @@ def recent_activity(decisions: DataFrame, scored: DataFrame, feedback: DataFrame
         .orderBy(F.col("decision_time").desc(), F.col("case_id"))
         .limit(limit)
     )
-    ratings = _latest_for(
-        scored.select("transaction_id", "score", "scenario", "event_time", "event_seq"), newest
-    ).select("transaction_id", "score", "scenario")
+    rated = scored.select("transaction_id", "score", "scenario", "event_time", "event_seq")
+    ratings = _latest_for(rated, _transactions_of(newest, limit)).select("transaction_id", "score", "scenario")
     rule_id = first_rule_id(F.col("rule_hits"))
     judged = newest.join(ratings, "transaction_id", "left").select(
         F.concat(F.lit("decision:"), "case_id").alias("id"),
