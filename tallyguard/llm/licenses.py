@@ -9,6 +9,7 @@ claim them again. Other sentences between known ones are passed over.
 from __future__ import annotations
 
 import re
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,8 +132,8 @@ SENTENCES = {
     "Reserved": ["All rights reserved"],
 }
 
-# The rules in the order in which they are tried.
-RULES = [
+# The rules over whole sentences, in the order in which they are tried.
+_RULES = [
     ("MIT", ["MitGrant", "MitNotice", "MitWarranty", "MitLiability"]),
     ("MIT", ["MitGrant", "MitNotice", "MitWarranty"]),
     ("MIT", ["MitGrant"]),
@@ -179,6 +180,11 @@ KEYWORDS = (
     "reserved",
     "public domain",
     "free software",
+    "mit",
+    "apache",
+    "bsd",
+    "gpl",
+    "2.0",
 )
 
 
@@ -189,9 +195,36 @@ def normal(sentence: str) -> str:
     return re.sub(EDGES, "", re.sub(NOISE, " ", sentence))
 
 
+def _parts(sentence: str) -> list[str]:
+    """Normal forms of the parts that the scan divides a known sentence into."""
+    return [x for x in map(normal, re.split(SENTENCE_END, sentence + " ")) if x]
+
+
 def known_sentences() -> dict[str, str]:
-    """Normal form and identifier of every known sentence, up to its first inner end."""
-    return {normal(re.split(SENTENCE_END, s + " ")[0]): name for name, all_ in SENTENCES.items() for s in all_}
+    """Normal form and identifier of every part of every known sentence. The only part of a sentence
+    has its identifier; others have that of the first sentence with the part, and a number."""
+    known = {parts[0]: name for name, all_ in SENTENCES.items() for s in all_ if len(parts := _parts(s)) == 1}
+    for name, all_ in SENTENCES.items():
+        for i, part in enumerate(x for s in all_ if len(_parts(s)) > 1 for x in _parts(s)):
+            known.setdefault(part, f"{name}Part{i + 1}")
+    return known
+
+
+def _expanded() -> list[tuple[str, list[str]]]:
+    """The rules over parts: one for each way to write the sentences of a rule."""
+    known = known_sentences()
+    ways = {}
+    for name, all_ in SENTENCES.items():
+        written = [tuple(known[x] for x in _parts(s)) for s in all_]
+        ways[name] = list(dict.fromkeys(written))
+    return [
+        (name, [x for way in chosen for x in way]) for name, wanted in _RULES for chosen in product(*map(ways.get, wanted))
+    ]
+
+
+# Parts are sentences of their own, so that each identifier has its entry.
+SENTENCES |= {name: [part] for part, name in known_sentences().items() if name not in SENTENCES}
+RULES = _expanded()
 
 
 def sentence_identifiers(text: Column) -> Column:
