@@ -11,25 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyguard.llm.near_copies import near_copies
 from tallyguard.llm.packing import pack
 from tallyguard.llm.personal import find_candidates, mask_personal_data, train_on
+from tallyguard.llm.simhash import near_duplicates
 from tallyguard.llm.suffixes import benchmark_overlap
 from tallyguard.llm.tokens import default_tokenizer
 from tallyguard.llm.toxicity import train, without_toxic
 from tallyguard.session import written
 
-ROW = "__row"
+# The contract of the near-duplicate stage: words of a shingle, and differing bits of a link.
+SHINGLE = 3
+BITS = 2
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a row number, stored so that it stays the same."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a row number, stored so that it stays the same, and the name of its
+    column, which no other column has."""
+    row = "__row"
+    while row.lower() in (c.lower() for c in docs.columns):
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
     """The documents but those whose row numbers are in ``doc_id`` of the other table."""
-    return docs.join(rows.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
+    return docs.join(rows.select(F.col("doc_id").alias(row)), row, "left_anti").drop(row)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,22 +45,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, in reading order, of every component of near copies: five-word shingles,
-    Jaccard similarity 0.8 or more. All texts without words are one group."""
-    numbered = _numbered(docs)
-    found = near_copies(numbered, id_col=ROW)
-    return _without(numbered, found.where("doc_id <> component_id"))
+    """The first document, in reading order, of every component of near-duplicates: fingerprints of
+    three-word shingles that differ in at most two bits. Null texts, empty texts and texts without
+    words have one fingerprint, zero, so one of them stays."""
+    numbered, row = _numbered(docs)
+    found = near_duplicates(numbered, id_col=row, distance=BITS, size=SHINGLE)
+    return _without(numbered, row, found.where("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth are hit by benchmark windows."""
-    numbered = _numbered(docs)
-    found = benchmark_overlap(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
-    return _without(numbered, found.where("contaminated"))
+    """Documents of whose words less than a twentieth are hit by benchmark windows. Null texts have
+    no words, so they stay."""
+    numbered, row = _numbered(docs)
+    found = benchmark_overlap(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return _without(numbered, row, found.where("contaminated"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind in brackets, and ``n_chars`` to match."""
+    """All documents, personal data replaced by its kind in brackets, and ``n_chars`` to match.
+    A null text stays null and keeps its count."""
     masked = mask_personal_data(docs, train_on(find_candidates(docs)))
     if "n_chars" not in docs.columns:
         return masked
@@ -63,7 +72,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in full sequences."""
+    """Pieces of the documents in full sequences. A null text is an empty one: its end id."""
     return pack(docs, default_tokenizer(), end_id=1)
 
 
