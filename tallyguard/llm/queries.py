@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm import licenses, repeats
+from tallyguard.llm import licenses, repeats, warc, zone_maps
 from tallyguard.llm.packing import pack
 from tallyguard.llm.pages import extract
 from tallyguard.llm.personal import personal_data
@@ -97,3 +97,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from the token files."""
     folder, manifest = write_token_files(_table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
     return read_token_files(folder, manifest)
+
+
+@query
+def op12_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds from 40 starting vectors."""
+    return zone_maps.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_zone_clusters"] = zone_maps.oracle()
+
+
+@query
+def op13_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages as read back from the archives."""
+    folder, index = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, index).drop("url")
+
+
+ORACLES["op13_warc_bundles"] = warc.oracle()
