@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm import licenses, repeats, warc, zone_maps
+from tallyguard.llm import collocations, licenses, repeats, warc, zone_maps
 from tallyguard.llm.packing import pack
 from tallyguard.llm.pages import extract
 from tallyguard.llm.personal import personal_data
@@ -99,6 +99,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(folder, manifest)
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of every language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = collocations.oracle()
+
+
 @query
 def op12_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every vector after five rounds from 40 starting vectors."""
