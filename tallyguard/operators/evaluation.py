@@ -176,7 +176,7 @@ def chronological_split(
     """
     rows = frame.count()
     if rows == 0:
-        raise ValueError("No feature rows available for training.")
+        raise ValueError("a frame without rows can't be split")
     cut = split_position(rows, share)
     if cut >= rows:
         tail = frame.orderBy(*[F.col(c).desc() for c in order]).limit(min(200, rows))

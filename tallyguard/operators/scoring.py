@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.operators.boosting import Ensemble
 from tallyguard.schemas import (
     BLOCK_THRESHOLD,
     FEATURES,
@@ -79,27 +80,15 @@ class LogisticScorer:
 
 
 class FittedScorer:
-    """Probability of class 1 from a fitted Spark ML pipeline."""
+    """Probability of class 1 from fitted trees. A feature that an event lacks counts as 0."""
 
-    def __init__(self, fitted: object, model: Model, feature_names: list[str] | None = None) -> None:
-        self.fitted = fitted
+    def __init__(self, ensemble: Ensemble, model: Model) -> None:
+        self.ensemble = ensemble
         self.model = model
-        self.feature_names = feature_names or FEATURES
 
     def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        before = df.columns
-        flat = df.withColumns(
-            {
-                f"f_{name}": F.coalesce(F.col("features")[name], F.lit(0.0))
-                if name in FEATURES
-                else F.lit(0.0)
-                for name in self.feature_names
-            }
-        )
-        scored = self.fitted.transform(flat)
-        return scored.select(*before, vector_to_array("probability")[1].alias("model_probability"))
+        values = [F.col("features")[name] if name in FEATURES else F.lit(0.0) for name in self.ensemble.features]
+        return df.withColumn("model_probability", self.ensemble.column(*values))
 
 
 def rule_weight(hits: Column) -> Column:

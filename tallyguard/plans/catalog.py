@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyguard.plans import (  # noqa: F401
+    boosting_queries,
     case_queries,
     event_queries,
     metric_queries,

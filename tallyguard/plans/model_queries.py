@@ -21,14 +21,12 @@ from tallyguard.operators.labels import feedback_labels, feedback_rollup, labell
 from tallyguard.plans.oracle_parts import TX, feature_column, features_cte
 from tallyguard.plans.registry import AS_OF, WITH_CASES, WITH_FEATURES, WITH_SCORES, WITH_TX, query
 from tallyguard.plans.store import decision_store
-from tallyguard.plans.training import bootstrap, drift_samples, feature_frame, load_scorer, registry, train
+from tallyguard.plans.training import drift_samples, feature_frame
 from tallyguard.schemas import FEATURES
 from tallyguard.session import work_dir, written
 from tallyguard.sources.adapter import load_transactions
 from tallyguard.sources.sinks import export_csv, registry_rows
-from tallyguard.sources.tables import current_model, current_models, read_csv_events
-
-TRAINING_ROUNDS = 20
+from tallyguard.sources.tables import current_models, read_csv_events
 
 LABELS_SQL = """
 rolled AS (SELECT transaction_id, count(*) AS feedback_count, arg_max(feedback_label, created) AS latest FROM feedback GROUP BY 1),
@@ -363,60 +361,6 @@ def _drift_with_cold_start(spark, sf_dir):
     return _report_out(drift_report(*drift_samples(tx.where(early), tx.where(~early), cold_start=True)))
 
 
-@query(
-    "trained_classifier",
-    f"""{WITH_TX}, n AS (SELECT count(*) AS n FROM tx WHERE label IS NOT NULL)
-    SELECT 'fraud_gbt' AS model_name, '1' AS model_version, 'champion' AS alias, n - greatest(CAST(floor(n * 0.8e0) AS BIGINT), 1) AS test_rows,
-      unnest(['f1', 'pr_auc', 'precision', 'recall', 'roc_auc']) AS metric, true AS in_range, true AS thresholds_in_order FROM n""",
-)
-def _trained_classifier(spark, sf_dir):
-    """Trains a boosted classifier on all labelled events and registers it with its test metrics."""
-    frame = feature_frame(labelled(load_transactions(spark, sf_dir)))
-    model_dir = work_dir(spark, "models")
-    result = train(spark, frame, model_dir, rounds=TRAINING_ROUNDS)
-    row = current_model(registry(spark, model_dir))
-    meta = F.col("metadata")
-    ordered = (meta["review_threshold"] >= 0.1) & (meta["review_threshold"] < meta["block_threshold"])
-    tested = sum(map(sum, result["confusion_matrix"]))
-    return row.select(
-        "model_name", "model_version", "alias", ordered.alias("thresholds_in_order"), F.explode(meta["metrics"])
-    ).select(
-        "model_name",
-        "model_version",
-        "alias",
-        F.lit(tested).cast("bigint").alias("test_rows"),
-        F.col("key").alias("metric"),
-        F.col("value").between(0.05, 1.0).alias("in_range"),
-        "thresholds_in_order",
-    )
-
-
-@query(
-    "scored_by_classifier",
-    f"{WITH_TX} SELECT event_seq, true AS in_range, true AS as_scored FROM tx",
-)
-def _scored_by_classifier(spark, sf_dir):
-    """Decisions of all events by the current model of the registry, trained if there is none."""
-    from tallyguard.plans.decisions import decide
-
-    tx = load_transactions(spark, sf_dir)
-    model_dir = work_dir(spark, "models")
-    bootstrap(spark, feature_frame(labelled(tx)), model_dir, rounds=TRAINING_ROUNDS)
-    scorer = load_scorer(spark, model_dir)
-    events = decide(tx, scorer=scorer)
-    p, total = F.col("model_probability"), F.col("final_score")
-    most = F.least(F.lit(1.0), p * 0.78 + 0.35)
-    lenient = (total < scorer.model.review_threshold) & (F.size("rule_hits") == 0)
-    return events.select(
-        "event_seq",
-        (p.between(0.0, 1.0) & (total >= p * 0.78 - 1e-9) & (total <= most + 1e-9)).alias("in_range"),
-        F.when(lenient, F.col("decision") == "APPROVE")
-        .when(total >= scorer.model.block_threshold, F.col("decision") == "BLOCK")
-        .otherwise(F.col("decision").isin("APPROVE", "REVIEW", "BLOCK"))
-        .alias("as_scored"),
-    )
-
-
 @query(
     "current_models",
     f"""{WITH_TX} SELECT channel AS alias, max(t) AS created, CAST(arg_max(event_seq, t * 1000000000 + event_seq) AS VARCHAR) AS model_version FROM tx GROUP BY channel""",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyguard.operators.boosting import BoostingSettings, Ensemble, fit_ensemble
 from tallyguard.operators.drift import dataset_drift, drift_report
 from tallyguard.operators.evaluation import (
     average_precision,
@@ -29,13 +30,16 @@ from tallyguard.sources.sinks import registry_rows, write_report, write_rows
 from tallyguard.sources.tables import current_model
 
 # Hyper-parameters of the classifier.
-ROUNDS = 220
-DEPTH = 5
-LEARNING_RATE = 0.08
-ROW_SHARE = 0.9
-COLUMN_SHARE = "0.9"
-MIN_CHILD = 2
-SEED = 42
+CLASSIFIER = BoostingSettings(
+    rounds=220,
+    depth=5,
+    learning_rate=0.08,
+    row_share=0.9,
+    column_share=0.9,
+    least_hessian=2.0,
+    l2=1.0,
+    seed=42,
+)
 
 DRIFT_SAMPLE = 500
 DRIFT_MINIMUM = 50
@@ -61,30 +65,11 @@ def feature_frame(events: DataFrame, labelled_only: bool = False, **options: obj
     )
 
 
-def build_classifier(rounds: int = ROUNDS):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    assembler = VectorAssembler(inputCols=[f"f_{name}" for name in FEATURES], outputCol="vector")
-    trees = GBTClassifier(
-        featuresCol="vector",
-        labelCol="label",
-        weightCol="row_weight",
-        maxIter=rounds,
-        maxDepth=DEPTH,
-        stepSize=LEARNING_RATE,
-        subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=COLUMN_SHARE,
-        minInstancesPerNode=MIN_CHILD,
-        seed=SEED,
-    )
-    return Pipeline(stages=[assembler, trees])
-
-
-def _prefixed(frame: DataFrame) -> DataFrame:
-    return frame.select(
-        *[F.col(name).alias(f"f_{name}") for name in FEATURES], "label", "event_us", "event_seq"
+def fit_classifier(train_rows: DataFrame, settings: BoostingSettings = CLASSIFIER, cuts=None) -> Ensemble:
+    """Boosted trees over the features of a frame; positives weigh as much as the negatives."""
+    weight = class_balance(train_rows).first()["positive_weight"]
+    return fit_ensemble(
+        train_rows, FEATURES, keys=["event_id", "event_seq"], positive_weight=float(weight), settings=settings, cuts=cuts
     )
 
 
@@ -113,31 +98,30 @@ def evaluate(scores: DataFrame) -> dict[str, object]:
 
 
 def train(
-    spark: SparkSession, frame: DataFrame, model_dir: str, alias: str = "champion", rounds: int = ROUNDS
+    spark: SparkSession,
+    frame: DataFrame,
+    model_dir: str,
+    alias: str = "champion",
+    settings: BoostingSettings = CLASSIFIER,
 ) -> dict[str, object]:
     """Fits, evaluates, saves and registers a classifier.
 
     ``frame`` comes from ``feature_frame``. It is written once to the work folder, because
-    fitting and evaluation read it many times.
+    fitting and evaluation read it many times. The scores of the test rows stay beside the model.
     """
-    from pyspark.ml.functions import vector_to_array
-
     path = f"{model_dir}/frames/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     train_rows, test_rows = chronological_split(spark.read.parquet(path))
     weight = class_balance(train_rows).first()["positive_weight"]
-    weighted = _prefixed(train_rows).withColumn(
-        "row_weight", F.when(F.col("label") == 1, F.lit(float(weight))).otherwise(F.lit(1.0))
-    )
-    fitted = build_classifier(rounds).fit(weighted)
+    ensemble = fit_classifier(train_rows, settings)
     scores_path = f"{path}_scores"
-    scored = fitted.transform(_prefixed(test_rows))
-    scored.select("label", vector_to_array("probability")[1].alias("probability")).write.parquet(scores_path)
+    probability = ensemble.column(*[F.col(name) for name in FEATURES]).alias("probability")
+    test_rows.select("event_id", "event_seq", "label", probability).write.parquet(scores_path)
     result = evaluate(spark.read.parquet(scores_path))
 
     version = str(next_version(spark, model_dir))
     run_id = uuid.uuid4().hex
-    fitted.write().save(f"{model_dir}/models/{version}")
+    ensemble.frame(spark).write.parquet(f"{model_dir}/models/{version}")
     register(spark, model_dir, version, alias, run_id, result)
     sweep = {k: result[k] for k in ("threshold_sweep", "confusion_matrix")}
     schema = T.StructType(
@@ -154,7 +138,7 @@ def train(
         ]
     )
     write_report(spark.createDataFrame([sweep], schema), f"{model_dir}/reports/evaluation-{version}")
-    return {**result, "model_version": version, "run_id": run_id, "positive_weight": weight}
+    return {**result, "model_version": version, "run_id": run_id, "positive_weight": weight, "scores": scores_path}
 
 
 def registry(spark: SparkSession, model_dir: str) -> DataFrame | None:
@@ -198,8 +182,6 @@ def register(
 
 def load_scorer(spark: SparkSession, model_dir: str, alias: str = "champion") -> FittedScorer | None:
     """The current model of an alias, or None."""
-    from pyspark.ml import PipelineModel
-
     rows = registry(spark, model_dir)
     current = None if rows is None else current_model(rows, alias).first()
     if current is None:
@@ -213,12 +195,17 @@ def load_scorer(spark: SparkSession, model_dir: str, alias: str = "champion") ->
         meta["block_threshold"],
         meta["run_id"],
     )
-    fitted = PipelineModel.load(f"{model_dir}/models/{meta['model_version']}")
-    return FittedScorer(fitted, model, list(meta["feature_names"]))
+    names = list(meta["feature_names"])
+    return FittedScorer(Ensemble.load(spark.read.parquet(f"{model_dir}/models/{meta['model_version']}"), names), model)
 
 
 def bootstrap(
-    spark: SparkSession, frame: DataFrame, model_dir: str, alias: str = "champion", force: bool = False, rounds: int = ROUNDS
+    spark: SparkSession,
+    frame: DataFrame,
+    model_dir: str,
+    alias: str = "champion",
+    force: bool = False,
+    settings: BoostingSettings = CLASSIFIER,
 ) -> dict[str, object]:
     """Trains only if the alias has no model yet, unless forced."""
     rows = registry(spark, model_dir)
@@ -231,7 +218,7 @@ def bootstrap(
             "block_threshold": meta["block_threshold"],
             "metrics": dict(meta["metrics"]),
         }
-    return train(spark, frame, model_dir, alias, rounds)
+    return train(spark, frame, model_dir, alias, settings)
 
 
 def drift_samples(
