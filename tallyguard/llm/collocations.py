@@ -76,42 +76,46 @@ def phrase_hash(lang: str, phrase: str) -> int:
 
 
 class Filter:
-    """A Bloom filter of phrases with a given number of words."""
+    """A Bloom filter of phrases with a given number of words; its table has 2^bits bits."""
 
     def __init__(self, words: np.ndarray):
         self._words = words
+        self._bits = len(words).bit_length() + 5
 
     @staticmethod
-    def places(hashes: np.ndarray) -> list[np.ndarray]:
-        mask = np.uint64((1 << FILTER_BITS) - 1)
+    def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+        mask = np.uint64((1 << bits) - 1)
         return [(hashes >> np.uint64(shift)) & mask for shift in (0, 19, 38)]
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         found = np.ones(len(hashes), dtype=bool)
-        for place in self.places(hashes):
+        for place in self.places(hashes, self._bits):
             word = self._words[(place >> np.uint64(6)).astype(np.int64)]
             found &= (word >> (place & np.uint64(63))) & np.uint64(1) != 0
         return found
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = [phrase_hash(a, b) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        place = np.concatenate(Filter.places(np.array(hashes, dtype=np.uint64)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array((place >> np.uint64(6)).astype(np.int32)),
-                pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64)),
-            ],
-            names=["word", "bits"],
-        )
+def _set_bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [phrase_hash(a, b) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            place = np.concatenate(Filter.places(np.array(hashes, dtype=np.uint64), bits))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((place >> np.uint64(6)).astype(np.int32)),
+                    pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64)),
+                ],
+                names=["word", "bits"],
+            )
+
+    return run
 
 
-def build_filter(phrases: DataFrame) -> Filter:
-    """The filter of the phrases in (lang, phrase). At most 2^20 numbers come to the driver."""
-    set_bits = map_arrow(phrases.select("lang", "phrase"), _bits, "word int, bits long")
+def build_filter(phrases: DataFrame, bits: int = FILTER_BITS) -> Filter:
+    """The filter of the phrases in (lang, phrase). At most 2^(bits - 6) numbers come to the driver."""
+    set_bits = map_arrow(phrases.select("lang", "phrase"), _set_bits(bits), "word int, bits long")
     rows = set_bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    words = np.zeros(1 << (bits - 6), dtype=np.uint64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return Filter(words)
 
@@ -300,8 +304,8 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
     )
 
 
-def _filters(phrases: DataFrame, most_words: int) -> list[Filter]:
-    return [build_filter(phrases.where(F.col("words") == length)) for length in range(1, most_words)]
+def _filters(phrases: DataFrame, most_words: int, bits: int) -> list[Filter]:
+    return [build_filter(phrases.where(F.col("words") == length), bits) for length in range(1, most_words)]
 
 
 def frequent_phrases(
@@ -311,6 +315,7 @@ def frequent_phrases(
     most_words: int = MOST_WORDS,
     least_count: int = LEAST_COUNT,
     sample_bytes: int = SAMPLE_BYTES,
+    filter_bits: int = FILTER_BITS,
 ) -> tuple[DataFrame, DataFrame]:
     """All phrases (words, lang, phrase, n) that occur ``least_count`` times or more, and the number
     of word occurrences of every language (lang, total), both exact and written.
@@ -327,7 +332,7 @@ def frequent_phrases(
     proposed = written(
         count_phrases(sample, most_words - 1).where((F.col("words") > 0) & (F.col("n") >= lowered)), "proposed"
     )
-    known = _filters(proposed, most_words)
+    known = _filters(proposed, most_words, filter_bits)
     enough = (F.col("words") == 0) | (F.col("n") >= least_count)
     counted = written(count_phrases(texts, most_words, known).where(enough), "counted")
     totals = counted.where("words = 0").select("lang", F.col("n").alias("total"))
@@ -335,7 +340,8 @@ def frequent_phrases(
     news = frequent.where(F.col("words") < most_words).join(proposed, ["words", "lang", "phrase"], "left_anti")
     while not news.isEmpty():
         # The border failed: phrases frequent in all that the sample didn't propose.
-        wider = _filters(proposed.select("words", "lang", "phrase").union(frequent.select("words", "lang", "phrase")), most_words)
+        names = ["words", "lang", "phrase"]
+        wider = _filters(proposed.select(names).union(frequent.select(names)), most_words, filter_bits)
         more = written(count_phrases(texts, most_words, wider, known).where(F.col("n") >= least_count), "counted")
         frequent = frequent.unionByName(more)
         news = more.where(F.col("words") < most_words)
@@ -369,6 +375,7 @@ def collocations(
     per_lang: int = PER_LANG,
     covered: int = COVERED,
     sample_bytes: int = SAMPLE_BYTES,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """The first ``per_lang`` phrases of every language by score: rank, phrase, its count ``a``,
     the counts ``l`` and ``r`` of its two parts at the cut with the lowest score (the first of
@@ -380,7 +387,9 @@ def collocations(
     the smaller phrase in byte order. A language with no candidate, and an empty table, give no
     rows. Other columns are not read.
     """
-    frequent, totals = frequent_phrases(docs, text_col, lang_col, most_words, least_count, sample_bytes)
+    frequent, totals = frequent_phrases(
+        docs, text_col, lang_col, most_words, least_count, sample_bytes, filter_bits
+    )
     # No language or word holds a space or line end inside a key: the length of the language's
     # name goes first, so two languages never share a key.
     lang_key = F.concat(F.length("lang").cast("string"), F.lit(":"), F.col("lang"), F.lit("\n"))

@@ -135,7 +135,7 @@ def _placed(scale: int, middle: np.ndarray, directions: np.ndarray, step: np.nda
     return run
 
 
-def _blocks(components: int):
+def _blocks(components: int, block_rows: int):
     """Cuts ordered rows into blocks with their zone maps."""
     schema = pa.schema(
         [("vec_ids", pa.binary()), ("known", pa.binary()), ("vectors", pa.binary())]
@@ -164,9 +164,9 @@ def _blocks(components: int):
         for batch in batches:
             ids += batch.column(0).to_pylist()
             raw += batch.column(1).to_pylist()
-            while len(ids) >= BLOCK_ROWS:
-                yield block(ids[:BLOCK_ROWS], raw[:BLOCK_ROWS])
-                ids, raw = ids[BLOCK_ROWS:], raw[BLOCK_ROWS:]
+            while len(ids) >= block_rows:
+                yield block(ids[:block_rows], raw[:block_rows])
+                ids, raw = ids[block_rows:], raw[block_rows:]
         if ids:
             yield block(ids, raw)
 
@@ -252,10 +252,14 @@ def starting_centroids(kept: DataFrame, k: int, seed: int, scale: int) -> np.nda
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = kept.withColumn("key", key).orderBy(F.col("key").asc_nulls_last(), "vector").limit(k)
     rows = first.collect()
-    return np.floor(np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1) * scale)
+    if not rows:
+        return np.empty((0, 0))
+    return np.floor(np.array([r["vector"] for r in rows], dtype=np.float64) * scale)
 
 
-def zone_blocks(kept: DataFrame, start: np.ndarray, scale: int, components: int) -> DataFrame:
+def zone_blocks(
+    kept: DataFrame, start: np.ndarray, scale: int, components: int, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """The written table of blocks along the curve. Its directions are the main axes of the
     starting centroids, so it costs no pass; they only decide how tight the boxes are.
 
@@ -272,7 +276,7 @@ def zone_blocks(kept: DataFrame, start: np.ndarray, scale: int, components: int)
         kept, _placed(scale, middle, directions, step), "vec_id long, position long, vector binary"
     ).withColumn("salt", F.monotonically_increasing_id())
     ordered = placed.repartitionByRange("position", "vec_id", "salt").sortWithinPartitions("position", "vec_id")
-    return written(map_arrow(ordered.select("vec_id", "vector"), _blocks(components), _BLOCKS), "zone-blocks")
+    return written(map_arrow(ordered.select("vec_id", "vector"), _blocks(components, block_rows), _BLOCKS), "zone-blocks")
 
 
 def next_centroids(blocks: DataFrame, centroids: np.ndarray) -> np.ndarray:
@@ -304,6 +308,7 @@ def cluster_vectors(
     seed: int = SEED,
     scale: int = SCALE,
     components: int = COMPONENTS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row per kept vector: id, cluster, squared distance to its centroid, the sums of the
     distances of its cluster and of all, and the SHA-256 of its centroid's components.
@@ -320,7 +325,7 @@ def cluster_vectors(
         return vectors.sparkSession.createDataFrame(
             [], _ROWS + ", cluster_inertia long, inertia long, centroid_sha256 string"
         )
-    blocks = zone_blocks(kept, centroids, scale, components)
+    blocks = zone_blocks(kept, centroids, scale, components, block_rows)
     centroids = centroids.astype(np.int64)
     for _ in range(rounds):
         moved = next_centroids(blocks, centroids)

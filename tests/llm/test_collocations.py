@@ -104,10 +104,9 @@ def test_a_small_sample_needs_more_passes(spark, monkeypatch):
     assert len(passes) == 2
 
 
-def test_full_filters_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(col, "FILTER_BITS", 7)
+def test_full_filters_lose_nothing(spark):
     rows = corpus(300, 3, words=60)
-    assert found(spark, rows, sample_bytes=300) == plain_collocations(rows)
+    assert found(spark, rows, sample_bytes=300, filter_bits=7) == plain_collocations(rows)
 
 
 def test_longer_phrases_other_limits(spark):

@@ -82,8 +82,7 @@ def clusters(spark, rows, schema="vec_id long, embedding array<double>", **optio
     return Counter(tuple(r) for r in found.collect())
 
 
-def test_clusters_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(zone_maps, "BLOCK_ROWS", 16)
+def test_clusters_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     middles = rng.normal(size=(6, 8))
     rows = [(i, (middles[i % 6] + 0.2 * rng.normal(size=8)).tolist()) for i in range(400)]
@@ -93,7 +92,7 @@ def test_clusters_equal_brute_force(spark, monkeypatch):
     rows += [(3000, None), (3001, []), (3002, [1.0] * 7), (3003, [None] + [1.0] * 7)]
     rows += [(3004, [float("nan")] * 8), (3005, [float("inf")] * 8), (3006, [-0.001] * 8)]
     options = dict(k=10, rounds=4, scale=64, components=8)
-    assert clusters(spark, rows, **options) == Counter(plain_clusters(rows, **options))
+    assert clusters(spark, rows, block_rows=16, **options) == Counter(plain_clusters(rows, **options))
 
 
 def test_few_vectors_wide_values_and_none(spark):
@@ -170,7 +169,7 @@ def test_one_payload_of_most_pages(spark):
     assert Counter(tuple(r) for r in found.drop("url").collect()) == plain_records(rows)
 
 
-def test_records_are_found_by_seeking(spark, monkeypatch):
+def test_records_are_found_by_seeking(spark):
     rows = [(i, f"http://x/{i}", f"page {i} " * 50) for i in range(300)] + [(900, "u", "page 7 " * 50)]
     folder, index, _ = archives(spark, rows, frame_bytes=2000, bundle_bytes=10_000)
     wanted = spark.createDataFrame([(7,), (8,), (900,), (12345,), (8,), (None,)], "page_id long")
