@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyguard.operators.drift import categorical_drift, dataset_drift, drift_report, numeric_drift
+from tallyguard.operators.drift import categorical_drift, dataset_drift, drift_report, numeric_drift, preset_drift
 from tallyguard.operators.evaluation import (
     THRESHOLDS,
     average_precision,
@@ -346,6 +346,78 @@ def _category_drift(spark, sf_dir):
     return _report_out(report)
 
 
+CATEGORIES = ["label", "simulation_scenario"]
+
+
+def preset_sql(large_rows: int = 1_000) -> str:
+    """Drift by kind over ``ref`` and ``cur``, column by column from counts per distinct value."""
+
+    def side(source: str, r: int, c: int) -> str:
+        numbers = [f"SELECT '{n}' AS \"column\", true AS num, CAST({feature_column(n)} AS DOUBLE) AS v, NULL AS k, {r} AS r, {c} AS c FROM {source}" for n in FEATURES]
+        names = [f"SELECT '{n}', false, NULL, CAST({n} AS VARCHAR), {r}, {c} FROM {source}" for n in CATEGORIES]
+        return " UNION ALL ".join(numbers + names)
+
+    return f"""cells AS MATERIALIZED (SELECT "column", num, v, k, CAST(sum(r) AS DOUBLE) AS a, CAST(sum(c) AS DOUBLE) AS b
+      FROM ({side("ref", 1, 0)} UNION ALL {side("cur", 0, 1)}) GROUP BY ALL),
+    sized AS (SELECT *, sum(a) OVER w AS n1, sum(b) OVER w AS n2, count(*) OVER w AS u, sum(a * v) OVER w / sum(a) OVER w AS mean,
+        sum(a) OVER o / sum(a) OVER w AS f, sum(b) OVER o / sum(b) OVER w AS g, lead(v) OVER (PARTITION BY "column" ORDER BY v) AS next_v,
+        row_number() OVER (PARTITION BY "column" ORDER BY v DESC, k DESC) AS place
+      FROM cells WINDOW w AS (PARTITION BY "column"), o AS (PARTITION BY "column" ORDER BY v, k)),
+    kinds AS (SELECT *, CASE WHEN n1 > {large_rows} AND num AND u > 5 THEN 'wasserstein' WHEN n1 > {large_rows} THEN 'jensen_shannon'
+        WHEN num AND u > 5 THEN 'ks' WHEN u > 2 THEN 'chi_square' ELSE 'z' END AS test, (a + b) / (n1 + n2) AS s FROM sized),
+    stats AS (SELECT "column", test, n1, n2, u - 1 AS df,
+        sqrt(n1 * n2 / (n1 + n2)) AS size, max(abs(f - g)) AS gap,
+        coalesce(sum(abs(f - g) * (next_v - v)), 0e0) / greatest(sqrt(sum(a * (v - mean) * (v - mean)) / n1), 0.001e0) AS w1,
+        sum((a - s * n1) * (a - s * n1) / (s * n1) + (b - s * n2) * (b - s * n2) / (s * n2)) AS chi,
+        sqrt(greatest(0e0, sum(CASE WHEN a > 0 THEN a / n1 * ln(a / n1 / ((a / n1 + b / n2) / 2)) ELSE 0e0 END
+          + CASE WHEN b > 0 THEN b / n2 * ln(b / n2 / ((a / n1 + b / n2) / 2)) ELSE 0e0 END) / 2)) AS js,
+        max(CASE WHEN place = 1 THEN a / n1 END) AS p1, max(CASE WHEN place = 1 THEN b / n2 END) AS p2
+      FROM kinds GROUP BY "column", test, n1, n2, u),
+    zs AS (SELECT *, (p1 * n1 + p2 * n2) / (n1 + n2) AS pool FROM stats),
+    judged AS (SELECT "column", test, size, gap, df,
+        CASE test WHEN 'ks' THEN gap WHEN 'wasserstein' THEN w1 WHEN 'jensen_shannon' THEN js WHEN 'chi_square' THEN chi
+          ELSE CASE WHEN pool * (1 - pool) > 0 THEN (p1 - p2) / sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2)) ELSE 0e0 END END AS statistic
+      FROM zs),
+    tails AS (SELECT "column", test, statistic, (size + 0.12e0 + 0.11e0 / size) * gap AS x, CASE WHEN test = 'z' THEN 1 ELSE df END AS df,
+        greatest(CASE WHEN test = 'z' THEN statistic * statistic ELSE statistic END / 2, 1e-300) AS h FROM judged),
+    report AS (SELECT "column", test, statistic, CASE WHEN test = 'ks' THEN CASE WHEN x < 0.2e0 THEN 1e0 ELSE greatest(0e0, least(1e0,
+          (SELECT sum(CASE WHEN k % 2 = 1 THEN 2e0 ELSE -2e0 END * exp(-2e0 * k * k * x * x)) FROM range(1, 101) series(k)))) END
+        WHEN test IN ('z', 'chi_square') THEN greatest(0e0, least(1e0, {CHI_TAIL})) END AS p_value FROM tails)"""
+
+
+PRESET_OUT = """SELECT "column", test, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value,
+    CASE WHEN p_value IS NULL THEN statistic >= 0.1e0 ELSE p_value < 0.05e0 END AS drifted FROM report"""
+SMALL_SIDES = f"""{WITH_FEATURES}, halves AS (SELECT * REPLACE (coalesce(label, 0) AS label), t < {HALF} AS early FROM feats),
+    ref AS (SELECT * FROM halves WHERE early ORDER BY t DESC, event_seq DESC LIMIT 500),
+    cur AS (SELECT * FROM halves WHERE NOT early ORDER BY t DESC, event_seq DESC LIMIT 500)"""
+
+
+@query("drift_by_kind", f"{SMALL_SIDES}, {preset_sql()} {PRESET_OUT}")
+def _drift_by_kind(spark, sf_dir):
+    """The last 500 events of each half: a test of significance for each kind of column."""
+    return _report_out(preset_drift(*_tails(spark, sf_dir)))
+
+
+@query(
+    "drift_by_kind_large",
+    f"""{WITH_FEATURES}, halves AS (SELECT * REPLACE (coalesce(label, 0) AS label) FROM feats),
+    ref AS (SELECT * FROM halves WHERE t < {HALF}), cur AS (SELECT * FROM halves WHERE t >= {HALF}), {preset_sql(100)} {PRESET_OUT}""",
+)
+def _drift_by_kind_large(spark, sf_dir):
+    """Both halves in full, as large samples: distances between the distributions."""
+    return _report_out(preset_drift(*_halves(spark, sf_dir), large_rows=100))
+
+
+@query(
+    "dataset_drift_by_kind",
+    f"""{SMALL_SIDES}, {preset_sql()}, out AS ({PRESET_OUT}) SELECT count(*) AS columns, count(*) FILTER (drifted) AS drifted_columns,
+    round(count(*) FILTER (drifted) / CAST(count(*) AS DOUBLE), 6) AS dataset_drift_score FROM out""",
+)
+def _dataset_drift_by_kind(spark, sf_dir):
+    score = dataset_drift(preset_drift(*_tails(spark, sf_dir)))
+    return score.withColumn("dataset_drift_score", F.round("dataset_drift_score", 6))
+
+
 COLD_SQL = f"""WITH {TX}, last500 AS (SELECT * FROM (SELECT * FROM tx WHERE t >= {HALF} ORDER BY t DESC, event_seq DESC LIMIT 500) WHERE label IS NOT NULL),
     {features_cte("last500", "cold")}, early_tx AS (SELECT * FROM tx WHERE t < {HALF}), {features_cte("early_tx", "early")},
     ref AS (SELECT * REPLACE (coalesce(label, 0) AS label) FROM early ORDER BY t DESC, event_seq DESC LIMIT 500),

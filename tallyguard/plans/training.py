@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyguard.operators.boosting import BoostingSettings, Ensemble, fit_ensemble
-from tallyguard.operators.drift import dataset_drift, drift_report
+from tallyguard.operators.drift import dataset_drift, preset_drift
 from tallyguard.operators.evaluation import (
     average_precision,
     choose_thresholds,
@@ -246,8 +246,9 @@ def drift_samples(
 
 
 def run_drift(reference: DataFrame, current: DataFrame, report_dir: str | None = None) -> DataFrame:
-    """Drift per column; the report and its score are also written if a folder is given."""
-    report = drift_report(reference, current)
+    """Drift per column, each by the test of its kind; the report and its score are also written if
+    a folder is given."""
+    report = preset_drift(reference, current)
     if report_dir:
         write_report(report, f"{report_dir}/latest_drift_columns")
         write_report(dataset_drift(report), f"{report_dir}/latest_drift_score")

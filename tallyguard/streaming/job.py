@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tallyguard.functions.scalars import hour_start
+from tallyguard.operators.features import FeatureWindows
 from tallyguard.operators.rules import Rule, apply_rules, load_rules
 from tallyguard.operators.scoring import FittedScorer, LogisticScorer, score
 from tallyguard.operators.validate import GOOD, dead_letters, normalise, route_messages
@@ -25,7 +26,19 @@ from tallyguard.sources.sinks import (
     write_batch,
     write_messages,
 )
-from tallyguard.streaming.processor import stream_features
+from tallyguard.schemas import STATE_TTL_SECONDS
+from tallyguard.streaming.processor import (
+    CLAIM_BUCKETS,
+    CLAIM_SECONDS,
+    EVENT,
+    MERCHANT_SALTS,
+    REPEAT,
+    TIMES,
+    carried,
+    claimed_rows,
+    history_features,
+    with_history,
+)
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COPY_SALTS = 8
@@ -56,14 +69,12 @@ def stream_settings(spark: SparkSession, state_partitions: int | None = None) ->
 def drop_repeats(
     events: DataFrame, horizon: str = "30 days", copy_salts: int = COPY_SALTS, clock: str = "event_time"
 ) -> DataFrame:
-    """First delivery of each event id within the horizon of the ``clock`` column.
+    """First delivery of each event id within the horizon of the ``clock`` column, repeats dropped
+    silently. The decision job marks repeats instead (``claimed_rows``).
 
     Rows older than the horizon behind the newest one are dropped with the claims they would
-    need. The clock of the decision job is the arrival time, which hardly runs backwards, so an
-    event that is late by its own time is still claimed and decided.
-
-    Deliveries are first reduced per (id, salt) and then per id, so that an id delivered very
-    often does not send all its copies to one task.
+    need. Deliveries are first reduced per (id, salt) and then per id, so that an id delivered
+    very often does not send all its copies to one task.
     """
     marked = events.withWatermark(clock, horizon)
     if copy_salts > 1:
@@ -76,30 +87,52 @@ def drop_repeats(
 
 
 def decided_stream(
-    messages: DataFrame, horizon: str = "30 days", copy_salts: int = COPY_SALTS, **feature_options: object
+    messages: DataFrame,
+    claim_seconds: int = CLAIM_SECONDS,
+    claim_buckets: int = CLAIM_BUCKETS,
+    windows: FeatureWindows = FeatureWindows(),
+    state_ttl_seconds: int | None = STATE_TTL_SECONDS,
+    late_seconds: int = 0,
+    wait_seconds: int | None = None,
+    merchant_salts: int = MERCHANT_SALTS,
 ) -> DataFrame:
-    """Features of the good messages, and the bad messages as they came, in one stream.
+    """Good messages with their features, repeated deliveries, and bad messages as they came.
 
-    ``route`` tells them apart. Rules and scores are added per micro-batch, so that a new
-    model takes effect without a restart.
+    ``route`` tells them apart. All pass the stateful steps in one branch, so a message is read
+    and decoded once. The clock is the arrival time, so an event that is late by its own time is
+    still claimed and decided. Rules and scores are added per micro-batch, so that a new model
+    takes effect without a restart.
     """
     routed = route_messages(messages)
-    arrived = F.coalesce("timestamp", F.col("event")["event_time"]).alias("__arrived")
-    good = routed.where(F.col("route") == GOOD).select("event.*", "event_seq", arrived)
-    claimed = drop_repeats(good, horizon, copy_salts, "__arrived").drop("__arrived")
-    enriched = stream_features(claimed, **feature_options)
-    payload = F.struct(*enriched.columns).alias("good")
-    kept = enriched.select(F.lit(GOOD).alias("route"), payload)
-    bad = routed.where(F.col("route") != GOOD)
-    lost = bad.select("route", F.struct(*bad.columns).alias("bad"))
-    return kept.unionByName(lost, allowMissingColumns=True)
+    event = F.struct("event.*", "event_seq")
+    good = F.col("route") == GOOD
+    schema = routed.select(event.alias("e")).schema["e"].dataType
+    lost = F.struct(*routed.columns)
+    lost_schema = routed.select(lost.alias("e")).schema["e"].dataType
+    arrived = F.coalesce("timestamp", F.col("event")["event_time"])
+    payload = F.when(good, F.to_json(event, TIMES)).otherwise(F.to_json(lost, TIMES))
+    timed = routed.withColumn("__arrived", arrived).withWatermark("__arrived", "0 seconds")
+    rows = timed.select(*carried(F.col("event"), F.col("event_seq"), F.col("__arrived"), payload, F.col("route")))
+    claimed = claimed_rows(rows, claim_seconds, claim_buckets)
+    history = with_history(claimed, windows, state_ttl_seconds, late_seconds, wait_seconds, merchant_salts)
+    found = history.withColumn("event", F.when(F.col("kind") == EVENT, F.from_json("payload", schema, TIMES)))
+    columns = [F.col("event")[c].alias(c) for c in schema.fieldNames()]
+    repeated = F.struct("event_id", F.col("seq").alias("event_seq"), "repeat_of", F.timestamp_millis("arrived").alias("arrived"))
+    is_event, is_repeat = F.col("kind") == EVENT, F.col("route") == REPEAT
+    return found.select(
+        "route",
+        F.when(is_event, F.struct(*columns, history_features().alias("features"))).alias("good"),
+        F.when(is_repeat, repeated).alias("repeat"),
+        F.when(~is_event & ~is_repeat, F.from_json("payload", lost_schema, TIMES)).alias("bad"),
+    )
 
 
 class BatchWriter:
-    """Writes one micro-batch: tables, stage messages and dead letters.
+    """Writes one micro-batch: tables, duplicates, stage messages and dead letters.
 
     Every output folder carries the batch id and is overwritten on a retry, so a batch that
-    runs twice leaves one set of rows.
+    runs twice leaves one set of rows. The last write publishes the batch: ``published`` shows
+    a reader only batches whose outputs are all there.
     """
 
     def __init__(self, out_dir: str, scorer=None, rules: list[Rule] | None = None, reload=None) -> None:
@@ -122,19 +155,35 @@ class BatchWriter:
             enriched = normalise(batch.where(F.col("route") == GOOD).select("good.*"))
             judged = score(apply_rules(enriched, self.rules), self._current_scorer())
             decided = with_case(judged, "event_time").persist(StorageLevel.MEMORY_AND_DISK)
-            letters = dead_letters(batch.where(F.col("route") != GOOD).select("bad.*"))
+            bad = F.col("bad").isNotNull()
+            letters = dead_letters(batch.where(bad).select("bad.*"))
+            if "repeat" in batch.columns:
+                write_batch(batch.where(F.col("repeat").isNotNull()).select("repeat.*"), f"{self.out_dir}/duplicates", batch_id)
             write_batch(raw_rows(decided), f"{self.out_dir}/transactions_raw", batch_id)
             write_batch(scored_rows(decided), f"{self.out_dir}/transactions_scored", batch_id)
             write_batch(decision_rows(decided), f"{self.out_dir}/fraud_decisions", batch_id)
             write_batch(letters, f"{self.out_dir}/dead_letters", batch_id)
             messages = fan_out(decided).unionByName(dead_letter_messages(letters))
             write_messages(messages, f"{self.out_dir}/messages", batch_id)
+            publish_batch(batch.sparkSession, self.out_dir, batch_id)
         finally:
             if decided is not None:
                 decided.unpersist()
             batch.unpersist()
 
 
+def publish_batch(spark: SparkSession, out_dir: str, batch_id: int) -> None:
+    """Marks a batch as complete, by one small file."""
+    write_batch(spark.range(1).select(F.current_timestamp().alias("at")), f"{out_dir}/published", batch_id)
+
+
+def published(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
+    """The rows of an output table whose batches are complete. Batch ids are folder names, so where
+    Spark broadcasts the ids it skips the folders of other batches."""
+    done = spark.read.parquet(f"{out_dir}/published").select("batch_id").distinct()
+    return spark.read.parquet(f"{out_dir}/{table}").join(done, "batch_id", "left_semi")
+
+
 def start_stream(
     messages: DataFrame,
     out_dir: str,
@@ -157,9 +206,11 @@ def start_stream(
         )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def run_to_table(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", state_partitions: int | None = None
+) -> None:
     """Runs a stream over all available input into a Parquet folder, then stops."""
-    with stream_settings(stream.sparkSession):
+    with stream_settings(stream.sparkSession, state_partitions):
         query = (
             stream.writeStream.format("parquet")
             .outputMode(mode)

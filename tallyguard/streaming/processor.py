@@ -1,8 +1,13 @@
-"""Keyed state for the streaming features.
+"""Keyed state for the streaming decisions.
 
-Two small stateful steps: one per merchant (has it been flagged as high risk before?) and one
-per account (history features). Within a micro-batch the rows of a key are put in event-time
-order and handled as arrays; the outputs equal those of the batch job on events in time order.
+Three small stateful steps: one per bucket of event ids (was the event delivered before?), one per
+merchant and salt (has it been flagged as high risk before?) and one per account (history
+features). Within a micro-batch the rows of a key are put in event-time order and handled as
+arrays. With a waiting time events are held back until the clock has passed them by it, so those
+that arrive out of order within it take their place, and the outputs equal those of the batch job.
+
+Rows of kind ``OTHER`` (messages off the good route, repeated deliveries) pass all steps as they
+are, so a stream has one branch and decodes a message once.
 """
 
 from __future__ import annotations
@@ -11,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,28 +29,38 @@ import tallyguard.schemas
 import tallyguard.streaming
 from tallyguard.functions.scalars import haversine_km, seconds_between, utc_hour
 from tallyguard.operators.features import MICROS, MONEY, FeatureWindows, risk_level
+from tallyguard.operators.validate import GOOD
 from tallyguard.schemas import CHANNELS, FEATURES, FIRST_EVENT_GAP_SECONDS, STATE_TTL_SECONDS
 
-NARROW = T.StructType(
+EVENT, FLAG, OTHER = 0, 1, 2
+REPEAT, HEARTBEAT = "repeat", "heartbeat"
+
+# What a row carries from the start: its kind, route, event and position, and the rest as text.
+CARRIED = T.StructType(
     [
+        T.StructField("kind", T.IntegerType()),
+        T.StructField("route", T.StringType()),
+        T.StructField("event_id", T.StringType()),
         T.StructField("account_id", T.StringType()),
         T.StructField("merchant_id", T.StringType()),
         T.StructField("device_id", T.StringType()),
         T.StructField("country", T.StringType()),
         T.StructField("latitude", T.DoubleType()),
         T.StructField("longitude", T.DoubleType()),
+        T.StructField("arrived", T.LongType()),
         T.StructField("us", T.LongType()),
         T.StructField("seq", T.LongType()),
         T.StructField("micros", T.LongType()),
         T.StructField("failed", T.LongType()),
         T.StructField("risky", T.BooleanType()),
+        T.StructField("repeat_of", T.LongType()),
         T.StructField("payload", T.StringType()),
     ]
 )
 
 HISTORY = T.StructType(
     [
-        *NARROW.fields,
+        *CARRIED.fields,
         T.StructField("n_short", T.LongType()),
         T.StructField("n_medium", T.LongType()),
         T.StructField("n_long", T.LongType()),
@@ -62,32 +78,180 @@ HISTORY = T.StructType(
     ]
 )
 
+MERCHANT_SALTS = 16
+CLAIM_BUCKETS = 1024
+CLAIM_SECONDS = 30 * 86_400
+# Text of times in the payload: whole microseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 
 # The state handlers travel to the executors by value: those need no copy of this package.
 for _part in (tallyguard.streaming, tallyguard.functions, tallyguard.operators, tallyguard.schemas):
     cloudpickle.register_pickle_by_value(_part)
 
 
-def in_time_order(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
+def as_batch(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """All rows a key received in this micro-batch (they may come in several chunks)."""
-    rows = pd.concat(list(chunks), ignore_index=True)
-    return rows.sort_values(["us", "seq"], kind="stable", ignore_index=True)
+    return pd.concat(list(chunks), ignore_index=True)
+
+
+def as_output(batch: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
+    """The columns of the schema. A text column without any text is given as plain nulls, since one
+    of missing numbers can't be sent back as text."""
+    out = batch.reindex(columns=schema.fieldNames())
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    for name in texts:
+        if not out[name].notna().any():
+            out[name] = pd.Series([None] * len(out), index=out.index, dtype=object)
+    return out
+
+
+def in_time_order(batch: pd.DataFrame) -> pd.DataFrame:
+    return batch.sort_values(["us", "seq"], kind="stable", ignore_index=True)
+
+
+def plain_rows(batch: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    """Rows as tuples of Python values, as list states take them."""
+    part = batch[columns].astype(object)
+    return list(part.where(part.notna(), None).itertuples(index=False, name=None))
+
+
+class EventClaims(StatefulProcessor):
+    """Marks repeated deliveries of an event id within the horizon, by the arrival time.
+
+    State: a map from id to arrival and sequence of the claimed delivery, one entry an id, for all
+    ids of a bucket. An entry older than the horizon is void; a timer sweeps them out of the map.
+    """
+
+    def __init__(self, horizon_seconds: int) -> None:
+        self.horizon_ms = horizon_seconds * 1_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.claims = handle.getMapState("claims", "event_id string", "arrived long, seq long")
+        self.sweep = handle.getValueState("sweep", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = as_batch(rows).sort_values(["arrived", "seq"], kind="stable", ignore_index=True)
+        seqs = batch["repeat_of"].to_numpy().copy()
+        kinds = batch["kind"].to_numpy().copy()
+        claimed: dict[str, tuple[int, int]] = {}
+        for i, (kind, name, arrived, seq) in enumerate(
+            zip(batch["kind"].tolist(), batch["event_id"].tolist(), batch["arrived"].tolist(), batch["seq"].tolist())
+        ):
+            if kind != EVENT:
+                continue
+            known = claimed.get(name)
+            if known is None and self.claims.containsKey((name,)):
+                known = tuple(self.claims.getValue((name,)))
+            if known is not None and arrived - known[0] <= self.horizon_ms:
+                seqs[i], kinds[i] = known[1], OTHER
+                claimed[name] = known
+                continue
+            claimed[name] = (int(arrived), int(seq))
+            self.claims.updateValue((name,), claimed[name])
+        if claimed and not self.sweep.exists():
+            self._sweep_at(min(a for a, _ in claimed.values()) + self.horizon_ms)
+        repeat = (kinds == OTHER) & (batch["kind"].to_numpy() == EVENT)
+        batch["repeat_of"] = seqs
+        batch["route"] = np.where(repeat, REPEAT, batch["route"])
+        batch["kind"] = kinds
+        yield as_output(batch, CARRIED)
+
+    def _sweep_at(self, at: int) -> None:
+        # Sweeps are at least a sixteenth of the horizon apart.
+        at += self.horizon_ms // 16
+        self.sweep.update((at,))
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() - self.horizon_ms
+        entries = [(name[0], claim[0]) for name, claim in self.claims.iterator()]
+        left = [arrived for _, arrived in entries if arrived >= limit]
+        for name, arrived in entries:
+            if arrived < limit:
+                self.claims.removeKey((name,))
+        self.sweep.clear()
+        if left:
+            self._sweep_at(min(left) + self.horizon_ms)
+        return iter([])
 
 
 class MerchantRisk(StatefulProcessor):
-    """Marks events at merchants that an earlier event, of any account, flagged."""
+    """Marks events at merchants that an earlier event, of any account, flagged.
+
+    A merchant is spread over salts. Its events go to one salt each; those that flag it also send
+    a row without payload to every salt, so each knows the earliest flag. With a waiting time
+    events are held until the clock has passed them by it.
+    """
+
+    def __init__(self, wait_seconds: int | None) -> None:
+        self.wait_ms = None if wait_seconds is None else wait_seconds * 1_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flagged = handle.getValueState("flagged", "since long")
+        self.handle = handle
+        self.flagged = handle.getValueState("flagged", "us long, seq long")
+        self.waiting = handle.getListState("waiting", CARRIED)
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = in_time_order(rows)
-        known = self.flagged.exists()
-        risky = batch["risky"].to_numpy(dtype=bool)
-        if not known and risky.any():
-            self.flagged.update((int(batch["us"].iloc[int(risky.argmax())]),))
-        batch["risky"] = True if known else np.logical_or.accumulate(risky)
-        yield batch
+        batch = as_batch(rows)
+        if (batch["kind"] == OTHER).any():
+            yield as_output(batch[batch["kind"] == OTHER], CARRIED)
+        flags = batch[(batch["kind"] == FLAG) | (batch["kind"] == EVENT) & batch["risky"]]
+        if len(flags):
+            first = min(zip(flags["us"].tolist(), flags["seq"].tolist()))
+            if not self.flagged.exists() or first < tuple(self.flagged.get()):
+                self.flagged.update(first)
+        events = batch.loc[batch["kind"] == EVENT, CARRIED.fieldNames()]
+        if not len(events):
+            return
+        if self.wait_ms is None:
+            yield self._marked(events)
+            return
+        due = self._due(events["us"])
+        late = due < timerValues.getCurrentWatermarkInMs()
+        if late.any():
+            yield self._marked(events[late])
+        held, due = events[~late], due[~late]
+        if len(held):
+            self.waiting.appendList(plain_rows(held, CARRIED.fieldNames()))
+            self._wake_at(int(due.min()))
+
+    def _due(self, us: pd.Series) -> pd.Series:
+        """Milliseconds of the clock that must pass before an event is released."""
+        return us // 1_000 + self.wait_ms + 1
+
+    def _wake_at(self, at: int) -> None:
+        if self.timer.exists():
+            (set_for,) = self.timer.get()
+            if set_for <= at:
+                return
+            self.handle.deleteTimer(set_for)
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
+
+    def _marked(self, events: pd.DataFrame) -> pd.DataFrame:
+        events = in_time_order(events)
+        if self.flagged.exists():
+            us, seq = self.flagged.get()
+            later = (events["us"] > us) | (events["us"] == us) & (events["seq"] > seq)
+            events["risky"] = events["risky"].astype(bool) | later
+        return as_output(events, CARRIED)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        held = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=CARRIED.fieldNames())
+        due = self._due(held["us"])
+        ready = due < timerValues.getCurrentWatermarkInMs()
+        rest = held[~ready]
+        if len(rest):
+            self.waiting.put(plain_rows(rest, CARRIED.fieldNames()))
+            self._wake_at(int(due[~ready].min()))
+        else:
+            self.waiting.clear()
+        if ready.any():
+            yield self._marked(held[ready])
 
 
 class AccountHistory(StatefulProcessor):
@@ -95,15 +259,18 @@ class AccountHistory(StatefulProcessor):
 
     State: totals and last event (one value), the events of the last hour (packed arrays),
     devices and merchants seen (maps). It starts anew when the account was silent for longer
-    than the lifetime. The window arrays also keep ``allowance`` seconds for late events.
+    than the lifetime; a timer removes it once the clock says so, also if the account never
+    comes back. The window arrays also keep ``allowance`` seconds for late events.
     """
 
-    def __init__(self, windows: FeatureWindows, lifetime: int | None, allowance: int) -> None:
+    def __init__(self, windows: FeatureWindows, lifetime: int | None, allowance: int, wait_seconds: int | None) -> None:
         self.windows = windows
         self.lifetime = lifetime
         self.allowance = allowance
+        self.wait_ms = (wait_seconds or 0) * 1_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.profile = handle.getValueState(
             "profile",
             "n long, total string, first_us long, last_us long, latitude double, longitude double, country string",
@@ -111,14 +278,40 @@ class AccountHistory(StatefulProcessor):
         self.recent = handle.getValueState("recent", "us binary, micros binary, failed binary")
         self.devices = handle.getMapState("devices", "device string", "n long")
         self.merchants = handle.getMapState("merchants", "merchant string", "n long")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = in_time_order(rows)
+        batch = as_batch(rows)
+        others = batch[batch["kind"] == OTHER]
+        if len(others):
+            yield as_output(others, HISTORY)
+            batch = batch[batch["kind"] == EVENT]
+            if not len(batch):
+                return
+        batch = in_time_order(batch)
         last = self.profile.get()[3] if self.profile.exists() else None
         for start, end in self._lives(batch["us"].to_numpy(), last):
             if start > 0 or self._expired(batch["us"].iloc[0], last):
                 self._clear()
             yield self._advance(batch.iloc[start:end].reset_index(drop=True))
+        if self.lifetime is not None and not self.timer.exists():
+            self._expire_at(self.profile.get()[3])
+
+    def _expire_at(self, last_us: int) -> None:
+        at = last_us // 1_000 + self.lifetime * 1_000 + self.wait_ms + 1
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """One timer an account: it moves on if there were events since it was set."""
+        self.timer.clear()
+        if self.profile.exists():
+            last = self.profile.get()[3]
+            if last // 1_000 + self.lifetime * 1_000 + self.wait_ms + 1 < timerValues.getCurrentWatermarkInMs():
+                self._clear()
+            else:
+                self._expire_at(last)
+        return iter([])
 
     def _expired(self, us: int, last: int | None) -> bool:
         return self.lifetime is not None and last is not None and us - last > self.lifetime * MICROS
@@ -185,29 +378,124 @@ class AccountHistory(StatefulProcessor):
             batch[name] = values
         batch["life_n"] = count + np.arange(len(batch))
         batch["life_sum"] = sums
-        origin = first if first is not None else int(batch["us"].iloc[0])
+        origin = int(batch["us"].iloc[0])
+        if first is not None:
+            origin = min(origin, first)
         batch["first_us"] = origin
+        # The last event is the latest by its own time: one that comes late doesn't replace it.
         before = {"us": last, "latitude": latitude, "longitude": longitude, "country": country}
+        previous = batch["us"].shift(1)
+        stored = previous.isna() | (previous < last if last is not None else False)
         for name, value in before.items():
             shifted = batch[name].astype(object).shift(1)
-            shifted.iloc[0] = value
+            shifted[stored] = value
             batch[f"last_{name}"] = shifted
         batch["last_us"] = batch["last_us"].astype("Int64")
         batch["device_before"] = self._seen(batch["device_id"], self.devices)
         batch["merchant_before"] = self._seen(batch["merchant_id"], self.merchants)
         end = batch.iloc[-1]
-        self.profile.update(
-            (
-                int(count + len(batch)),
-                str(running),
-                int(origin),
-                int(end["us"]),
-                float(end["latitude"]),
-                float(end["longitude"]),
-                str(end["country"]),
-            )
-        )
-        return batch[HISTORY.fieldNames()]
+        if last is None or end["us"] >= last:
+            last = int(end["us"])
+            latitude, longitude, country = (_value(end[c]) for c in ("latitude", "longitude", "country"))
+        self.profile.update((int(count + len(batch)), str(running), origin, last, latitude, longitude, country))
+        return as_output(batch, HISTORY)
+
+
+def _value(x: object) -> object:
+    """A plain value of a cell, None where it is missing."""
+    return None if pd.isna(x) else x if isinstance(x, str) else float(x)
+
+
+def carried(event: Column, seq: Column, arrived: Column, payload: Column, route: Column | None = None) -> list[Column]:
+    """The columns of ``CARRIED`` for an event struct. ``route`` other than good makes a row pass."""
+    good = F.lit(True) if route is None else route == GOOD
+    lane = F.concat(F.lit("other:"), F.pmod(F.xxhash64(seq), F.lit(CLAIM_BUCKETS)).cast("string"))
+    amount = event["amount"].cast(MONEY)
+    values = {
+        "kind": F.when(good, F.lit(EVENT)).otherwise(F.lit(OTHER)),
+        "route": F.lit(GOOD) if route is None else route,
+        "event_id": event["event_id"],
+        # Rows that pass have no account or merchant to meet at: they are spread.
+        "account_id": F.when(good, event["account_id"]).otherwise(lane),
+        "merchant_id": F.when(good, event["merchant_id"]).otherwise(lane),
+        "device_id": event["device_id"],
+        "country": event["country"],
+        "latitude": event["latitude"],
+        "longitude": event["longitude"],
+        # Whole numbers have no nulls, so that no batch turns them into doubles.
+        "arrived": F.coalesce(F.unix_millis(arrived), F.lit(0)),
+        "us": F.coalesce(F.unix_micros(event["event_time"]), F.lit(0)),
+        "seq": seq,
+        "micros": F.when(good, (amount * 1_000_000).cast("bigint")).otherwise(0),
+        "failed": F.when(good, (event["prior_auth_failures"] > 0).cast("bigint")).otherwise(0),
+        "risky": F.coalesce(good & (risk_level(event["metadata"]) == "high"), F.lit(False)),
+        "repeat_of": F.lit(-1),
+        "payload": payload,
+    }
+    return [values[name].cast(CARRIED[name].dataType).alias(name) for name in CARRIED.fieldNames()]
+
+
+def local_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose event id an earlier row of the same Arrow batch has, as rows that pass. So of an id
+    that is delivered very often few rows reach its bucket."""
+    for batch in batches:
+        table = batch.to_pandas()
+        events = table["kind"] == EVENT
+        ordered = table[events].sort_values(["arrived", "seq"], kind="stable")
+        first = ordered.groupby("event_id")["seq"].transform("first")
+        again = ordered.index[ordered.duplicated("event_id")]
+        if len(again):
+            table.loc[again, "kind"] = OTHER
+            table.loc[again, "route"] = REPEAT
+            table.loc[again, "repeat_of"] = first[again]
+            # They are spread like all rows that pass.
+            spread = pd.util.hash_array(table.loc[again, "seq"].to_numpy()) % CLAIM_BUCKETS
+            for name in ("account_id", "merchant_id"):
+                table.loc[again, name] = [f"other:{lane}" for lane in spread]
+            batch = pa.RecordBatch.from_pandas(table, schema=batch.schema, preserve_index=False)
+        yield batch
+
+
+def claimed_rows(rows: DataFrame, horizon_seconds: int = CLAIM_SECONDS, buckets: int = CLAIM_BUCKETS) -> DataFrame:
+    """Carried rows with the repeated deliveries marked: route ``repeat``, and in ``repeat_of`` the
+    sequence of an earlier delivery, else -1. The watermark has to follow the arrival."""
+    marked = rows.mapInArrow(local_repeats, CARRIED)
+    name = F.when(F.col("kind") == EVENT, F.col("event_id")).otherwise(F.col("merchant_id"))
+    bucket = F.pmod(F.xxhash64(name), F.lit(buckets)).alias("bucket")
+    return (
+        marked.select("*", bucket)
+        .groupBy("bucket")
+        .transformWithStateInPandas(EventClaims(horizon_seconds), CARRIED, "append", "EventTime")
+    )
+
+
+def with_history(
+    rows: DataFrame,
+    windows: FeatureWindows,
+    state_ttl_seconds: int | None,
+    late_seconds: int,
+    wait_seconds: int | None,
+    merchant_salts: int,
+) -> DataFrame:
+    """Carried rows with the history of their accounts."""
+    own = F.pmod(F.xxhash64("seq"), F.lit(merchant_salts)).cast("int")
+    event = F.struct(own.alias("salt"), F.lit(False).alias("copy"))
+    copies = F.array(*[F.struct(F.lit(i).alias("salt"), F.lit(True).alias("copy")) for i in range(merchant_salts)])
+    flags = (F.col("kind") == EVENT) & F.col("risky")
+    lanes = F.when(flags, F.concat(F.array(event), copies)).otherwise(F.array(event))
+    dealt = rows.select("*", F.inline(lanes))
+    dealt = dealt.withColumns(
+        {
+            "kind": F.when(F.col("copy"), F.lit(FLAG)).otherwise(F.col("kind")),
+            "payload": F.when(~F.col("copy"), F.col("payload")),
+        }
+    ).drop("copy")
+    marked = dealt.groupBy("merchant_id", "salt").transformWithStateInPandas(
+        MerchantRisk(wait_seconds), CARRIED, "append", "EventTime"
+    )
+    return marked.groupBy("account_id").transformWithStateInPandas(
+        AccountHistory(windows, state_ttl_seconds, late_seconds, wait_seconds), HISTORY, "append", "EventTime"
+    )
 
 
 def stream_features(
@@ -215,34 +503,36 @@ def stream_features(
     windows: FeatureWindows = FeatureWindows(),
     state_ttl_seconds: int | None = STATE_TTL_SECONDS,
     late_seconds: int = 0,
+    wait_seconds: int | None = None,
+    clock: str = "event_time",
+    clock_delay: str = "0 seconds",
+    merchant_salts: int = MERCHANT_SALTS,
 ) -> DataFrame:
     """The streaming form of ``add_features``: same columns, same values on ordered input.
 
+    With ``wait_seconds`` the values are the same on any input in which no event comes more than
+    that much of the ``clock`` after one that happened later. Events are then held until the clock
+    has passed them by it; rows without an event id are no events and only move the clock. Without
+    it events are handled as they come: one that is late sees the state as it is then.
+
     The event itself travels through the stateful steps as JSON text next to the few columns
     they use, so only those are converted to arrays.
     """
-    amount = F.col("amount").cast(MONEY)
     columns = events.columns
     schema = events.select(F.struct(*columns).alias("event")).schema["event"].dataType
-    narrow = events.select(
-        "account_id",
-        "merchant_id",
-        "device_id",
-        "country",
-        "latitude",
-        "longitude",
-        F.unix_micros("event_time").alias("us"),
-        F.col("event_seq").alias("seq"),
-        (amount * 1_000_000).cast("bigint").alias("micros"),
-        (F.col("prior_auth_failures") > 0).cast("bigint").alias("failed"),
-        (risk_level(F.col("metadata")) == "high").alias("risky"),
-        F.to_json(F.struct(*columns)).alias("payload"),
-    )
-    marked = narrow.groupBy("merchant_id").transformWithStateInPandas(MerchantRisk(), NARROW, "append", "None")
-    history = marked.groupBy("account_id").transformWithStateInPandas(
-        AccountHistory(windows, state_ttl_seconds, late_seconds), HISTORY, "append", "None"
+    event = F.struct(*columns)
+    timed = events.withWatermark(clock, clock_delay)
+    route = F.when(F.col("event_id").isNull(), F.lit(HEARTBEAT)).otherwise(F.lit(GOOD))
+    rows = timed.select(
+        *carried(event, F.col("event_seq"), F.col(clock), F.to_json(event, TIMES), route)
     )
-    parsed = history.withColumn("event", F.from_json("payload", schema))
+    history = with_history(rows, windows, state_ttl_seconds, late_seconds, wait_seconds, merchant_salts)
+    found = history.where(F.col("kind") == EVENT).withColumn("event", F.from_json("payload", schema, TIMES))
+    return found.select(*[F.col("event")[c].alias(c) for c in columns], history_features().alias("features"))
+
+
+def history_features() -> Column:
+    """The struct of features from the columns of ``HISTORY`` and ``event``."""
     e, last_us = F.col("event"), F.col("last_us")
     own = e["amount"].cast("double")
     average = F.when(
@@ -282,5 +572,4 @@ def stream_features(
         "account_merchant_tx_count_30d": F.col("merchant_before").cast("double"),
         **{f"channel_{c}": (e["channel"] == c).cast("double") for c in CHANNELS},
     }
-    features = F.struct(*[values[name].alias(name) for name in FEATURES])
-    return parsed.select(*[e[c].alias(c) for c in columns], features.alias("features"))
+    return F.struct(*[values[name].alias(name) for name in FEATURES])

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import random
 import time
 from collections import Counter
 from dataclasses import replace
 from datetime import timedelta
 
+import pytest
 from helpers import assert_features, expected_features, frame, random_events
 from pyspark.sql import functions as F
 
@@ -15,16 +17,21 @@ from tallyguard.operators.scoring import LogisticScorer
 from tallyguard.schemas import CONTRACT
 from tallyguard.sources.sinks import topic_options, topic_rows
 from tallyguard.sources.streams import MESSAGE_SCHEMA, file_messages
+from tallyguard.streaming import job
 from tallyguard.streaming.job import (
     BatchWriter,
     StreamCounters,
+    decided_stream,
     hourly_counts,
     progress_counters,
+    published,
     run_hourly_counts,
     run_to_table,
     start_stream,
+    stream_settings,
 )
-from tallyguard.streaming.processor import stream_features
+from tallyguard.streaming.processor import CARRIED, carried, local_repeats, stream_features
+from tallyguard.streaming.state import account_states
 
 
 def write_parts(spark, rows, folder, parts):
@@ -44,7 +51,7 @@ def run(spark, schema, folder, out, checkpoint, **options):
         .option("latestFirst", False)
         .parquet(f"{folder}/part*")
     )
-    run_to_table(stream_features(stream, **options), out, checkpoint)
+    run_to_table(stream_features(stream, **options), out, checkpoint, state_partitions=3)
     return spark.read.parquet(out)
 
 
@@ -97,7 +104,7 @@ def test_decision_stream_writes_each_event_once(spark, tmp_path):
 
     writer = BatchWriter(f"{tmp_path}/out", reload=reload)
     query = start_stream(
-        file_messages(spark, f"{tmp_path}/in/part*"), f"{tmp_path}/out", f"{tmp_path}/cp", writer, copy_salts=2
+        file_messages(spark, f"{tmp_path}/in/part*"), f"{tmp_path}/out", f"{tmp_path}/cp", writer, state_partitions=2
     )
     query.awaitTermination()
     scored = spark.read.parquet(f"{tmp_path}/out/transactions_scored")
@@ -115,7 +122,7 @@ def test_decision_stream_writes_each_event_once(spark, tmp_path):
     assert sum(p["input_rows"] for p in progress_counters(query)) >= len(rows)
 
     before = scored.count()
-    again = start_stream(file_messages(spark, f"{tmp_path}/in/part*"), f"{tmp_path}/out", f"{tmp_path}/cp", writer, copy_salts=2)
+    again = start_stream(file_messages(spark, f"{tmp_path}/in/part*"), f"{tmp_path}/out", f"{tmp_path}/cp", writer)
     again.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/transactions_scored").count() == before
 
@@ -206,3 +213,183 @@ def test_topic_rows_are_binary(spark):
     rows = topic_rows(spark.createDataFrame([("k", "v", "t")], "key string, value string, topic string"))
     assert [f.dataType.simpleString() for f in rows.schema] == ["binary", "binary", "string"]
     assert topic_options("a:1", linger="5")["kafka.acks"] == "all"
+
+
+def shuffled_parts(spark, rows, folder, parts, delay, seed):
+    """Rows that arrive up to ``delay`` seconds late, cut into files by arrival, and a last row that
+    is no event. Inside a file the order is random."""
+    rng = random.Random(seed)
+    late = [dict(r, arrived=r["event_time"] + timedelta(seconds=rng.randint(0, delay))) for r in rows]
+    late.sort(key=lambda r: r["arrived"])
+    size = -(-len(late) // parts)
+    schema = frame(spark, rows).schema.add("arrived", "timestamp")
+
+    def write(part, i):
+        spark.createDataFrame([tuple(r.get(c) for c in schema.fieldNames()) for r in part], schema).coalesce(1).write.parquet(
+            f"{folder}/part{i}"
+        )
+
+    for i in range(parts):
+        part = late[i * size : (i + 1) * size]
+        rng.shuffle(part)
+        write(part, i)
+    write([{"arrived": late[-1]["arrived"] + timedelta(days=9)}], parts)
+    return schema
+
+
+def test_events_out_of_order_get_the_features_of_the_batch(spark, tmp_path):
+    rows = random_events(21, 240)
+    schema = shuffled_parts(spark, rows, f"{tmp_path}/in", 4, 7_200, 5)
+    arrivals = [r["event_seq"] for i in range(4) for r in spark.read.parquet(f"{tmp_path}/in/part{i}").collect()]
+    in_order = [r["event_seq"] for r in sorted(rows, key=lambda r: (r["event_time"], r["event_seq"]))]
+    assert arrivals != in_order
+    options = dict(wait_seconds=7_200, clock="arrived", merchant_salts=3)
+    out = run(spark, schema, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", **options)
+    assert out.count() == len(rows)
+    assert_features(out, expected_features(rows))
+
+
+def test_a_late_event_does_not_replace_the_last_one(spark, tmp_path):
+    rows = sorted(random_events(22, 60), key=lambda r: (r["event_time"], r["event_seq"]))
+    rows = [dict(r, account_id="one", event_seq=i) for i, r in enumerate(rows)]
+    late, rest = rows[20], rows[:20] + rows[21:]
+    for i, part in enumerate((rest[:40], [late], rest[40:])):
+        frame(spark, part).coalesce(1).write.parquet(f"{tmp_path}/in/part{i}")
+    out = run(spark, frame(spark, rows).schema, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = {r["event_seq"]: r["features"] for r in out.collect()}
+    wanted = expected_features(rows)
+    assert len(got) == len(rows)
+    for row in rest[40:]:
+        for name in ("time_since_last_tx_sec", "geo_distance_from_last_tx_km", "account_age_days", "tx_count_1h"):
+            assert abs(got[row["event_seq"]][name] - wanted[row["event_seq"]][name]) < 1e-6
+
+
+def state_rows(spark, schema, folder, tmp_path, **options):
+    """Features by event and the state rows of every step after each batch."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part*")
+    with stream_settings(spark, 2):
+        query = (
+            stream_features(stream, **options)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{tmp_path}/cp")
+            .option("path", f"{tmp_path}/out")
+            .trigger(availableNow=True)
+            .start()
+        )
+    query.awaitTermination()
+    return [[s["numRowsTotal"] for s in p["stateOperators"]] for p in query.recentProgress]
+
+
+def test_silent_accounts_leave_the_state(spark, tmp_path):
+    rows = random_events(23, 80)
+    span = max(r["event_time"] for r in rows) - min(r["event_time"] for r in rows)
+    lifetime = int(span.total_seconds()) + 3 * 86_400
+    schema = write_parts(spark, rows, f"{tmp_path}/in", 2)
+    end = max(r["event_time"] for r in rows)
+    back = dict(rows[0], event_seq=900, event_id="00000000-0000-4000-8000-000000000900")
+    back["event_time"] = end + timedelta(seconds=2 * lifetime + 10)
+    frame(spark, [back]).coalesce(1).write.parquet(f"{tmp_path}/in/part5")
+    totals = state_rows(spark, schema, f"{tmp_path}/in", tmp_path, state_ttl_seconds=lifetime)
+    # The accounts' step is the one that ever holds the most. All but the account that came back,
+    # whose state began anew, are gone: profile, window, device, merchant, timer and its two indices.
+    most = [max(column) for column in zip(*[t for t in totals if t])]
+    accounts = most.index(max(most))
+    assert most[accounts] > 40
+    assert totals[-1][accounts] <= 8
+    got = {r["event_seq"]: r["features"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got[900]["device_new_for_account"] == 1.0 and got[900]["account_age_days"] == 0.0
+
+
+def test_one_merchant_is_spread_over_salts(spark, tmp_path):
+    rows = [dict(r, merchant_id="hot") if i % 10 else r for i, r in enumerate(random_events(24, 200))]
+    schema = write_parts(spark, rows, f"{tmp_path}/in", 3)
+    out = run(spark, schema, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", merchant_salts=8)
+    wanted = expected_features(rows)
+    assert {w["high_risk_merchant_flag"] for w in wanted.values()} == {0.0, 1.0}
+    assert_features(out, wanted)
+    events = frame(spark, rows).where("merchant_id = 'hot'")
+    counts = [r["count"] for r in events.groupBy((F.pmod(F.xxhash64("event_seq"), F.lit(8)))).count().collect()]
+    assert len(counts) == 8 and max(counts) < 60
+
+
+def test_repeats_are_reported_and_claims_expire(spark, tmp_path):
+    rows = random_events(25, 50)
+    messages_of(spark, rows, f"{tmp_path}/in", 2)
+    first = spark.read.parquet(f"{tmp_path}/in/part0")
+    span = int((max(r["event_time"] for r in rows) - min(r["event_time"] for r in rows)).total_seconds())
+    first.withColumn("event_seq", F.col("event_seq") + 10_000).coalesce(1).write.parquet(f"{tmp_path}/in/part2")
+    later = F.timestamp_add("SECOND", F.lit(10 * span + 100), F.col("timestamp"))
+    first.withColumns({"event_seq": F.col("event_seq") + 20_000, "timestamp": later}).coalesce(1).write.parquet(
+        f"{tmp_path}/in/part3"
+    )
+    query = start_stream(
+        file_messages(spark, f"{tmp_path}/in/part*"),
+        f"{tmp_path}/out",
+        f"{tmp_path}/cp",
+        claim_seconds=2 * span + 50,
+        claim_buckets=4,
+        state_partitions=2,
+    )
+    query.awaitTermination()
+    repeats = published(spark, f"{tmp_path}/out", "duplicates").collect()
+    sent = {r["event_seq"] for r in first.collect()}
+    assert {(r["event_seq"], r["repeat_of"]) for r in repeats} == {(s + 10_000, s) for s in sent}
+    # After the horizon an id is claimed anew.
+    assert published(spark, f"{tmp_path}/out", "transactions_scored").count() == len(rows) + len(sent)
+
+
+def test_copies_in_one_file_meet_before_the_claims(spark):
+    rows = random_events(26, 3)
+    events = frame(spark, rows * 40).withColumn("event_seq", F.monotonically_increasing_id())
+    event = F.struct(*events.columns)
+    narrow = events.coalesce(1).select(*carried(event, F.col("event_seq"), F.col("event_time"), F.lit("{}")))
+    marked = narrow.mapInArrow(local_repeats, CARRIED).collect()
+    firsts = {r["event_id"]: r["seq"] for r in marked if r["kind"] == 0}
+    assert len(marked) == 120 and len(firsts) == 3
+    assert all(r["repeat_of"] == firsts[r["event_id"]] for r in marked if r["route"] == "repeat")
+    assert len({r["account_id"] for r in marked if r["route"] == "repeat"}) > 100
+
+
+def test_a_reader_sees_whole_batches_only(spark, tmp_path, monkeypatch):
+    rows = random_events(27, 40)
+    good = add_features(frame(spark, rows)).select(F.lit("good").alias("route"), F.struct("*").alias("good"))
+    bad_type = "struct<key:string,value:string,topic:string,timestamp:timestamp,event_seq:bigint,event:" + (
+        frame(spark, rows).select(F.struct(*CONTRACT).alias("e")).schema["e"].dataType.simpleString()
+    ) + ",errors:array<string>,route:string,error_message:string>"
+    batch = good.withColumn("bad", F.lit(None).cast(bad_type))
+    writer = BatchWriter(f"{tmp_path}/out")
+    writer(batch, 1)
+    monkeypatch.setattr(job, "write_messages", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        writer(batch, 2)
+    for table in ("transactions_raw", "transactions_scored", "fraud_decisions"):
+        assert spark.read.parquet(f"{tmp_path}/out/{table}").count() == 80
+        assert published(spark, f"{tmp_path}/out", table).count() == 40
+    monkeypatch.undo()
+    writer(batch, 2)
+    assert published(spark, f"{tmp_path}/out", "fraud_decisions").count() == 80
+
+
+def test_a_stream_decodes_a_message_once(spark, tmp_path):
+    rows = random_events(28, 10)
+    messages_of(spark, rows, f"{tmp_path}/in", 1)
+    stream = decided_stream(file_messages(spark, f"{tmp_path}/in/part*"))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert plan.count("StreamingRelation") == 1
+
+
+def test_context_of_accounts_while_the_stream_runs(spark, tmp_path):
+    rows = random_events(29, 100)
+    schema = write_parts(spark, rows, f"{tmp_path}/in", 2)
+    run(spark, schema, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp")
+    states = {r["account_id"]: r for r in account_states(spark, f"{tmp_path}/cp").collect()}
+    ordered = sorted(rows, key=lambda r: (r["event_time"], r["event_seq"]))
+    assert set(states) == {r["account_id"] for r in rows}
+    for name, state in states.items():
+        mine = [r for r in ordered if r["account_id"] == name]
+        assert state["rolling_count"] == len(mine)
+        assert abs(state["rolling_sum"] - sum(float(r["amount"]) for r in mine)) < 1e-6
+        assert state["last_country"] == mine[-1]["country"]
+        assert state["known_devices"] == len({r["device_id"] for r in mine})
+    before = account_states(spark, f"{tmp_path}/cp", batch_id=0)
+    assert before.agg(F.sum("rolling_count")).first()[0] == 50
