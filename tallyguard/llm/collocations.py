@@ -41,8 +41,8 @@ SAMPLE_BYTES = 24 << 20
 SAMPLE_SEED = 11
 # Of the count expected in the sample, so that few frequent phrases are missed.
 SAMPLE_SLACK = 0.5
-FILTER_BITS = 26
-PART_BYTES = 4 << 20
+FILTER_BITS = 25
+PART_BYTES = 1 << 19
 SALTS = 32
 COUNTS = "words int, lang string, phrase string, n long"
 

@@ -42,7 +42,7 @@ ORACLES["op1_license_scan"] = licenses.oracle()
 @query
 def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document, or place in the document, has."""
-    return repeats.repeats(_table(spark, sf_dir, "documents")).drop("place")
+    return repeats.repeats(_table(spark, sf_dir, "documents")).drop("place", "kept_doc_id")
 
 
 ORACLES["op2_repeated_lines"] = repeats.oracle()

@@ -1,23 +1,27 @@
-"""Substring de-duplication by hashing lines or paragraphs.
-
-A text is divided into units: paragraphs, lines, or lines divided at the ends of their sentences,
-so that a passage is also found where it was put into the middle of a line. Every unit is
-normalised (lower case, white space as one space) and hashed. The digests are grouped over the
-whole table; the earliest occurrence of a digest stays, the others are repeats. Repeats that
-follow one another in a document form a run, and a run is removed if the passage it belongs to
-may have the wanted number of words: the run itself, or the run with the units that share a line
-with its two ends, which may hold the passage's first and last words. Runs keep their offsets in
-the original text.
+"""Repeated passages, cut out of the text so that the earliest ranked occurrence stays.
+
+A text is read as normalised words (lower case, parted by white space). Its units are runs of 25
+words that its content chooses (the least hash of every 25 neighbours), so a passage has the same
+units wherever it stands: in a line, across line ends, with or without punctuation. Lines can't do
+that. Unit digests are grouped over the whole table; a unit that is not the first of its digest is
+an anchor. Anchors that follow one another at one distance from their first occurrences are a
+stretch of equal words; it is extended word by word on both sides in the two texts.
+
+A stretch of 50 words is a repeat. Where the words around an anchor have their earliest occurrence
+elsewhere than the anchor itself, stretches can be shorter than the repeat they lie in; so windows
+of 50 words around the ends of the stretches are hashed and grouped too. Together they find every
+window of 50 words that occurs earlier, and nothing else is removed.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyguard.llm.joins import join_counted
@@ -25,97 +29,290 @@ from tallyguard.llm.workers import map_arrow
 from tallyguard.session import written
 
 LEAST_WORDS = 50
-LEAST_RUN = 18
-
-# Where a text is divided into units.
-DIVIDERS = {
-    "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*"),
-    "line": re.compile(r"\n"),
-    "sentence": re.compile(r"\n|(?<=[.!?])(?= )"),
-}
-_EDGES = " \t\r\n\f\v"
-
-_UNITS = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("place", pa.int64()),
-        ("rank", pa.int64()),
-        ("unit", pa.int32()),
-        ("start", pa.int64()),
-        ("end", pa.int64()),
-        ("words", pa.int32()),
-        ("words_before", pa.int32()),
-        ("words_after", pa.int32()),
-        ("digest", pa.binary()),
-    ]
-)
-_UNITS_DDL = (
-    "doc_id long, place long, rank long, unit int, start long, end long, words int, words_before int, words_after int, "
-    "digest binary"
+
+_SPACE = "[ \t\r\n\f\v]"
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_CHUNK_BYTES = 1 << 20
+
+_ANCHORS = "doc_id long, place long, rank long, pos int, digest long"
+_FOUND = (
+    "doc_id long, place long, rank long, side string, pos int, start long, end long, words array<long>, edges array<long>, "
+    "first_hash long, second_hash long"
 )
 
 
-def units(text: str | None, divider: re.Pattern) -> list[tuple[int, int, int, int, int, bytes]]:
-    """Start, end, words, words of the units before and after in the same line, and digest of every
-    unit that has words. Offsets are in code points; white space at the edges isn't part of a unit."""
-    if not text:
-        return []
-    found, at, line = [], 0, 0
-    borders = [(m.start(), m.end()) for m in divider.finditer(text)]
-    for border, after in [*borders, (len(text), len(text))]:
-        unit = text[at:border]
-        words = unit.lower().encode().split()
-        if words:
-            start = at + len(unit) - len(unit.lstrip(_EDGES))
-            end = at + len(unit.rstrip(_EDGES))
-            digest = hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
-            found.append((start, end, len(words), digest, line))
-        line += after > border
-        at = after
-    none = (0, 0, 0, b"", -1)
-    return [
-        (s, e, n, before[2] * (before[4] == own), after[2] * (after[4] == own), d)
-        for before, (s, e, n, d, own), after in zip([none, *found], found, [*found[1:], none], strict=False)
-    ]
-
-
-def _split(divider: re.Pattern):
+class Words:
+    """Words of some texts: hash of every word, and where it starts and ends (code points)."""
+
+    def __init__(self, texts: list[str]):
+        flat = pa.array(texts, pa.large_string())
+        flat = pc.replace_substring_regex(flat, _SPACE, " ")
+        split = pc.split_pattern(flat, " ")
+        counts = pc.list_value_length(split).to_numpy()
+        encoded = pc.dictionary_encode(pc.list_flatten(split))
+        names = encoded.dictionary.to_pylist()
+        hashes = np.array([xxhash.xxh64_intdigest(w.lower()) for w in names], dtype=np.uint64)
+        sizes = np.array([len(w) for w in names], dtype=np.int64)
+        ids = encoded.indices.to_numpy()
+        lengths = sizes[ids]
+        ends = np.cumsum(lengths + 1) - 1
+        of_text = np.repeat(np.arange(len(texts)), counts)
+        first = np.cumsum(counts) - counts
+        base = np.zeros(len(texts), dtype=np.int64)
+        base[counts > 0] = (ends - lengths)[first[counts > 0]]
+        ends -= base[of_text]
+        real = lengths > 0
+        self.hashes, self.ends = hashes[ids[real]], ends[real]
+        self.starts = self.ends - lengths[real]
+        self.borders = np.searchsorted(of_text[real], np.arange(len(texts) + 1))
+
+    def of(self, text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = slice(self.borders[text], self.borders[text + 1])
+        return self.hashes[part], self.starts[part], self.ends[part]
+
+
+def run_hashes(hashes: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
+    """A hash of every run of ``size`` words, from the left to the right."""
+    out = np.zeros(max(0, len(hashes) - size + 1), dtype=np.uint64)
+    for i in range(size):
+        out = (out ^ (out >> np.uint64(31))) * _MIX[kind] + hashes[i : i + len(out)]
+    return (out ^ (out >> np.uint64(29))) * _MIX[1 - kind]
+
+
+def anchors_of(words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position and digest of the units of all texts. Every run of ``least_words`` - 1 words
+    of a text holds one, and neighbours are at most their size apart."""
+    size = least_words // 2
+    units = run_hashes(words.hashes, size)
+    reach = 2 * size - 1
+    n = max(0, len(words.hashes) - reach + 1)
+    of_text = np.repeat(np.arange(len(words.borders) - 1), np.diff(words.borders))
+    # Runs that don't cross from one text to the next.
+    starts = np.flatnonzero(of_text[:n] == of_text[reach - 1 : reach - 1 + n])
+    chosen = [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(starts), 1 << 15):
+        part = starts[at : at + (1 << 15)]
+        views = units[part[:, None] + np.arange(size - 1, -1, -1)]
+        # The last of equal ones.
+        chosen.append(np.unique(part + size - 1 - views.argmin(axis=1)))
+    found = np.unique(np.concatenate(chosen))
+    text = of_text[found]
+    return text, found - words.borders[text], units[found]
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Parts of the batches, of about a megabyte of text at least a row, with their words."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(column).to_pylist()]
+        at = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= _CHUNK_BYTES or i + 1 == len(texts):
+                yield batch.slice(at, i + 1 - at), Words(texts[at : i + 1])
+                at, size = i + 1, 0
+
+
+def _batch(columns: list[list], ddl: str) -> pa.RecordBatch:
+    kinds = {
+        "long": pa.int64(),
+        "int": pa.int32(),
+        "string": pa.string(),
+        "array<long>": pa.list_(pa.int64()),
+    }
+    fields = [field.split(" ") for field in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]
+    )
+
+
+def _find_anchors(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (*names, unit, *found)
-                for *names, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True)
-                for unit, found in enumerate(units(text.as_py(), divider))
-            ]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(_UNITS)
+        for part, words in _texts(batches, 3):
+            text, position, digest = anchors_of(words, least_words)
+            row = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, _UNITS, strict=True)], schema=_UNITS
+                [
+                    *(part.column(i).take(row) for i in range(3)),
+                    pa.array(position.astype(np.int32)),
+                    pa.array(digest.view(np.int64)),
+                ],
+                names=["doc_id", "place", "rank", "pos", "digest"],
             )
 
     return run
 
 
+def beside(words: tuple[np.ndarray, np.ndarray, np.ndarray], at: int, side: str, size: int) -> tuple[list, list]:
+    """Up to ``size`` words beside a border, the nearest first, and the text offsets that a passage
+    up to the border has with 0, 1, ... of them."""
+    hashes, starts, ends = words
+    if side == "left":
+        low = max(0, at - size)
+        return hashes[low:at][::-1].view(np.int64).tolist(), starts[low : at + 1][::-1].tolist()
+    return hashes[at : at + size].view(np.int64).tolist(), ends[at - 1 : at + size].tolist()
+
+
+def windows_of(words: tuple[np.ndarray, np.ndarray, np.ndarray], low: int, high: int, least_words: int) -> list[tuple]:
+    """Position, offsets and two hashes of the windows that begin at the words ``low`` to ``high``."""
+    hashes, starts, ends = words
+    low, high = max(0, low), min(high, len(hashes) - least_words)
+    if high < low:
+        return []
+    part = hashes[low : high + least_words]
+    first, second = (run_hashes(part, least_words, kind).view(np.int64).tolist() for kind in (0, 1))
+    last = ends[low + least_words - 1 : high + least_words].tolist()
+    return list(zip(range(low, high + 1), starts[low : high + 1].tolist(), last, first, second, strict=True))
+
+
+def _look_up(least_words: int):
+    """Answers what is asked of each text: words beside a border, or windows of a range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in _texts(batches, 3):
+            out: list[list] = [[] for _ in _FOUND.split(", ")]
+            names = [part.column(i).to_pylist() for i in range(3)]
+            for i, asked in enumerate(part.column(4).to_pylist()):
+                mine = words.of(i)
+                rows = []
+                seen = set()
+                for want in asked:
+                    if want["side"] != "window":
+                        rows.append((want["side"], want["low"], None, None, *beside(mine, want["low"], want["side"], least_words), None, None))
+                        continue
+                    for pos, start, end, high, low in windows_of(mine, want["low"], want["high"], least_words):
+                        if pos not in seen:
+                            seen.add(pos)
+                            rows.append(("window", pos, start, end, None, None, high, low))
+                for row in rows:
+                    for column, x in zip(out, (*(n[i] for n in names), *row), strict=True):
+                        column.append(x)
+            yield _batch(out, _FOUND)
+
+    return run
+
+
+def _equal_words(a: Column, b: Column) -> Column:
+    """How many leading elements of two arrays are equal."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(differs == 0, F.least(F.size(a), F.size(b))).otherwise((differs - 1).cast("int"))
+
+
+def _first_of(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows that have an earlier one with the same keys, and that one in ``first``."""
+    order = F.struct("rank", "doc_id", "place", "pos")
+    keyed = rows.withColumn("key", F.struct(*keys))
+    first = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min(order).alias("first")).where("copies > 1")
+    return join_counted(keyed, written(first, name), "key", "copies").where(order > F.col("first")).drop("key", "copies")
+
+
+def _stretches(anchors: DataFrame, size: int) -> DataFrame:
+    """Runs of anchors at one distance from their first occurrences: place, first and last word (end
+    exclusive), and place and distance of the origin."""
+    later = _first_of(anchors, ["digest"], "first-units").select(
+        "doc_id", "place", "rank", "pos", F.col("first.place").alias("o_place"), (F.col("pos") - F.col("first.pos")).alias("delta"),
+        F.col("first.doc_id").alias("kept_doc_id"),
+    )
+    in_doc = Window.partitionBy("place").orderBy("o_place", "delta", "pos")
+    before = F.lag(F.struct("o_place", "delta", "pos")).over(in_doc)
+    joins = (before["o_place"] == F.col("o_place")) & (before["delta"] == F.col("delta")) & (F.col("pos") - before["pos"] <= size)
+    cut = F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)
+    numbered = later.withColumn("cut", cut).withColumn("run", F.sum("cut").over(in_doc))
+    return numbered.groupBy("place", "run").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("rank").alias("rank"),
+        F.min("pos").alias("low"),
+        (F.max("pos") + size).alias("high"),
+        F.first("o_place").alias("o_place"),
+        F.first("delta").alias("delta"),
+        F.first("kept_doc_id").alias("kept_doc_id"),
+    )
+
+
+def _looked_up(runs: DataFrame, docs: DataFrame, least_words: int, size: int) -> DataFrame:
+    """What the texts say about the ends of the stretches: the words beside them, in the document and
+    in its origin, and the windows around them, without those inside a long stretch. The texts
+    are joined once."""
+    low, high, lead = F.col("low"), F.col("high"), least_words - size
+    o_low, o_high = low - F.col("delta"), high - F.col("delta")
+    around = F.when(high - low < least_words, F.array(_want("window", low - lead, high - size))).otherwise(
+        F.array(_want("window", low - lead, low - 1), _want("window", high - least_words + 1, high - size))
+    )
+    mine = runs.select(
+        "place", F.inline(F.concat(F.array(_want("left", low, low), _want("right", high, high)), around))
+    )
+    theirs = runs.select(
+        F.col("o_place").alias("place"), F.inline(F.array(_want("left", o_low, o_low), _want("right", o_high, o_high)))
+    )
+    asked = mine.union(theirs).distinct()
+    # A document is asked for each of its places once, so its list is no longer than its text.
+    per_doc = asked.groupBy("place").agg(F.collect_list(F.struct("side", "low", "high")).alias("asked"))
+    told = docs.join(per_doc, "place").select("doc_id", "place", "rank", "text", "asked")
+    return written(map_arrow(told, _look_up(least_words), _FOUND), "looked-up")
+
+
+def _want(side: str, low: Column, high: Column) -> Column:
+    return F.struct(F.lit(side).alias("side"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+
+def _extended(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """The stretches with the equal words beside them, and their offsets in the text."""
+    ends = F.array(
+        *[F.struct(F.lit(side).alias("side"), F.col(at).alias("at")) for side, at in (("left", "low"), ("right", "high"))]
+    )
+    o_key = F.struct(F.col("o_place").alias("place"), "side", (F.col("at") - F.col("delta")).cast("int").alias("pos"))
+    sides = runs.select("*", F.inline(ends)).withColumn("o_key", o_key)
+    told = found.where("side <> 'window'")
+    own = told.select("place", "side", F.col("pos").alias("at"), F.col("words").alias("own_words"), "edges")
+    both = sides.join(own, ["place", "side", "at"])
+    wanted = sides.groupBy("o_key").agg(F.count("*").alias("copies"))
+    origin = told.select(F.struct("place", "side", "pos").alias("o_key"), F.col("words").alias("o_words"))
+    both = join_counted(both, written(wanted.join(origin, "o_key"), "origins"), "o_key", "copies").drop("o_key", "copies")
+    left = F.col("side") == "left"
+    grown = both.withColumn("more", _equal_words(F.col("own_words"), F.col("o_words"))).select(
+        "place", "run", "doc_id", "kept_doc_id",
+        F.when(left, F.col("low") - F.col("more")).alias("low"),
+        F.when(~left, F.col("high") + F.col("more")).alias("high"),
+        F.when(left, F.get("edges", "more")).alias("start"),
+        F.when(~left, F.get("edges", "more")).alias("end"),
+    )
+    return grown.groupBy("place", "run").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("kept_doc_id").alias("kept_doc_id"),
+        *[F.max(c).alias(c) for c in ("low", "high", "start", "end")],
+    )
+
+
+def _earlier_windows(found: DataFrame, least_words: int) -> DataFrame:
+    """Windows around the ends of the stretches that occur earlier."""
+    later = _first_of(found.where("side = 'window'"), ["first_hash", "second_hash"], "first-windows")
+    return later.select(
+        "place", "doc_id", F.col("first.doc_id").alias("kept_doc_id"), F.col("pos").alias("low"),
+        (F.col("pos") + least_words).alias("high"), "start", "end",
+    )
+
+
 def repeats(
     docs: DataFrame,
-    unit: str = "sentence",
     least_words: int = LEAST_WORDS,
-    least_run: int = LEAST_RUN,
     id_col: str = "doc_id",
     text_col: str = "text",
     rank_col: str | None = None,
     place_col: str | None = None,
 ) -> DataFrame:
-    """One row per removed run: document, start and end in its text (code points, end exclusive),
-    units, words, digest of the first unit, and document and start of that unit's occurrence that
-    stays; ``place`` numbers the document's row.
+    """One row per removed span: document, start and end in its text (code points, end exclusive),
+    words, and a document that has an earlier occurrence of a part of it, the earliest where a whole
+    stretch has one origin; ``place`` numbers the document's row. A word is in a span if a window of ``least_words`` words around it occurs
+    earlier, in another document or in its own, also where the two overlap.
 
     Occurrences are ranked by the integer ``rank_col`` (the document id, unless given), then by id,
-    then by ``place_col`` (a number of each row; unless given, the order in which Spark reads the
-    rows), then by place in the text; nulls come first. A run is removed if it has
-    ``least_words`` words, or if it has ``least_run`` and reaches ``least_words`` with the units
-    next to it in its first and last line; units without words don't interrupt it. Null and empty texts have no units.
-    Copies of whole rows are repeats like any other. An empty table gives no rows.
+    then by ``place_col`` (a number of each row, no two alike; unless given, the order in which
+    Spark reads the rows), then by place in the text; nulls come first. Null and empty texts, and
+    those of fewer words, have no spans and are nobody's origin. Copies of whole rows are repeats
+    like any other. An empty table gives no rows. Other columns are not read.
     """
+    if least_words < 4:
+        raise ValueError("a repeat has at least four words")
+    size = least_words // 2
     place = F.col(place_col) if place_col else F.monotonically_increasing_id()
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -123,101 +320,96 @@ def repeats(
         F.col(rank_col or id_col).cast("long").alias("rank"),
         F.col(text_col).cast("string").alias("text"),
     )
-    found = written(map_arrow(rows, _split(DIVIDERS[unit]), _UNITS_DDL), "units")
-    order = F.struct("rank", "doc_id", "place", "unit", "start")
-    first = found.groupBy("digest").agg(F.count("*").alias("copies"), F.min(order).alias("first")).where("copies > 1")
-    first = written(first, "first")
-    later = join_counted(found, first, "digest", "copies").where(order > F.col("first"))
-    in_doc = Window.partitionBy("place").orderBy("unit")
-    runs = later.withColumn("run", F.col("unit") - F.row_number().over(in_doc))
-    whole = runs.groupBy("place", "run").agg(
+    rows = written(rows, "texts")
+    anchors = written(map_arrow(rows, _find_anchors(least_words), _ANCHORS), "units")
+    runs = written(_stretches(anchors, size), "stretches")
+    found = _looked_up(runs, rows, least_words, size)
+    grown = _extended(runs, found).where(F.col("high") - F.col("low") >= least_words)
+    windows = _earlier_windows(found, least_words)
+    grown = grown.select(windows.columns).withColumn("by_window", F.lit(False))
+    spans = grown.union(windows.withColumn("by_window", F.lit(True)))
+
+    in_doc = Window.partitionBy("place").orderBy("low", "high")
+    reach = F.max("high").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.coalesce(reach >= F.col("low"), F.lit(False)), 0).otherwise(1)
+    merged = spans.withColumn("begins", begins).withColumn("span", F.sum("begins").over(in_doc))
+    return merged.groupBy("place", "span").agg(
         F.first("doc_id").alias("doc_id"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.count("*").alias("units"),
-        F.sum("words").alias("words"),
-        F.min(F.struct("unit", "words_before", "digest", "first")).alias("head"),
-        F.max(F.struct("unit", "words_after")).alias("tail"),
-    )
-    reach = F.col("words") + F.col("head.words_before") + F.col("tail.words_after")
-    enough = (F.col("words") >= least_words) | (F.col("words") >= least_run) & (reach >= least_words)
-    return whole.where(enough).select(
-        "doc_id",
-        "start",
-        "end",
-        "units",
-        "words",
-        F.lower(F.hex("head.digest")).alias("digest"),
-        F.col("head.first.doc_id").alias("kept_doc_id"),
-        F.col("head.first.start").alias("kept_start"),
-        "place",
-    )
+        (F.max("high") - F.min("low")).cast("long").alias("words"),
+        F.min_by("kept_doc_id", F.struct("by_window", "low", "high", "kept_doc_id")).alias("kept_doc_id"),
+    ).select("doc_id", "start", "end", "words", "kept_doc_id", "place")
 
 
 _PLACE, _SPANS = "__place", "__removed"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        column = batch.schema.get_field_index("text")
-        texts = []
-        for text, spans in zip(batch.column(column), batch.column(_SPANS).to_pylist(), strict=True):
-            text = text.as_py()
-            for span in sorted(spans or [], key=lambda s: -s["start"]):
-                start, end = span["start"], span["end"]
-                whole_line = (start == 0 or text[start - 1] == "\n") and text[end : end + 1] == "\n"
-                text = text[:start] + text[end + whole_line :]
-            texts.append(text)
-        yield batch.set_column(column, batch.schema.field(column), pa.array(texts, pa.string()))
+def _cut(spans_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.schema.get_field_index("text")
+            spans_at = batch.schema.get_field_index(spans_name)
+            texts = []
+            for text, spans in zip(batch.column(column), batch.column(spans_at).to_pylist(), strict=True):
+                text = text.as_py()
+                if spans:
+                    parts, at = [], 0
+                    for start, end in sorted((s["start"], s["end"]) for s in spans):
+                        whole_line = (start == 0 or text[start - 1] == "\n") and text[end : end + 1] == "\n"
+                        parts.append(text[at:start])
+                        at = end + whole_line
+                    text = "".join([*parts, text[at:]])
+                texts.append(text)
+            yield batch.set_column(column, batch.schema.field(column), pa.array(texts, pa.string()))
+
+    return run
+
+
+def _free_name(name: str, taken: list[str]) -> str:
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
 
 
 def without_repeats(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows with the removed runs cut out of the string column ``text``, and with them the line
-    end where whole lines go; all other columns stay. The rows are numbered and written first."""
-    numbered = written(docs.withColumn(_PLACE, F.monotonically_increasing_id()), "numbered")
-    removed = repeats(numbered, place_col=_PLACE, **options)
-    spans = removed.groupBy(F.col("place").alias(_PLACE)).agg(F.collect_list(F.struct("start", "end")).alias(_SPANS))
-    joined = numbered.join(spans, _PLACE, "left")
-    return map_arrow(joined, _cut, joined.schema).drop(_PLACE, _SPANS)
+    """The rows with the spans cut out of the string column ``text``, and with them the line end
+    where whole lines go; all other columns stay. The rows are numbered and written first."""
+    place, removed = _free_name(_PLACE, docs.columns), _free_name(_SPANS, docs.columns)
+    numbered = written(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    found = repeats(numbered, place_col=place, **options)
+    spans = found.groupBy(F.col("place").alias(place)).agg(F.collect_list(F.struct("start", "end")).alias(removed))
+    joined = numbered.join(spans, place, "left")
+    return map_arrow(joined, _cut(removed), joined.schema).drop(place, removed)
 
 
-def oracle(table: str = "documents", least_words: int = LEAST_WORDS, least_run: int = LEAST_RUN) -> str:
-    """The repeats by sentences as DuckDB SQL, for tables whose document ids are all different."""
+def oracle(table: str = "documents", least_words: int = LEAST_WORDS) -> str:
+    """The spans from all windows of all texts, for tables whose document ids are all different."""
     return f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS place FROM {table}
-),
+WITH tokens AS (
+  SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\f\\r\\v]+|[ \\t\\n\\f\\r\\v]+') AS parts FROM {table}),
 pieces AS (
-  SELECT doc_id, place, unnest(parts) AS part, generate_subscripts(parts, 1) AS piece, len(parts) AS pieces
-  FROM (SELECT *, string_split(regexp_replace(line, '([.!?]) ', '\\1' || chr(31) || ' ', 'g'), chr(31)) AS parts FROM lines)
-),
+  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM tokens),
 placed AS (
-  SELECT *, coalesce(sum(length(part) + CASE WHEN piece = pieces THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place, piece
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
-         list_filter(regexp_split_to_array(lower(part), '[ \\t\\n\\f\\r\\v]+'), lambda x: x <> '') AS words
-  FROM pieces
-),
-units AS (
-  SELECT doc_id, pos + length(part) - length(ltrim(part)) AS "start", pos + length(rtrim(part)) AS "end",
-         len(words)::BIGINT AS words, md5(array_to_string(words, ' ')) AS digest,
-         row_number() OVER (PARTITION BY doc_id ORDER BY place, piece) AS unit,
-         coalesce(lag(len(words)) OVER w, 0) AS words_before, coalesce(lead(len(words)) OVER w, 0) AS words_after
-  FROM placed WHERE len(words) > 0 WINDOW w AS (PARTITION BY doc_id, place ORDER BY piece)
-),
-ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value("start") OVER w AS kept_start,
-         row_number() OVER w AS occurrence
-  FROM units WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit)
-),
-runs AS (
-  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE occurrence > 1
-),
-whole AS (
-  SELECT doc_id, min("start") AS "start", max("end") AS "end", count(*) AS units, sum(words)::BIGINT AS words,
-         arg_min(digest, unit) AS digest, arg_min(kept_doc_id, unit) AS kept_doc_id, arg_min(kept_start, unit) AS kept_start,
-         arg_min(words_before, unit) + arg_max(words_after, unit) AS around
-  FROM runs GROUP BY doc_id, run
-)
-SELECT * EXCLUDE (around) FROM whole WHERE words >= {least_words} OR words >= {least_run} AND words + around >= {least_words}
+  SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS "end" FROM pieces),
+words AS (
+  SELECT doc_id, lower(part) AS word, "end" - length(part) AS "start", "end",
+    row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos
+  FROM placed WHERE part SIMILAR TO '[^ \\t\\n\\f\\r\\v]+'),
+lists AS (
+  SELECT doc_id, list(word ORDER BY pos) AS w, list("start" ORDER BY pos) AS s, list("end" ORDER BY pos) AS e
+  FROM words GROUP BY doc_id HAVING count(*) >= {least_words}),
+windows AS (
+  SELECT doc_id, pos, md5(array_to_string(w[pos + 1 : pos + {least_words}], ' ')) AS digest,
+    s[pos + 1] AS "start", e[pos + {least_words}] AS "end"
+  FROM lists, LATERAL (SELECT unnest(range(0, len(w) - {least_words} + 1)) AS pos)),
+later AS (
+  SELECT * FROM windows QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id, pos) > 1),
+marked AS (
+  SELECT *, CASE WHEN pos <= lag(pos) OVER w + {least_words} THEN 0 ELSE 1 END AS begins
+  FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+spans AS (
+  SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM marked)
+SELECT doc_id, min("start")::BIGINT AS "start", max("end")::BIGINT AS "end", (max(pos) - min(pos) + {least_words})::BIGINT AS words
+FROM spans GROUP BY doc_id, span
 """

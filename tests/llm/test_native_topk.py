@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,17 +79,56 @@ REPEATS = [
 ]
 
 
-def spans(rows):
-    return sorted((r.doc_id, r.start, r.end, r.units, r.words, r.kept_doc_id, r.kept_start) for r in rows.collect())
+def plain_spans(docs, least=50):
+    """Every window of every text, in the order of ids and places; words of a repeated one go."""
+    seen, out = {}, []
+    for name, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+        words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer("[^ \t\r\n\f\v]+", text or "")]
+        gone = set()
+        for i in range(len(words) - least + 1):
+            key = tuple(w for _, _, w in words[i : i + least])
+            if key in seen:
+                gone |= set(range(i, i + least))
+            else:
+                seen[key] = name
+        for i in sorted(gone):
+            if i - 1 not in gone:
+                first = i
+            if i + 1 not in gone:
+                out.append((name, words[first][0], words[i][1], i + 1 - first))
+    return Counter(out)
 
 
-def test_repeated_lines(spark):
-    size, half, short = len(LONG), len(HALF[0]), len("short line")
-    found = spans(repeats.repeats(awkward(spark, REPEATS), unit="line", least_run=50))
-    assert found == [
-        (2, 0, size + 1 + short, 2, 62, 1, 10),
-        (4, 6, 7 + 2 * half, 2, 60, 3, 0),
-        (8, 8, 11 + size + short, 2, 62, 1, 10),
+def spans(rows):
+    return Counter((r.doc_id, r.start, r.end, r.words) for r in rows.collect())
+
+
+def stitched(seed, n, least):
+    """Texts made of pieces of a few passages, own words, and one word over and over."""
+    rng = random.Random(seed)
+    passages = [[f"{c}{i}" for i in range(rng.randint(least // 2, 3 * least))] for c in "abcdef"]
+    passages.append(["same"] * 3 * least)
+    docs = []
+    for name in range(n):
+        words = []
+        for _ in range(rng.randint(0, 6)):
+            passage = rng.choice(passages)
+            low = rng.choice([0, 0, rng.randrange(len(passage))])
+            words += passage[low : rng.choice([len(passage), rng.randint(low, len(passage))])]
+            words += [f"own{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 3, least]))]
+        docs.append((name, "".join((w.upper() if rng.random() < 0.1 else w) + rng.choice([" ", " ", "  ", "\n", "\r\n", "\t"]) for w in words)))
+    return docs
+
+
+def test_repeated_passages(spark):
+    size = len(LONG)
+    found = repeats.repeats(awkward(spark, REPEATS))
+    assert spans(found) == plain_spans(REPEATS)
+    rows = sorted((r.doc_id, r.start, r.end, r.words, r.kept_doc_id) for r in found.collect())
+    assert rows == [
+        (2, 0, size + 11, 62, 1),
+        (4, 6, len(REPEATS[3][1]), 60, 3),
+        (8, 8, len(REPEATS[7][1]), 62, 1),
     ]
     assert repeats.repeats(awkward(spark, [])).count() == 0
 
@@ -100,35 +141,52 @@ GLUED = [
     (3, f"Only one sentence. {SENTENCES[1]} Nothing else of it."),
     (4, f"{' '.join(SENTENCES[1:3])} is too short."),
     (5, "Yes. No. Yes. No. First words."),
-    (6, f"{' '.join(SENTENCES[1:3])}\\nThis line is common, and what follows it here has many other words of its own to read."),
+    (6, f"{' '.join(SENTENCES[1:3])}\nThis line is common, and what follows it here has many other words of its own to read."),
 ]
 
 
-def test_a_passage_inside_a_line_is_found(spark):
-    found = spans(repeats.repeats(awkward(spark, GLUED)))
-    start = GLUED[1][1].index(SENTENCES[1])
-    inner = " ".join(SENTENCES[1:])
-    assert [f[:3] + f[4:6] for f in found] == [(2, start, start + len(inner), 56, 1)]
+def test_a_passage_inside_a_line_is_found_whole(spark):
+    found = repeats.repeats(awkward(spark, GLUED)).collect()
+    start = GLUED[1][1].index(PASSAGE)
+    assert [(r.doc_id, r.start, r.end, r.words) for r in found] == [(2, start, start + len(PASSAGE), 70)]
+
+
+def test_parts_whose_first_occurrences_differ(spark):
+    a, b = ([f"{c}{i}" for i in range(40)] for c in "ab")
+    docs = [(1, " ".join(["x"] + a + ["y"])), (2, " ".join(["z"] + b)), (3, " ".join(a + b)), (4, " ".join(["q"] + a + b + ["r"]))]
+    found = spans(repeats.repeats(awkward(spark, docs)))
+    assert found == plain_spans(docs) and set(found) == {(4, 2, 2 + len(" ".join(a + b)), 80)}
 
 
-@pytest.mark.parametrize("docs", [REPEATS, GLUED])
+@pytest.mark.parametrize("seed, least", [(1, 50), (2, 9), (3, 8), (4, 4)])
+def test_spans_equal_all_windows(spark, seed, least):
+    docs = stitched(seed, 60, least) + AWKWARD[2:4]
+    docs = [(n, t) for n, (_, t) in enumerate(docs)]
+    found = spans(repeats.repeats(awkward(spark, docs).repartition(5), least))
+    assert found == plain_spans(docs, least)
+
+
+@pytest.mark.parametrize("docs", [REPEATS, GLUED, stitched(1, 60, 50)])
 def test_repeats_equal_their_sql(spark, docs):
-    assert differences(repeats.repeats(awkward(spark, docs)).drop("place"), duck_of(docs), repeats.oracle()) == []
+    found = repeats.repeats(awkward(spark, docs)).drop("place", "kept_doc_id")
+    assert differences(found, duck_of(docs), repeats.oracle()) == []
 
 
 def test_repeats_are_cut_out(spark):
     docs = awkward(spark, REPEATS + [(i and i + 1000, t) for i, t in AWKWARD] + [(7, LONG), (7, LONG)])
-    rows = repeats.without_repeats(docs, unit="line")
-    assert rows.schema == docs.schema and rows.count() == docs.count()
+    rows = repeats.without_repeats(docs.withColumn("__place", docs.doc_id))
+    assert rows.columns == [*docs.columns, "__place"] and rows.count() == docs.count()
+    assert rows.where("NOT __place <=> doc_id").count() == 0
     texts = {r.doc_id: r.text for r in rows.where("doc_id in (2, 4, 5)").collect()}
     assert texts[2] == "other" and texts[4] == "start\n" and texts[5] == dict(REPEATS)[5]
+    assert repeats.repeats(rows).where("doc_id < 1000").count() == 0
 
 
-def test_rank_and_paragraphs(spark):
+def test_rank_decides_what_stays(spark):
     body = LONG + "\n" + HALF[0]
     docs = [(1, f"a\n\n{body}"), (2, f"{body}\n\nb")]
     table = awkward(spark, docs).selectExpr("doc_id", "text", "-doc_id AS rank")
-    row = repeats.repeats(table, "paragraph", rank_col="rank").collect()
+    row = repeats.repeats(table, rank_col="rank").collect()
     assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in row] == [(1, 3, 3 + len(body), 2)]
 
 
@@ -139,6 +197,14 @@ def test_a_line_that_everyone_has(spark):
     assert {r.kept_doc_id for r in found} == {0}
 
 
+def test_offsets_of_words():
+    texts = ["", " \t", "É  b\n😀c ", "x"]
+    words = repeats.Words(texts)
+    found = [[t[a:b] for a, b in zip(*(x.tolist() for x in words.of(i)[1:]))] for i, t in enumerate(texts)]
+    assert found == [[], [], ["É", "b", "😀c"], ["x"]]
+    assert words.of(2)[0][0] == repeats.Words(["é"]).hashes[0]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
     assert differences(QUERIES[name](spark, SF_DIR), connect(SF_DIR), ORACLES[name]) in ([], ["no rows"])
