@@ -46,6 +46,8 @@ ENDS = {
     "option": frozenset(["option"]),
 }
 SCOPES = frozenset("article aside div section main ul ol table form nav footer header blockquote body td th".split())
+# What may stand in a head; anything else ends it, as its end tag and the body's tag may be left out.
+IN_HEAD = frozenset("base head link meta noscript object script style template title".split())
 _ATTRIBUTES = frozenset(["class", "id", "role", "itemprop", "aria-label", "style"])
 _PARTS = re.compile(r"[a-z]+")
 
@@ -66,6 +68,19 @@ class _Reader(HTMLParser):
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.links = self.unseen = 0
+        self.ended = False
+
+    def read(self, html: str) -> list[Block]:
+        self.feed(html)
+        self.ended = True
+        self.close()
+        self.flush()
+        return self.blocks
+
+    def parse_comment(self, i, report=1):
+        """A comment that nothing ends runs to the end of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 and self.ended else end
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -79,11 +94,21 @@ class _Reader(HTMLParser):
             self.links -= tag == "a"
         del self.open[place:]
 
+    def _end(self, tag: str) -> None:
+        """Closes the outermost open element of a kind, and what is in it."""
+        for place, (opened, _) in enumerate(self.open):
+            if opened == tag:
+                self._close(place)
+                return
+
     def handle_starttag(self, tag, attrs):
-        if tag == "body" and self.unseen:
-            places = [i for i, (t, _) in enumerate(self.open) if t == "head"]
-            if places:
-                self._close(places[0])
+        if self.unseen:
+            innermost = self.open[-1][0]
+            if tag not in IN_HEAD and innermost == "head" or tag == "body":
+                self._end("head")
+            elif tag in BLOCKS:
+                # An element of the page's text can't stand in a drawing: its end tag is missing.
+                self._end("svg")
         if tag == "br":
             self.parts.append(" ")
             return
@@ -104,7 +129,7 @@ class _Reader(HTMLParser):
             if name == "hidden":
                 words.append("hidden:hidden")
             elif name in _ATTRIBUTES and value:
-                words += [f"{name}:{part}" for part in _PARTS.findall(value.lower())[:6]]
+                words += [f"{name}:{part}" for part in _PARTS.findall(value.lower())]
         self.open.append((tag, " ".join(words)))
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
@@ -124,6 +149,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.unseen and self.open[-1][0] == "head" and data.strip():
+            self._end("head")
         if self.unseen == 0:
             self.parts.append(data)
             if self.links:
@@ -134,18 +161,12 @@ def leaf_blocks(html: str | None) -> list[Block]:
     """The blocks with visible text, in page order."""
     if not html:
         return []
-    reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    reader.flush()
-    return reader.blocks
+    return _Reader().read(html)
 
 
 PATH_SIZE, WORD_SIZE, RATIOS = 128, 16, 6
 INPUT = PATH_SIZE + WORD_SIZE + RATIOS
 HIDDEN = 12
-# The ratios and the bag of words of a block see this much of its beginning; its text is kept whole.
-TEXT_SEEN = 240
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -163,8 +184,7 @@ def block_vector(block: Block) -> np.ndarray:
     out = np.zeros(INPUT, dtype=np.float32)
     out[:PATH_SIZE] = _path_vector(block.path)
     text = block.text
-    begin = text[:TEXT_SEEN]
-    words = [PATH_SIZE + zlib.crc32(word) % WORD_SIZE for word in begin.lower().encode().split()]
+    words = [PATH_SIZE + zlib.crc32(word) % WORD_SIZE for word in text.lower().encode().split()]
     out[: PATH_SIZE + WORD_SIZE] += np.bincount(words, minlength=PATH_SIZE + WORD_SIZE) / max(1, len(words))
     out[-6:] = (
         min(len(text), 1000) / 250,
@@ -172,7 +192,7 @@ def block_vector(block: Block) -> np.ndarray:
         float(text[-1] in ".!?…\"”»"),
         float(len(text) < 40),
         min(len(block.path), 20) / 10,
-        len(_DIGIT.findall(begin)) / max(1, len(begin)),
+        len(_DIGIT.findall(text)) / max(1, len(text)),
     )
     return out
 

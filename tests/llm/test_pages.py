@@ -3,7 +3,17 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tallyguard.llm.pages import HIDDEN, INPUT, Labeller, _Templates, extract, leaf_blocks, train, training_page
+from tallyguard.llm.pages import (
+    HIDDEN,
+    INPUT,
+    Labeller,
+    _Templates,
+    block_vector,
+    extract,
+    leaf_blocks,
+    train,
+    training_page,
+)
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></nav><!-- ad --><div class="ad">Buy now and
@@ -35,6 +45,32 @@ def test_leaf_blocks_of_untidy_markup():
     assert [b.text for b in leaf_blocks("<script>a</script>b<noscript>c</noscript>")] == ["b"]
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<html><head><title>x</title><meta charset=utf-8><div><p>Hello there</p></div></html>", ["Hello there"]),
+        ("<head><title>x</title><link rel=a>Plain words<p>and more", ["Plain words", "and more"]),
+        ("<head><style>p{}</style><script>var a='<p>no</p>'</script><body><p>Yes", ["Yes"]),
+        ("<title>x</title><p>One</p><head><p>Two</p></head>", ["One", "Two"]),
+        ("<p>Before<svg><path d=1><text>drawn</text><p>After</p>", ["Before", "After"]),
+        ("<p>Before<svg><title>t</title></svg> same</p>", ["Before same"]),
+        ("<p>Shown</p><!-- hidden <p>never</p>", ["Shown"]),
+        ("<p>Shown<!-- a --> too</p><!-- b", ["Shown too"]),
+        ("<script><!-- var a; </script><p>Text</p>", ["Text"]),
+        ("<head><noscript><p>none</p></noscript><title>t</title></head><p>Text", ["Text"]),
+    ],
+)
+def test_tags_left_out(html, texts):
+    assert [b.text for b in leaf_blocks(html)] == texts
+
+
+def test_all_words_of_attributes_and_texts_count():
+    (block,) = leaf_blocks('<div class="col-md-4 col-sm-6 d-none d-lg-block p-2 m-1 sidebar">Words</div>')
+    assert "class:sidebar" in block.path[-1].split()
+    long, longer = (leaf_blocks(f"<p>{'one two three four ' * 30}{end}</p>")[0] for end in ("1234567890", "subscribe"))
+    assert (block_vector(long) != block_vector(longer)).sum() >= 2
+
+
 def test_gradients_equal_differences():
     random = np.random.default_rng(2)
     model = Labeller({k: v.astype(np.float64) for k, v in Labeller.fresh().w.items()})
