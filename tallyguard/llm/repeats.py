@@ -34,7 +34,7 @@ _SPACE = "[ \t\r\n\f\v]"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _CHUNK_BYTES = 1 << 20
 
-_ANCHORS = "doc_id long, place long, rank long, pos int, digest long"
+_ANCHORS = "doc_id long, place long, rank long, pos int, digest long, distance int, deep boolean"
 _FOUND = (
     "doc_id long, place long, rank long, side string, pos int, start long, end long, words array<long>, edges array<long>, "
     "first_hash long, second_hash long"
@@ -100,6 +100,25 @@ def anchors_of(words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray,
     return text, found - words.borders[text], units[found]
 
 
+def nearest_before(
+    text: np.ndarray, position: np.ndarray, digest: np.ndarray, least_words: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """For units in the order of texts and positions: how far the last unit with the same digest lies
+    before in the same text (0: none), and whether a unit lies deep in a stretch at one distance, so
+    that all windows around it lie there too."""
+    size = least_words // 2
+    order = np.lexsort((position, digest, text))
+    distance = np.zeros(len(text), dtype=np.int64)
+    same = (np.diff(text[order]) == 0) & (digest[order][1:] == digest[order][:-1])
+    distance[order[1:][same]] = np.diff(position[order])[same]
+    joined = (np.diff(text) == 0) & (np.diff(distance) == 0) & (distance[1:] > 0) & (np.diff(position) <= size)
+    run = np.concatenate([[0], np.cumsum(~joined)]) if len(text) else np.zeros(0, dtype=np.int64)
+    first = np.searchsorted(run, run)
+    last = np.searchsorted(run, run, "right") - 1
+    inside = (position - position[first] >= least_words) & (position[last] - position >= least_words)
+    return distance, inside & (distance > 0)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Parts of the batches, of about a megabyte of text at least a row, with their words."""
     for batch in batches:
@@ -129,14 +148,17 @@ def _find_anchors(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _texts(batches, 3):
             text, position, digest = anchors_of(words, least_words)
+            distance, deep = nearest_before(text, position, digest, least_words)
             row = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(part.column(i).take(row) for i in range(3)),
                     pa.array(position.astype(np.int32)),
                     pa.array(digest.view(np.int64)),
+                    pa.array(distance.astype(np.int32)),
+                    pa.array(deep),
                 ],
-                names=["doc_id", "place", "rank", "pos", "digest"],
+                names=["doc_id", "place", "rank", "pos", "digest", "distance", "deep"],
             )
 
     return run
@@ -166,6 +188,7 @@ def windows_of(words: tuple[np.ndarray, np.ndarray, np.ndarray], low: int, high:
 
 def _look_up(least_words: int):
     """Answers what is asked of each text: words beside a border, or windows of a range."""
+    lead = least_words - least_words // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _texts(batches, 3):
@@ -177,7 +200,7 @@ def _look_up(least_words: int):
                 seen = set()
                 for want in asked:
                     if want["side"] != "window":
-                        rows.append((want["side"], want["low"], None, None, *beside(mine, want["low"], want["side"], least_words), None, None))
+                        rows.append((want["side"], want["low"], None, None, *beside(mine, want["low"], want["side"], lead), None, None))
                         continue
                     for pos, start, end, high, low in windows_of(mine, want["low"], want["high"], least_words):
                         if pos not in seen:
@@ -206,12 +229,22 @@ def _first_of(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def _stretches(anchors: DataFrame, size: int) -> DataFrame:
-    """Runs of anchors at one distance from their first occurrences: place, first and last word (end
-    exclusive), and place and distance of the origin."""
-    later = _first_of(anchors, ["digest"], "first-units").select(
-        "doc_id", "place", "rank", "pos", F.col("first.place").alias("o_place"), (F.col("pos") - F.col("first.pos")).alias("delta"),
+    """Runs of anchors at one distance from an origin: place, first and last word (end exclusive), and
+    place and distance of the origin. An anchor has two origins: the first occurrence of all, and
+    the last one before it in its own text. Text that repeats itself is one stretch of the second
+    kind, and the anchors deep inside it need no other origin."""
+    shallow = anchors.where(~F.col("deep")).drop("deep")
+    delta = F.col("pos") - F.col("first.pos")
+    not_own = (F.col("first.place") != F.col("place")) | (delta != F.col("distance"))
+    later = _first_of(shallow, ["digest"], "first-units").where(not_own).select(
+        "doc_id", "place", "rank", "pos", F.col("first.place").alias("o_place"), delta.alias("delta"),
         F.col("first.doc_id").alias("kept_doc_id"),
     )
+    own = anchors.where("distance > 0").select(
+        "doc_id", "place", "rank", "pos", F.col("place").alias("o_place"), F.col("distance").alias("delta"),
+        F.col("doc_id").alias("kept_doc_id"),
+    )
+    later = later.union(own)
     in_doc = Window.partitionBy("place").orderBy("o_place", "delta", "pos")
     before = F.lag(F.struct("o_place", "delta", "pos")).over(in_doc)
     joins = (before["o_place"] == F.col("o_place")) & (before["delta"] == F.col("delta")) & (F.col("pos") - before["pos"] <= size)

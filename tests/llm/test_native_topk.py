@@ -197,6 +197,19 @@ def test_a_line_that_everyone_has(spark):
     assert {r.kept_doc_id for r in found} == {0}
 
 
+def test_text_that_repeats_itself_is_one_stretch(spark):
+    docs = [(1, "tick tock " * 400), (2, "a b c " * 300 + "end " + "tick tock " * 100), (3, "tick tock " * 400)]
+    found = spans(repeats.repeats(awkward(spark, docs)))
+    assert found == plain_spans(docs)
+    words = repeats.Words([t for _, t in docs])
+    text, position, digest = repeats.anchors_of(words, 50)
+    distance, deep = repeats.nearest_before(text, position, digest, 50)
+    for i in range(len(text)):
+        before = position[:i][(text[:i] == text[i]) & (digest[:i] == digest[i])]
+        assert distance[i] == (position[i] - before.max() if len(before) else 0)
+    assert deep.sum() > 0.7 * len(text)
+
+
 def test_offsets_of_words():
     texts = ["", " \t", "É  b\n😀c ", "x"]
     words = repeats.Words(texts)
