@@ -133,38 +133,73 @@ def error_ratio(errors: DataFrame, total: DataFrame) -> DataFrame:
     return joined.select("tick", (bad / F.greatest("total_rate", F.lit(1.0))).alias("value"))
 
 
-def histogram_quantile(
-    events: DataFrame,
+def counter_increments(samples: DataFrame, us: Column, value: str, labels: list[str] | None = None) -> DataFrame:
+    """What a counter grew by from one sample to the next (``added``), per label values.
+
+    A counter that is lower than before began anew, at zero: all it shows is growth. The first
+    sample has nothing to compare with and adds nothing.
+    """
+    order = Window.partitionBy(*(labels or [])).orderBy(us, value)
+    before = F.lag(value).over(order)
+    added = F.when(before.isNull(), 0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
+    return samples.withColumn("added", added)
+
+
+def counter_rate(
+    samples: DataFrame,
     us: Column,
-    value: Column,
+    value: str,
+    labels: list[str] | None = None,
+    window_seconds: int = 300,
+    step_seconds: int = STEP_SECONDS,
+) -> DataFrame:
+    """Growth per second of a sampled counter over the trailing window, resets taken out."""
+    grown = counter_increments(samples, us, value, labels)
+    rows = sliding(
+        grown, us, labels or [], window_seconds, {"n": F.sum("added")}, {"increase": (F.sum, "n")}, step_seconds
+    )
+    return rows.select(*(labels or []), "tick", (F.col("increase") / float(window_seconds)).alias("rate"))
+
+
+def bucket_of(value: Column) -> Column:
+    """Number of the histogram bucket of a latency in seconds."""
+    return sum((value > b).cast("int") for b in LATENCY_BOUNDS)
+
+
+def bucket_counts(
+    events: DataFrame, us: Column, value: Column, labels: list[str] | None = None, step_seconds: int = STEP_SECONDS
+) -> DataFrame:
+    """Histogram per step: (labels, ``at`` in microseconds, ``bucket``, ``n``). Those of several batches
+    are put together by adding them up."""
+    step = step_seconds * 1_000_000
+    at = (F.floor(us / step) * step).cast("bigint").alias("at")
+    return events.groupBy(*(labels or []), at, bucket_of(value).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bucket_quantile(
+    buckets: DataFrame,
     quantile: float = 0.95,
     labels: list[str] | None = None,
     window_seconds: int = 300,
     step_seconds: int = STEP_SECONDS,
 ) -> DataFrame:
-    """Quantile estimated from histogram buckets by linear interpolation, per trailing window."""
+    """Quantile estimated from the counts of ``bucket_counts`` by linear interpolation, per trailing
+    window."""
     labels = labels or []
     bounds = F.array(*[F.lit(b) for b in LATENCY_BOUNDS])
-    bucket = sum((value > b).cast("int") for b in LATENCY_BOUNDS)
     counted = sliding(
-        events.withColumn("__bucket", bucket),
-        us,
-        [*labels, "__bucket"],
-        window_seconds,
-        {"n": F.count(F.lit(1))},
-        {"n": (F.sum, "n")},
-        step_seconds,
+        buckets, F.col("at"), [*labels, "bucket"], window_seconds, {"n": F.sum("n")}, {"n": (F.sum, "n")}, step_seconds
     )
     group = Window.partitionBy(*labels, "tick")
-    ordered = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumns(
         {"upto": F.sum("n").over(ordered), "rank": F.sum("n").over(group) * F.lit(quantile)}
     )
     holder = ranked.where(F.col("upto") >= F.col("rank")).groupBy(*labels, "tick").agg(
-        F.min(F.struct("__bucket", "n", "upto", "rank")).alias("b")
+        F.min(F.struct("bucket", "n", "upto", "rank")).alias("b")
     )
     b = F.col("b")
-    index = b["__bucket"]
+    index = b["bucket"]
     low = F.when(index == 0, F.lit(0.0)).otherwise(F.get(bounds, index - 1))
     high = F.get(bounds, index)
     inside = (b["rank"] - (b["upto"] - b["n"])) / b["n"]
@@ -174,6 +209,20 @@ def histogram_quantile(
     return holder.select(*labels, "tick", estimate.alias("value"))
 
 
+def histogram_quantile(
+    events: DataFrame,
+    us: Column,
+    value: Column,
+    quantile: float = 0.95,
+    labels: list[str] | None = None,
+    window_seconds: int = 300,
+    step_seconds: int = STEP_SECONDS,
+) -> DataFrame:
+    """Quantile estimated from histogram buckets by linear interpolation, per trailing window."""
+    counts = bucket_counts(events, us, value, labels, step_seconds)
+    return bucket_quantile(counts, quantile, labels, window_seconds, step_seconds)
+
+
 def exact_quantile(
     events: DataFrame, us: Column, value: Column, quantile: float = 0.95, step_seconds: int = 300
 ) -> DataFrame:

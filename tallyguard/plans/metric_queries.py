@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyguard.operators.dedupe import claim_first, duplicate_deliveries
@@ -10,6 +11,7 @@ from tallyguard.operators.metrics import (
     LATENCY_BOUNDS,
     alert_states,
     alert_summary,
+    counter_rate,
     error_ratio,
     exact_quantile,
     histogram_quantile,
@@ -96,6 +98,26 @@ def _dead_letter_rate(spark, sf_dir):
     return rows.select("route", "tick", F.round("rate", 6).alias("rate"))
 
 
+RESET_SECONDS = 21_600
+
+
+@query(
+    "counter_rate",
+    f"""{WITH_TX}, per AS (SELECT channel, t // 60 * 60 AS t, count(*) AS n FROM tx GROUP BY ALL),
+    grown AS (SELECT channel, t, CASE WHEN row_number() OVER (PARTITION BY channel ORDER BY t) = 1 THEN 0 ELSE n END AS n FROM per),
+    {sliding_sql('grown', 'channel', 300, 'sum(n) AS n', 'w')} SELECT channel, tick, round(n / 300e0, 6) AS rate FROM w""",
+)
+def _counter_rate(spark, sf_dir):
+    """Rates from a counter of events per channel that is sampled each minute and starts anew every
+    six hours, as one of a restarted worker does."""
+    second = F.unix_seconds("event_time")
+    per = load_transactions(spark, sf_dir).groupBy("channel", F.floor(second / 60).alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    life = Window.partitionBy("channel", F.floor(F.col("minute") * 60 / RESET_SECONDS)).orderBy("minute")
+    samples = per.select("channel", "minute", F.sum("n").over(life).alias("total"))
+    rows = counter_rate(samples, F.col("minute") * 60_000_000, "total", ["channel"])
+    return rows.select("channel", "tick", F.round("rate", 6).alias("rate"))
+
+
 def latencies(spark, sf_dir):
     """Latency samples: the value of each event in thousandths, labelled by channel."""
     tx = load_transactions(spark, sf_dir)

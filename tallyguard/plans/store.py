@@ -15,7 +15,7 @@ from tallyguard.functions.scalars import uuid_from
 from tallyguard.plans.decisions import decide
 from tallyguard.session import work_dir
 from tallyguard.sources.adapter import load_transactions
-from tallyguard.sources.sinks import decision_rows, raw_rows, scored_rows
+from tallyguard.sources.sinks import decision_rows, raw_rows, scored_rows, with_id_filters
 
 _written: dict[tuple[str, str], str] = {}
 
@@ -70,7 +70,8 @@ def decision_store(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = work_dir(spark, "decided")
-        decide(load_transactions(spark, sf_dir)).drop("amount_exact").write.partitionBy("event_month").parquet(path)
+        decided = decide(load_transactions(spark, sf_dir)).drop("amount_exact")
+        with_id_filters(decided.write.partitionBy("event_month"), decided.columns).parquet(path)
         _written[key] = path
     events = spark.read.parquet(_written[key])
     return Store(

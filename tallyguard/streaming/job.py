@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tallyguard.functions.scalars import hour_start
 from tallyguard.operators.features import FeatureWindows
+from tallyguard.operators.metrics import bucket_counts
 from tallyguard.operators.rules import Rule, apply_rules, load_rules
 from tallyguard.operators.scoring import FittedScorer, LogisticScorer, score
 from tallyguard.operators.validate import GOOD, dead_letters, normalise, route_messages
@@ -121,14 +122,53 @@ def decided_stream(
     is_event, is_repeat = F.col("kind") == EVENT, F.col("route") == REPEAT
     return found.select(
         "route",
+        F.timestamp_millis("arrived").alias("arrived"),
         F.when(is_event, F.struct(*columns, history_features().alias("features"))).alias("good"),
         F.when(is_repeat, repeated).alias("repeat"),
         F.when(~is_event & ~is_repeat, F.from_json("payload", lost_schema, TIMES)).alias("bad"),
     )
 
 
+def stage_counts(decided: DataFrame, batch: DataFrame) -> DataFrame:
+    """Events of a batch by stage, status and minute of arrival (``at``, in seconds). The counts of
+    batches add up, so rates and totals come from a table that is small whatever the events."""
+    at = (F.floor(F.unix_seconds("arrived") / 60) * 60).cast("bigint").alias("at")
+    events = F.count(F.lit(1)).alias("events")
+    stages = F.array(
+        *[
+            F.struct(F.lit(stage).alias("stage"), status.alias("status"))
+            for stage, status in (
+                ("validated", F.lit("ok")),
+                ("enriched", F.lit("ok")),
+                ("decisioned", F.col("decision")),
+            )
+        ]
+    )
+    good = decided.groupBy(at, "decision").agg(events).select("at", F.inline(stages), "events")
+    repeated = F.col("route") == REPEAT
+    stage = F.when(repeated, "dedupe").otherwise(F.col("route")).alias("stage")
+    status = F.when(repeated, "duplicate").otherwise("failed").alias("status")
+    others = batch.where(F.col("route") != GOOD).groupBy(at, stage, status).agg(events)
+    return good.unionByName(others).groupBy("at", "stage", "status").agg(F.sum("events").alias("events"))
+
+
+def latency_counts(decided: DataFrame) -> DataFrame:
+    """Histograms of a batch by minute of arrival: how long events took to arrive (``source``), and
+    from there to their decision (``end_to_end``)."""
+    seconds = {
+        "source": F.unix_micros("arrived") - F.unix_micros("event_time"),
+        "end_to_end": F.unix_micros(F.current_timestamp()) - F.unix_micros("arrived"),
+    }
+    samples = F.array(
+        *[F.struct(F.lit(k).alias("stage"), (F.greatest(v, F.lit(0)) / 1_000_000).alias("latency")) for k, v in seconds.items()]
+    )
+    rows = decided.select("arrived", F.inline(samples))
+    return bucket_counts(rows, F.unix_micros("arrived"), F.col("latency"), ["stage"])
+
+
 class BatchWriter:
-    """Writes one micro-batch: tables, duplicates, stage messages and dead letters.
+    """Writes one micro-batch: tables, duplicates, stage messages, dead letters, and the counts and
+    latencies that rates and alerts are made of.
 
     Every output folder carries the batch id and is overwritten on a retry, so a batch that
     runs twice leaves one set of rows. The last write publishes the batch: ``published`` shows
@@ -152,7 +192,9 @@ class BatchWriter:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         decided = None
         try:
-            enriched = normalise(batch.where(F.col("route") == GOOD).select("good.*"))
+            timed = "arrived" in batch.columns
+            arrived = ["arrived"] if timed else []
+            enriched = normalise(batch.where(F.col("route") == GOOD).select("good.*", *arrived))
             judged = score(apply_rules(enriched, self.rules), self._current_scorer())
             decided = with_case(judged, "event_time").persist(StorageLevel.MEMORY_AND_DISK)
             bad = F.col("bad").isNotNull()
@@ -165,6 +207,9 @@ class BatchWriter:
             write_batch(letters, f"{self.out_dir}/dead_letters", batch_id)
             messages = fan_out(decided).unionByName(dead_letter_messages(letters))
             write_messages(messages, f"{self.out_dir}/messages", batch_id)
+            if timed:
+                write_batch(stage_counts(decided, batch), f"{self.out_dir}/stage_counts", batch_id)
+                write_batch(latency_counts(decided), f"{self.out_dir}/latency_counts", batch_id)
             publish_batch(batch.sparkSession, self.out_dir, batch_id)
         finally:
             if decided is not None:

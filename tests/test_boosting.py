@@ -96,8 +96,14 @@ def test_trees_equal_brute_force(spark, weight):
         got = as_plain(tree)
         assert {n for n, x in got.items() if isinstance(x, tuple)} == {n for n, x in wanted.items() if isinstance(x, tuple)}
         for node, x in wanted.items():
-            assert got[node] == pytest.approx(x, rel=1e-9)
-        margin += [plain_value(wanted, row) for row in values]
+            if isinstance(x, tuple):
+                # The same rows go left; between two values of a node any threshold does.
+                assert got[node][0] == x[0]
+            else:
+                assert got[node] == pytest.approx(x, rel=1e-9)
+        steps = [plain_value(wanted, row) for row in values]
+        assert [plain_value(got, row) for row in values] == pytest.approx(steps, rel=1e-9)
+        margin += steps
     assert found.probability(values.T) == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-9)
 
 
@@ -137,13 +143,8 @@ def test_missing_values_one_class_and_no_rows(spark):
     settings = BoostingSettings(rounds=3, depth=2)
     rows = [(1, None, float("nan"), 0.0, 0), (2, 5.0, 1.0, None, 1), (3, None, 1.0, 1.0, None)] * 20
     found = fit_ensemble(rows_of(spark, rows), NAMES, settings=settings)
-    same = fit_ensemble(
-        rows_of(spark, [tuple(0 if x is None or x != x else x for x in r) for r in rows]).selectExpr(
-            "id", "a", "b", "c", "label"
-        ),
-        NAMES,
-        settings=settings,
-    )
+    filled = [(i, *(0.0 if x is None or x != x else x for x in values), label or 0) for i, *values, label in rows]
+    same = fit_ensemble(rows_of(spark, filled), NAMES, settings=settings)
     assert [as_plain(t) for t in found.trees] == [as_plain(t) for t in same.trees]
     scored = rows_of(spark, rows).select(found.column(F.col("a"), F.col("b"), F.col("c")).alias("p"), "label")
     means = {r[0]: r[1] for r in scored.groupBy("label").agg(F.avg("p")).collect()}

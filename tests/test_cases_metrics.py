@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -18,10 +19,18 @@ from tallyguard.operators.evaluation import (
     threshold_sweep,
 )
 from tallyguard.operators.labels import feedback_labels, training_frame, training_source
-from tallyguard.operators.metrics import alert_states, alert_summary, histogram_quantile
+from tallyguard.operators.metrics import (
+    alert_states,
+    alert_summary,
+    bucket_counts,
+    bucket_quantile,
+    counter_increments,
+    counter_rate,
+    histogram_quantile,
+)
 from tallyguard.plans.decisions import decide
 from tallyguard.schemas import FEEDBACK
-from tallyguard.sources.sinks import decision_rows, raw_rows, scored_rows
+from tallyguard.sources.sinks import decision_rows, raw_rows, scored_rows, write_batch
 
 T0 = datetime(2026, 4, 20, 12)
 
@@ -163,3 +172,44 @@ def test_quantile_interpolates_inside_the_bucket(spark):
     assert inner["value"] == pytest.approx(0.25 + 0.25 * 5.5 / 10)
     outer = histogram_quantile(df, F.col("us"), F.col("v"), 0.99, window_seconds=60).first()
     assert outer["value"] == 10.0
+
+
+def rows_read(df) -> int:
+    """Rows that the scan of a collected frame gave, before any filter on rows."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_a_lookup_by_id_reads_few_row_groups(spark, tmp_path):
+    for batch in range(12):
+        ids = spark.range(batch * 1000, batch * 1000 + 1000, numPartitions=1)
+        rows = ids.selectExpr("sha2(cast(id as string), 256) AS transaction_id", "uuid() AS event_id", "id AS amount")
+        write_batch(rows, f"{tmp_path}/t", batch)
+    table = spark.read.parquet(f"{tmp_path}/t")
+    wanted = table.where("transaction_id = sha2('7123', 256)")
+    assert [r.amount for r in wanted.collect()] == [7123]
+    assert rows_read(table.where(F.col("transaction_id") == wanted.first().transaction_id)) <= 2000
+    assert rows_read(table.where("amount >= 0")) == 12_000
+
+
+def test_counter_rates_take_out_resets(spark):
+    samples = [(0, 5), (60, 9), (120, 2), (180, 2), (240, 8), (300, 1)]
+    df = spark.createDataFrame([("a", t, v) for t, v in samples] + [("b", 0, 7)], "label string, t long, total long")
+    us = F.col("t") * 1_000_000
+    grown = {(r.label, r.t): r.added for r in counter_increments(df, us, "total", ["label"]).collect()}
+    assert grown == {("a", 0): 0, ("a", 60): 4, ("a", 120): 2, ("a", 180): 0, ("a", 240): 6, ("a", 300): 1, ("b", 0): 0}
+    rates = {(r.label, r.tick): r.rate for r in counter_rate(df, us, "total", ["label"], 120).collect()}
+    assert rates["a", 120] == pytest.approx(4 / 120) and rates["a", 300] == pytest.approx(6 / 120)
+    assert rates["a", 360] == pytest.approx(7 / 120)
+
+
+def test_histograms_of_batches_add_up(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 1200), rng.choice("xy"), rng.expovariate(4)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "t long, stage string, latency double")
+    us = F.col("t") * 1_000_000
+    parts = [bucket_counts(df.where(F.col("t") % 3 == i), us, F.col("latency"), ["stage"]) for i in range(3)]
+    merged = parts[0].union(parts[1]).union(parts[2])
+    got = {(r.stage, r.tick): r.value for r in bucket_quantile(merged, labels=["stage"]).collect()}
+    whole = {(r.stage, r.tick): r.value for r in histogram_quantile(df, us, F.col("latency"), labels=["stage"]).collect()}
+    assert got == pytest.approx(whole) and len(got) > 20
