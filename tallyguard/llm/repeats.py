@@ -174,16 +174,23 @@ def beside(words: tuple[np.ndarray, np.ndarray, np.ndarray], at: int, side: str,
     return hashes[at : at + size].view(np.int64).tolist(), ends[at - 1 : at + size].tolist()
 
 
-def windows_of(words: tuple[np.ndarray, np.ndarray, np.ndarray], low: int, high: int, least_words: int) -> list[tuple]:
-    """Position, offsets and two hashes of the windows that begin at the words ``low`` to ``high``."""
-    hashes, starts, ends = words
-    low, high = max(0, low), min(high, len(hashes) - least_words)
-    if high < low:
-        return []
-    part = hashes[low : high + least_words]
-    first, second = (run_hashes(part, least_words, kind).view(np.int64).tolist() for kind in (0, 1))
-    last = ends[low + least_words - 1 : high + least_words].tolist()
-    return list(zip(range(low, high + 1), starts[low : high + 1].tolist(), last, first, second, strict=True))
+class Windows:
+    """Two hashes of every window of some texts, found at once."""
+
+    def __init__(self, words: Words, least_words: int):
+        self.words, self.size = words, least_words
+        self.hashes = [run_hashes(words.hashes, least_words, kind).view(np.int64) for kind in (0, 1)]
+
+    def of(self, text: int, low: int, high: int) -> list[tuple]:
+        """Position, offsets and hashes of the windows that begin at the words ``low`` to ``high``."""
+        first, end = self.words.borders[text], self.words.borders[text + 1]
+        low, high = max(0, low), min(high, int(end - first) - self.size)
+        if high < low:
+            return []
+        at = slice(first + low, first + high + 1)
+        last = self.words.ends[first + low + self.size - 1 : first + high + self.size]
+        columns = (self.words.starts[at], last, *(h[at] for h in self.hashes))
+        return list(zip(range(low, high + 1), *(c.tolist() for c in columns), strict=True))
 
 
 def _look_up(least_words: int):
@@ -194,6 +201,7 @@ def _look_up(least_words: int):
         for part, words in _texts(batches, 3):
             out: list[list] = [[] for _ in _FOUND.split(", ")]
             names = [part.column(i).to_pylist() for i in range(3)]
+            windows = Windows(words, least_words)
             for i, asked in enumerate(part.column(4).to_pylist()):
                 mine = words.of(i)
                 rows = []
@@ -202,7 +210,7 @@ def _look_up(least_words: int):
                     if want["side"] != "window":
                         rows.append((want["side"], want["low"], None, None, *beside(mine, want["low"], want["side"], lead), None, None))
                         continue
-                    for pos, start, end, high, low in windows_of(mine, want["low"], want["high"], least_words):
+                    for pos, start, end, high, low in windows.of(i, want["low"], want["high"]):
                         if pos not in seen:
                             seen.add(pos)
                             rows.append(("window", pos, start, end, None, None, high, low))
