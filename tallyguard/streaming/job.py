@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -45,6 +46,20 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 COPY_SALTS = 8
 
 
+# Least state partitions of a stream, and rows of a micro-batch that a partition should have at most.
+LEAST_PARTITIONS = 16
+PARTITION_ROWS = 250_000
+
+
+def suited_partitions(spark: SparkSession, batch_rows: int = 0) -> int:
+    """State partitions of a stream on this cluster: two a core, at most ``spark.sql.shuffle.partitions``,
+    and more where micro-batches are large. Opening a store and its Python worker costs about a second
+    for each stateful step and micro-batch, and every output is written once a partition, so many more
+    partitions than cores only cost time."""
+    cores = max(LEAST_PARTITIONS, 2 * spark.sparkContext.defaultParallelism)
+    return max(min(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), math.ceil(batch_rows / PARTITION_ROWS))
+
+
 @contextmanager
 def stream_settings(spark: SparkSession, state_partitions: int | None = None) -> Iterator[None]:
     """Settings a stream takes over when it starts; the session gets its own back.
@@ -52,11 +67,12 @@ def stream_settings(spark: SparkSession, state_partitions: int | None = None) ->
     State lies in RocksDB: it may grow beyond the heap, and stateful processors need it. Every
     state partition is a store of its own that commits in each micro-batch. A checkpoint keeps
     the number of partitions it began with, so ``state_partitions`` should suit the cluster that
-    the stream may grow to; unless given, it is ``spark.sql.shuffle.partitions``.
+    the stream may grow to; unless given, it is that of ``suited_partitions``.
     """
-    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
-    if state_partitions:
-        wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        "spark.sql.shuffle.partitions": str(state_partitions or suited_partitions(spark)),
+    }
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)

@@ -136,13 +136,15 @@ class EventClaims(StatefulProcessor):
         seqs = batch["repeat_of"].to_numpy().copy()
         kinds = batch["kind"].to_numpy().copy()
         claimed: dict[str, tuple[int, int]] = {}
+        # Asked once: a bucket without claims needs no look-up an event.
+        older = self.claims.exists()
         for i, (kind, name, arrived, seq) in enumerate(
             zip(batch["kind"].tolist(), batch["event_id"].tolist(), batch["arrived"].tolist(), batch["seq"].tolist())
         ):
             if kind != EVENT:
                 continue
             known = claimed.get(name)
-            if known is None and self.claims.containsKey((name,)):
+            if known is None and older and self.claims.containsKey((name,)):
                 known = tuple(self.claims.getValue((name,)))
             if known is not None and arrived - known[0] <= self.horizon_ms:
                 seqs[i], kinds[i] = known[1], OTHER
@@ -478,7 +480,8 @@ def with_history(
     merchant_salts: int,
 ) -> DataFrame:
     """Carried rows with the history of their accounts."""
-    own = F.pmod(F.xxhash64("seq"), F.lit(merchant_salts)).cast("int")
+    # Rows that pass are spread by their lane; salts would only give each of them a key of its own.
+    own = F.when(F.col("kind") == EVENT, F.pmod(F.xxhash64("seq"), F.lit(merchant_salts))).otherwise(0).cast("int")
     event = F.struct(own.alias("salt"), F.lit(False).alias("copy"))
     copies = F.array(*[F.struct(F.lit(i).alias("salt"), F.lit(True).alias("copy")) for i in range(merchant_salts)])
     flags = (F.col("kind") == EVENT) & F.col("risky")

@@ -393,3 +393,21 @@ def test_context_of_accounts_while_the_stream_runs(spark, tmp_path):
         assert state["known_devices"] == len({r["device_id"] for r in mine})
     before = account_states(spark, f"{tmp_path}/cp", batch_id=0)
     assert before.agg(F.sum("rolling_count")).first()[0] == 50
+
+
+def test_state_partitions_suit_the_cluster_and_the_batch(spark, tmp_path):
+    from tallyguard.streaming.job import LEAST_PARTITIONS, PARTITION_ROWS, stream_settings, suited_partitions
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        suited = max(LEAST_PARTITIONS, 2 * spark.sparkContext.defaultParallelism)
+        with stream_settings(spark):
+            assert spark.conf.get("spark.sql.shuffle.partitions") == str(suited)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+        with stream_settings(spark, 3):
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+        # Large micro-batches get more, so that a task's share of one stays the same.
+        assert suited_partitions(spark, 500 * PARTITION_ROWS) == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
