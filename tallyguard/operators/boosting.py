@@ -1,9 +1,10 @@
 """Gradient-boosted trees with second-order splits over binned columns.
 
-Every column is cut into bins once. For each level of a tree one aggregate adds up the gradients
-and hessians of the rows by (node, column, bin); the sums, whose number does not depend on the
-rows, give the driver the split with the largest gain under an L2 penalty. Rows never leave
-their partition: a pass carries the few trees that were grown since the margins were stored.
+Every column is cut into bins once, and rows are kept in blocks. For each level of a tree one pass
+adds up the gradients and hessians of the rows by (node, column, bin); the sums, whose number does
+not depend on the rows, give the driver the split with the largest gain under an L2 penalty. Rows
+never leave their partition: the first pass of a tree adds the tree before it to the margins and
+keeps the blocks so, the other passes apply no tree but the one that grows.
 
 Gradients and hessians are whole multiples of 2^-24, so the sums are exact and the model does
 not depend on how the rows are partitioned, or on tasks that run again.
@@ -17,21 +18,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, cloudpickle
+from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 import tallyguard.operators
-from tallyguard.session import written
+from tallyguard.session import work_dir
 
 # Workers need no copy of this package: its functions travel by value.
 cloudpickle.register_pickle_by_value(tallyguard.operators)
 
 UNIT = 1 << 24
 LEAST_GAIN = 1e-6
-ROWS_PER_TASK = 250_000
-# Trees that a pass applies to the stored margins before those are written anew.
+ROWS_PER_TASK = 50_000
+# Beyond that a task has more rows, as every task of a pass sends sums of its own.
+TASKS_PER_CORE = 2
+SUM_TASKS = 4
+ROWS_PER_BLOCK = 25_000
+# Trees after which the margins are written to the shared folder, where their lineage ends.
 TREES_PER_STORE = 20
 QUANTILE_ACCURACY = 10_000
 
@@ -177,48 +181,46 @@ def quantile_cuts(rows: DataFrame, features: list[str], bins: int) -> list[np.nd
 
 
 def _binned(cuts: list[np.ndarray], positive_weight: float):
-    """Bins of the columns (two bytes each), weight, label and a number for each row."""
-    names = ["bins", "label", "weight", "draw", "margin"]
+    """Rows in blocks: bins by column (one byte each, or two), weight, label and a number for each row."""
+    kind = bin_type(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            bins = np.empty((n, len(cuts)), dtype="<u2")
-            for i, limits in enumerate(cuts):
-                values = batch.column(i).to_numpy(zero_copy_only=False)
-                bins[:, i] = np.searchsorted(limits, values, side="right")
-            label = batch.column(len(cuts)).to_numpy(zero_copy_only=False).astype(np.float64)
-            packed = [row.tobytes() for row in bins]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(packed, pa.binary()),
-                    pa.array(label),
-                    pa.array(np.where(label == 1.0, positive_weight, 1.0)),
-                    batch.column(len(cuts) + 1),
-                    pa.array(np.zeros(n)),
-                ],
-                names=names,
-            )
+            for start in range(0, batch.num_rows, ROWS_PER_BLOCK):
+                part = batch.slice(start, ROWS_PER_BLOCK)
+                n = part.num_rows
+                bins = np.empty((len(cuts), n), dtype=kind)
+                for i, limits in enumerate(cuts):
+                    values = part.column(i).to_numpy(zero_copy_only=False)
+                    bins[i] = np.searchsorted(limits, values, side="right")
+                label = part.column(len(cuts)).to_numpy(zero_copy_only=False).astype(np.float64)
+                weight = np.where(label == 1.0, positive_weight, 1.0)
+                draw = part.column(len(cuts) + 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.tobytes()], pa.binary()) for x in (bins, label, weight, draw, np.zeros(n))], names=_NAMES
+                )
 
     return run
 
 
-_BINNED = "bins binary, label double, weight double, draw long, margin double"
+_NAMES = ["bins", "label", "weight", "draw", "margin"]
+_BINNED = ", ".join(f"{name} binary" for name in _NAMES)
+
 
+def bin_type(cuts: list[np.ndarray]) -> str:
+    return "<u1" if max(len(c) for c in cuts) < 256 else "<u2"
 
-def _columns(batch: pa.RecordBatch) -> np.ndarray:
-    """Bins, one row for each column."""
-    n = batch.num_rows
-    raw = batch.column(0)
-    data = np.frombuffer(b"".join(raw.to_pylist()), "<u2")
-    return np.ascontiguousarray(data.reshape(n, -1).T)
 
+def _opened(row, kind: str) -> tuple[np.ndarray, ...]:
+    """A block as arrays: bins with a row for each column, label, weight, draw, margin."""
+    label, weight, margin = (np.frombuffer(row[i], np.float64) for i in (1, 2, 4))
+    return np.frombuffer(row[0], kind).reshape(-1, len(label)), label, weight, np.frombuffer(row[3], np.int64), margin
 
-def _margins(batch: pa.RecordBatch, columns: np.ndarray, trees: list[Tree]) -> np.ndarray:
-    margin = batch.column(4).to_numpy(zero_copy_only=False).copy()
-    for tree in trees:
-        margin += tree.value[tree.nodes(columns, tree.cut)]
-    return margin
+
+def _after(block: tuple[np.ndarray, ...], tree: Tree) -> tuple[np.ndarray, ...]:
+    """The block with a tree added to its margins."""
+    bins, *others, margin = block
+    return bins, *others, margin + tree.value[tree.nodes(bins, tree.cut)]
 
 
 def drawn(draw: np.ndarray, number: int, seed: int, share: float) -> np.ndarray:
@@ -241,46 +243,25 @@ def gradients(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
     return gradient, hessian
 
 
-_SUMS = T.StructType([T.StructField(name, T.LongType()) for name in ("cell", "g", "h")])
-
-
-def _level_sums(
-    trees: list[Tree], growing: Tree, level: int, used: np.ndarray, width: int, number: int, settings: BoostingSettings
-):
-    """Sums of one partition by (column, node of the level, bin)."""
+def _level_sums(growing: Tree, level: int, used: np.ndarray, width: int, number: int, settings: BoostingSettings):
+    """Sums of the blocks of one partition by column of ``used``: gradients and hessians by (node of
+    the level, bin)."""
     first = (1 << level) - 1
     size = (1 << level) * width
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(used), size), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = _columns(batch)
-            label, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            node = growing.nodes(columns, growing.cut)
-            draw = batch.column(3).to_numpy(zero_copy_only=False)
+    def run(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, np.ndarray]]:
+        total = np.zeros((len(used), 2, size), np.int64)
+        for bins, label, weight, draw, margin in blocks:
+            node = growing.nodes(bins, growing.cut)
             here = np.flatnonzero((node >= first) & drawn(draw, number, settings.seed, settings.row_share))
-            margin = _margins(batch, columns, trees)
             units = gradients(margin[here], label[here], weight[here])
             slot = (node[here] - first) * width
             for place, column in enumerate(used):
-                cells = slot + columns[column][here]
+                cells = slot + bins[column][here]
                 for kind in (0, 1):
                     # Whole numbers this small add up exactly in doubles.
-                    total[kind, place] += np.bincount(cells, units[kind], size).astype(np.int64)
-        g, h = total.reshape(2, -1)
-        cells = np.flatnonzero((h != 0) | (g != 0))
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(g[cells]), pa.array(h[cells])], names=["cell", "g", "h"])
-
-    return run
-
-
-def _stored_margins(trees: list[Tree]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margin = _margins(batch, _columns(batch), trees) if batch.num_rows else np.zeros(0)
-            yield batch.set_column(4, "margin", pa.array(margin))
+                    total[place, kind] += np.bincount(cells, units[kind], size).astype(np.int64)
+        yield from enumerate(total)
 
     return run
 
@@ -307,14 +288,7 @@ def best_splits(g: np.ndarray, h: np.ndarray, l2: float, least_hessian: float):
     return flat[np.arange(len(g)), best], column, cut + 1, whole_g[:, 0], whole_h[:, 0]
 
 
-def grow_tree(
-    binned: DataFrame,
-    tasks: int,
-    trees: list[Tree],
-    number: int,
-    cuts: list[np.ndarray],
-    settings: BoostingSettings,
-) -> Tree:
+def grow_tree(blocks: RDD, number: int, cuts: list[np.ndarray], settings: BoostingSettings) -> Tree:
     """One more tree: a pass over the rows for each level but the last, whose leaves follow from
     the splits above them."""
     width = max(len(c) for c in cuts) + 1
@@ -322,14 +296,16 @@ def grow_tree(
     n_used = max(1, math.ceil(settings.column_share * len(cuts)))
     used = np.sort(rng.permutation(len(cuts))[:n_used])
     tree = Tree.empty(settings.depth)
+    tasks = blocks.getNumPartitions()
     for level in range(settings.depth):
         first = (1 << level) - 1
-        sums = _level_sums(trees, tree, level, used, width, number, settings)
-        partial = binned.mapInArrow(sums, _SUMS)
-        # One task has one row for each cell already.
-        cells = (partial if tasks == 1 else partial.groupBy("cell").agg(F.sum("g"), F.sum("h"))).toArrow()
-        total = np.zeros((2, len(used) * width << level), np.int64)
-        total[:, cells[0].to_numpy()] = cells[1].to_numpy(), cells[2].to_numpy()
+        sums = blocks.mapPartitions(_level_sums(tree, level, used, width, number, settings))
+        if tasks > 1:
+            # Added up in tasks: what the driver gets does not grow with their number.
+            sums = sums.reduceByKey(np.add, min(tasks, SUM_TASKS))
+        total = np.zeros((2, len(used), width << level), np.int64)
+        for place, found in sums.collect():
+            total[:, place] = found
         g, h = total.reshape(2, len(used), 1 << level, width).swapaxes(1, 2)
         gain, column, cut, own_g, own_h = best_splits(g, h, settings.l2, settings.least_hessian)
         grown = False
@@ -384,23 +360,41 @@ def fit_ensemble(
     ensemble = Ensemble(list(features))
     if not count:
         return ensemble
-    tasks = max(1, math.ceil(count / ROWS_PER_TASK))
-    binned = _kept(clean.repartition(tasks).mapInArrow(_binned(cuts, positive_weight), _BINNED))
-    pending: list[Tree] = []
+    spark = rows.sparkSession
+    tasks = min(math.ceil(count / ROWS_PER_TASK), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    kind = bin_type(cuts)
+    path = work_dir(spark, "boosting")
+    clean.repartition(tasks).mapInArrow(_binned(cuts, positive_weight), _BINNED).write.parquet(path)
+    blocks = _blocks(spark, path, tasks, kind)
+    held = [blocks]
     try:
         for number in range(settings.rounds):
-            tree = grow_tree(binned, binned.rdd.getNumPartitions(), pending, number, cuts, settings)
-            ensemble.trees.append(tree)
-            pending.append(tree)
-            if len(pending) == TREES_PER_STORE and number + 1 < settings.rounds:
-                stored = _kept(binned.mapInArrow(_stored_margins(pending), _BINNED))
-                binned.unpersist()
-                binned, pending = stored, []
+            if number:
+                blocks = _kept(blocks, ensemble.trees[-1])
+                held.append(blocks)
+                if number % TREES_PER_STORE == 0:
+                    path = work_dir(spark, "boosting")
+                    spark.createDataFrame(blocks.map(lambda block: [bytearray(x.tobytes()) for x in block]), _BINNED).write.parquet(path)
+                    for older in held:
+                        older.unpersist()
+                    blocks = _blocks(spark, path, tasks, kind)
+                    held = [blocks]
+            ensemble.trees.append(grow_tree(blocks, number, cuts, settings))
+            # The first pass of a tree has made its blocks from those of the tree before.
+            while len(held) > 1:
+                held.pop(0).unpersist()
     finally:
-        binned.unpersist()
+        for older in held:
+            older.unpersist()
     return ensemble
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """Written to the shared folder, so that lineage ends there, and cached for the passes."""
-    return written(rows, "boosting").persist(StorageLevel.MEMORY_AND_DISK)
+def _blocks(spark: SparkSession, path: str, tasks: int, kind: str) -> RDD:
+    """Blocks written to the shared folder, dealt evenly and cached for the passes."""
+    stored = spark.read.parquet(path).repartition(tasks).rdd.map(lambda row: _opened(row, kind))
+    return stored.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _kept(blocks: RDD, tree: Tree) -> RDD:
+    """The blocks after one more tree, cached by the next pass."""
+    return blocks.map(lambda block: _after(block, tree)).persist(StorageLevel.MEMORY_AND_DISK)

@@ -187,3 +187,17 @@ def test_the_classifier_learns(spark):
         losses.append(-(weight * np.where(label == 1, np.log(p), np.log(1 - p))).sum())
     assert losses[0] > losses[1] > losses[2]
     assert found.column(*[F.col(f) for f in FEATURES]) is not None and test_rows.count() > 0
+
+
+def test_jobs_and_trees_applied_per_level(spark, monkeypatch):
+    """A level is one job, and no pass applies older trees again (a tree is added to the margins once)."""
+    from tallyguard.operators import boosting
+
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 60)
+    applied = []
+    kept = boosting._kept
+    monkeypatch.setattr(boosting, "_kept", lambda blocks, tree: applied.append(tree) or kept(blocks, tree))
+    settings = BoostingSettings(rounds=6, depth=2, learning_rate=0.3)
+    found = fit_ensemble(rows_of(spark, table(5, 300)), NAMES, settings=settings)
+    assert len(found.trees) == 6
+    assert [id(t) for t in applied] == [id(t) for t in found.trees[:5]]
