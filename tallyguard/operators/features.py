@@ -13,6 +13,7 @@ finer grouping of the same partitioning.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,8 @@ MONEY = "decimal(20,6)"
 
 CARRY, EXPIRY, ARRIVAL = 0, 1, 2
 
+EVENTS_PER_TASK = 25_000
+
 
 @dataclass(frozen=True)
 class FeatureWindows:
@@ -155,7 +158,9 @@ def _narrow(events: DataFrame) -> DataFrame:
 
 
 def _layout(events: DataFrame, windows: FeatureWindows, chunk_rows: int) -> DataFrame:
-    """Arrival, expiry and carry rows with their (key, chunk)."""
+    """Arrival, expiry and carry rows, dealt by their (key, chunk) to tasks of about as many events,
+    however many there are: in memory they take far more than in the shuffle, whose bytes would
+    otherwise decide."""
     narrow = _narrow(events)
     leaves = tuple(w * MICROS + 1 for w in (windows.short, windows.medium, windows.long))
     chunks = find_chunks(narrow, ["__key"], "__us", chunk_rows, offsets=(0, *leaves))
@@ -167,12 +172,14 @@ def _layout(events: DataFrame, windows: FeatureWindows, chunk_rows: int) -> Data
         .drop(HEAVY)
         .withColumns({"device_n": F.lit(1), "merchant_n": F.lit(1)})
     )
+    tasks = max(1, math.ceil(chunks.rows / EVENTS_PER_TASK))
     if not chunks.any:
-        return rows
+        # The path is one constant here, which the windows leave out of their keys.
+        return rows.repartition(tasks, "__key")
     slim = narrow.select("__key", "__seq", F.inline(_steps(windows, payload=False)))
     for carry in _carry_rows(chunks.assign(slim, "us").where(HEAVY).drop(HEAVY)):
         rows = rows.unionByName(fill_missing(carry, rows, {"kind": F.lit(CARRY)}))
-    return rows
+    return rows.repartition(tasks, "__key", CHUNK)
 
 
 def _carry_rows(rows: DataFrame) -> list[DataFrame]:

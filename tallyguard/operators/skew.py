@@ -36,11 +36,13 @@ class Chunks:
 
     ``levels`` hold (keys, chunk path so far, start, width). Each is bounded by construction: a
     heavy key holds more than 1/50,000 of all rows and a crowded slot twice as much, so a level
-    has fewer than 50,000 rows per row offset. They are safe to broadcast.
+    has fewer than 50,000 rows per row offset. They are safe to broadcast. ``rows`` is the number
+    of all rows.
     """
 
     keys: list[str]
     levels: tuple[DataFrame, ...] = ()
+    rows: int = 0
 
     @property
     def any(self) -> bool:
@@ -73,15 +75,16 @@ def find_chunks(
     load = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__rows"), F.min(us).alias("__from"), F.max(us).alias("__to")
     )
-    found = load.where(F.col("__rows") > chunk_rows)
-    if found.isEmpty():
-        return Chunks(keys)
-    target = max(chunk_rows, df.count() // CHUNK_SHARE)
+    sizes = load.agg(F.sum("__rows").alias("rows"), F.max("__rows").alias("most")).first()
+    rows = sizes["rows"] or 0
+    if (sizes["most"] or 0) <= chunk_rows:
+        return Chunks(keys, rows=rows)
+    target = max(chunk_rows, rows // CHUNK_SHARE)
     path = F.array().cast("array<bigint>").alias(CHUNK)
-    first = found.where(F.col("__rows") > target).select(
+    first = load.where(F.col("__rows") > target).select(
         *keys, path, "__rows", "__from", (F.col("__to") + max(offsets)).alias("__to")
     )
-    chunks = Chunks(keys)
+    chunks = Chunks(keys, rows=rows)
     entries = None
     for _ in range(MAX_LEVELS):
         width = F.ceil((F.col("__to") - F.col("__from") + 1) * target / F.col("__rows"))
@@ -90,7 +93,7 @@ def find_chunks(
         )
         if level is None:
             break
-        chunks = Chunks(keys, (*chunks.levels, level))
+        chunks = Chunks(keys, (*chunks.levels, level), rows)
         if entries is None:
             spread = F.explode(F.array(*[F.col(us) + o for o in offsets])).alias("__us")
             entries = df.select(*keys, spread).join(F.broadcast(level.select(*keys)), keys, "left_semi")

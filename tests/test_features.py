@@ -96,3 +96,15 @@ def test_spend_is_exact(spark):
     rows = [event(i, i, amount=0.1) for i in range(50)]
     f = add_features(frame(spark, rows)).where(F.col("event_seq") == 49).first()["features"]
     assert f["spend_sum_1h"] == 4.9
+
+
+def test_tasks_follow_the_events_not_the_shuffled_bytes(spark, monkeypatch):
+    from tallyguard.operators import features
+
+    monkeypatch.setattr(features, "EVENTS_PER_TASK", 60)
+    rows = random_events(5, 300)
+    for chunk_rows in (1_000_000, 20):
+        found = add_features(frame(spark, rows), chunk_rows=chunk_rows)
+        # The windows take the rows as they were dealt: no second exchange joins them again.
+        assert found.rdd.getNumPartitions() == 5
+        assert found.count() == len(rows)
