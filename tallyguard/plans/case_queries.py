@@ -154,13 +154,18 @@ STAGE_SQL = """ UNION ALL """.join(
 )
 
 
+READ_FIELDS = "transaction_id string, decision string, features struct<tx_count_5m: double>"
+
+
 def _message_view(messages):
-    return messages.select(
+    """Every message is parsed once, for all the fields that are read."""
+    rows = messages.select("topic", F.col("key").alias("message_key"), F.from_json("value", READ_FIELDS).alias("v"))
+    return rows.select(
         "topic",
-        F.col("key").alias("message_key"),
-        F.get_json_object("value", "$.transaction_id").alias("transaction_id"),
-        F.get_json_object("value", "$.decision").alias("decision"),
-        F.get_json_object("value", "$.features.tx_count_5m").cast("double").alias("velocity"),
+        "message_key",
+        F.col("v")["transaction_id"].alias("transaction_id"),
+        F.col("v")["decision"].alias("decision"),
+        F.col("v")["features"]["tx_count_5m"].alias("velocity"),
     )
 
 

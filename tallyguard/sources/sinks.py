@@ -214,9 +214,10 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def write_messages(df: DataFrame, path: str, batch_id: int) -> None:
-    """Messages of one batch, a folder per topic."""
+    """Messages of one batch, a folder per topic. The values are JSON texts with the same names in each
+    row, which this compression makes far smaller than the default one."""
     target = f"{path}/batch_id={batch_id}"
-    df.write.mode("overwrite").partitionBy("topic").parquet(target)
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy("topic").parquet(target)
 
 
 def topic_options(brokers: str, **more: str) -> dict[str, str]:

@@ -213,3 +213,17 @@ def test_histograms_of_batches_add_up(spark):
     got = {(r.stage, r.tick): r.value for r in bucket_quantile(merged, labels=["stage"]).collect()}
     whole = {(r.stage, r.tick): r.value for r in histogram_quantile(df, us, F.col("latency"), labels=["stage"]).collect()}
     assert got == pytest.approx(whole) and len(got) > 20
+
+
+def test_written_messages_are_compressed_well(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tallyguard.sources.sinks import write_messages
+
+    rows = spark.range(20).selectExpr("cast(id as string) AS key", "'{}' AS value", "'tx.scored' AS topic")
+    write_messages(rows, f"{tmp_path}/messages", 0)
+    (name, *_) = glob.glob(f"{tmp_path}/messages/batch_id=0/topic=tx.scored/*.parquet")
+    assert pq.ParquetFile(name).metadata.row_group(0).column(1).compression == "ZSTD"
+    assert spark.read.parquet(f"{tmp_path}/messages").count() == 20
