@@ -24,21 +24,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.llm.joins import join_counted
+from tallyguard.llm.joins import HOT_SHARE, join_counted
 from tallyguard.llm.workers import map_arrow
 from tallyguard.session import written
 
 LEAST_WORDS = 50
 
-_SPACE = "[ \t\r\n\f\v]"
+_OTHER_SPACE = "\t\r\n\f\v"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _CHUNK_BYTES = 1 << 20
 
 _ANCHORS = "doc_id long, place long, rank long, pos int, digest long, distance int, deep boolean"
 _FOUND = (
-    "doc_id long, place long, rank long, side string, pos int, start long, end long, words array<long>, edges array<long>, "
-    "first_hash long, second_hash long"
+    "doc_id long, place long, rank long, side string, pos int, start long, end long, words array<long>, edges array<int>, "
+    "first_hash long, second_hash long, run long, o_place long, o_pos int, copies long"
 )
+_FOUND_NAMES = [field.split(" ")[0] for field in _FOUND.split(", ")]
+_LONG, _INT = pa.int64(), pa.int32()
+_KINDS = [pa.string(), _INT, _LONG, _LONG, pa.list_(_LONG), pa.list_(_INT), _LONG, _LONG, _LONG, _LONG, _INT, _LONG]
 
 
 class Words:
@@ -46,13 +49,15 @@ class Words:
 
     def __init__(self, texts: list[str]):
         flat = pa.array(texts, pa.large_string())
-        flat = pc.replace_substring_regex(flat, _SPACE, " ")
+        for space in _OTHER_SPACE:
+            flat = pc.replace_substring(flat, space, " ")
         split = pc.split_pattern(flat, " ")
         counts = pc.list_value_length(split).to_numpy()
         encoded = pc.dictionary_encode(pc.list_flatten(split))
-        names = encoded.dictionary.to_pylist()
-        hashes = np.array([xxhash.xxh64_intdigest(w.lower()) for w in names], dtype=np.uint64)
-        sizes = np.array([len(w) for w in names], dtype=np.int64)
+        # No word holds a space, so all are lower-cased in one text.
+        names = " ".join(encoded.dictionary.to_numpy(zero_copy_only=False)).lower().split(" ")
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+        sizes = pc.utf8_length(encoded.dictionary).to_numpy()
         ids = encoded.indices.to_numpy()
         lengths = sizes[ids]
         ends = np.cumsum(lengths + 1) - 1
@@ -72,11 +77,38 @@ class Words:
 
 
 def run_hashes(hashes: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
-    """A hash of every run of ``size`` words, from the left to the right."""
-    out = np.zeros(max(0, len(hashes) - size + 1), dtype=np.uint64)
-    for i in range(size):
-        out = (out ^ (out >> np.uint64(31))) * _MIX[kind] + hashes[i : i + len(out)]
-    return (out ^ (out >> np.uint64(29))) * _MIX[1 - kind]
+    """A hash of every run of ``size`` words, put together from runs of 1, 2, 4, ... words."""
+    n = max(0, len(hashes) - size + 1)
+    out, done, width = None, 0, 1
+    part = hashes
+    while True:
+        if size & width:
+            block = part[done : done + n]
+            out = block if out is None else _followed(out, block, width, kind)
+            done += width
+        if done == size:
+            return (out ^ (out >> np.uint64(29))) * _MIX[1 - kind]
+        part = _followed(part[: max(0, len(part) - width)], part[width:], width, kind)
+        width *= 2
+
+
+def _followed(first: np.ndarray, second: np.ndarray, width: int, kind: int) -> np.ndarray:
+    """Hashes of runs and the runs of ``width`` words after them."""
+    out = (first ^ (first >> np.uint64(31))) * (_MIX[kind] + np.uint64(2 * width)) + second
+    return out ^ (out >> np.uint64(27))
+
+
+def last_minima(values: np.ndarray, size: int) -> np.ndarray:
+    """For every run of ``size`` values the place of its least one, the last of equal ones."""
+    least, place, width = values, np.arange(len(values)), 1
+    while width < size:
+        step = min(width, size - width)
+        left, right = least[: max(0, len(least) - step)], least[step:]
+        later = right <= left
+        least = np.where(later, right, left)
+        place = np.where(later, place[step:], place[: len(left)])
+        width += step
+    return place
 
 
 def anchors_of(words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,13 +121,9 @@ def anchors_of(words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray,
     of_text = np.repeat(np.arange(len(words.borders) - 1), np.diff(words.borders))
     # Runs that don't cross from one text to the next.
     starts = np.flatnonzero(of_text[:n] == of_text[reach - 1 : reach - 1 + n])
-    chosen = [np.zeros(0, dtype=np.int64)]
-    for at in range(0, len(starts), 1 << 15):
-        part = starts[at : at + (1 << 15)]
-        views = units[part[:, None] + np.arange(size - 1, -1, -1)]
-        # The last of equal ones.
-        chosen.append(np.unique(part + size - 1 - views.argmin(axis=1)))
-    found = np.unique(np.concatenate(chosen))
+    chosen = np.zeros(len(units), dtype=bool)
+    chosen[last_minima(units, size)[starts]] = True
+    found = np.flatnonzero(chosen)
     text = of_text[found]
     return text, found - words.borders[text], units[found]
 
@@ -131,19 +159,6 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
                 at, size = i + 1, 0
 
 
-def _batch(columns: list[list], ddl: str) -> pa.RecordBatch:
-    kinds = {
-        "long": pa.int64(),
-        "int": pa.int32(),
-        "string": pa.string(),
-        "array<long>": pa.list_(pa.int64()),
-    }
-    fields = [field.split(" ") for field in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]
-    )
-
-
 def _find_anchors(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _texts(batches, 3):
@@ -164,33 +179,36 @@ def _find_anchors(least_words: int):
     return run
 
 
-def beside(words: tuple[np.ndarray, np.ndarray, np.ndarray], at: int, side: str, size: int) -> tuple[list, list]:
-    """Up to ``size`` words beside a border, the nearest first, and the text offsets that a passage
-    up to the border has with 0, 1, ... of them."""
-    hashes, starts, ends = words
-    if side == "left":
-        low = max(0, at - size)
-        return hashes[low:at][::-1].view(np.int64).tolist(), starts[low : at + 1][::-1].tolist()
-    return hashes[at : at + size].view(np.int64).tolist(), ends[at - 1 : at + size].tolist()
+def _lists(values: np.ndarray, first: np.ndarray, step: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """For every row ``counts`` values from ``first`` on, to the right or (step -1) to the left."""
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    nth = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts)
+    at = np.repeat(first, counts) + np.repeat(step, counts) * nth
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values[at]))
 
 
-class Windows:
-    """Two hashes of every window of some texts, found at once."""
+def beside(words: Words, text: np.ndarray, at: np.ndarray, left: np.ndarray, size: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """Up to ``size`` words on one side of borders in the texts, the nearest first, and the text
+    offsets that a passage up to the border has with 0, 1, ... of them."""
+    border = words.borders[text] + at
+    counts = np.minimum(size, np.where(left, at, words.borders[text + 1] - border))
+    step = np.where(left, -1, 1)
+    near = _lists(words.hashes.view(np.int64), border - left, step, counts)
+    # Starts of the words from the border to the left, or ends from the word before it to the right.
+    limits = np.concatenate([words.starts, words.ends]).astype(np.int32)
+    return near, _lists(limits, np.where(left, border, len(words.starts) + border - 1), step, counts + 1)
 
-    def __init__(self, words: Words, least_words: int):
-        self.words, self.size = words, least_words
-        self.hashes = [run_hashes(words.hashes, least_words, kind).view(np.int64) for kind in (0, 1)]
 
-    def of(self, text: int, low: int, high: int) -> list[tuple]:
-        """Position, offsets and hashes of the windows that begin at the words ``low`` to ``high``."""
-        first, end = self.words.borders[text], self.words.borders[text + 1]
-        low, high = max(0, low), min(high, int(end - first) - self.size)
-        if high < low:
-            return []
-        at = slice(first + low, first + high + 1)
-        last = self.words.ends[first + low + self.size - 1 : first + high + self.size]
-        columns = (self.words.starts[at], last, *(h[at] for h in self.hashes))
-        return list(zip(range(low, high + 1), *(c.tolist() for c in columns), strict=True))
+def in_ranges(words: Words, text: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    """Places, among the words of all texts, of the windows of ``size`` words that begin at the words
+    ``low`` to ``high`` of the texts; each once, and none crosses the end of its text."""
+    first, end = words.borders[text], words.borders[text + 1]
+    low, high = first + np.maximum(low, 0), np.minimum(first + high, end - size)
+    some = low <= high
+    cover = np.zeros(len(words.hashes) + 1, dtype=np.int64)
+    np.add.at(cover, low[some], 1)
+    np.add.at(cover, high[some] + 1, -1)
+    return np.flatnonzero(np.cumsum(cover[:-1]) > 0)
 
 
 def _look_up(least_words: int):
@@ -199,25 +217,36 @@ def _look_up(least_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _texts(batches, 3):
-            out: list[list] = [[] for _ in _FOUND.split(", ")]
-            names = [part.column(i).to_pylist() for i in range(3)]
-            windows = Windows(words, least_words)
-            for i, asked in enumerate(part.column(4).to_pylist()):
-                mine = words.of(i)
-                rows = []
-                seen = set()
-                for want in asked:
-                    if want["side"] != "window":
-                        rows.append((want["side"], want["low"], None, None, *beside(mine, want["low"], want["side"], lead), None, None))
-                        continue
-                    for pos, start, end, high, low in windows.of(i, want["low"], want["high"]):
-                        if pos not in seen:
-                            seen.add(pos)
-                            rows.append(("window", pos, start, end, None, None, high, low))
-                for row in rows:
-                    for column, x in zip(out, (*(n[i] for n in names), *row), strict=True):
-                        column.append(x)
-            yield _batch(out, _FOUND)
+            asked = part.column(4)
+            text = pc.list_parent_indices(asked).to_numpy().astype(np.int64)
+            side, low, high, *others = pc.list_flatten(asked).flatten()
+            low, high = (c.to_numpy().astype(np.int64) for c in (low, high))
+            window, left = (pc.equal(side, name).to_numpy(zero_copy_only=False) for name in ("window", "left"))
+            origin = pc.starts_with(side, "o_").to_numpy(zero_copy_only=False)
+            left |= pc.equal(side, "o_left").to_numpy(zero_copy_only=False)
+
+            def batch(of: np.ndarray, *columns):
+                row = pa.array(of)
+                # What the other kind of row has.
+                filled = [pa.nulls(len(of), kind) if c is None else pa.array(c) for c, kind in zip(columns, _KINDS, strict=True)]
+                return pa.RecordBatch.from_arrays([*(part.column(i).take(row) for i in range(3)), *filled], names=_FOUND_NAMES)
+
+            at = in_ranges(words, text[window], low[window], high[window], least_words)
+            if len(at):
+                of = np.searchsorted(words.borders, at, "right") - 1
+                hashes = [run_hashes(words.hashes, least_words, kind)[at].view(np.int64) for kind in (0, 1)]
+                yield batch(
+                    of, pa.repeat("window", len(at)), (at - words.borders[of]).astype(np.int32),
+                    words.starts[at], words.ends[at + least_words - 1], None, None, *hashes, None, None, None, None,
+                )
+            for ends in (np.flatnonzero(~window & ~origin), np.flatnonzero(origin)):
+                if len(ends):
+                    near, edges = beside(words, text[ends], low[ends], left[ends], lead)
+                    take = pa.array(ends)
+                    yield batch(
+                        text[ends], side.take(take), low[ends].astype(np.int32), None, None, near,
+                        None if origin[ends[0]] else edges, None, None, *(c.take(take) for c in others),
+                    )
 
     return run
 
@@ -228,12 +257,27 @@ def _equal_words(a: Column, b: Column) -> Column:
     return F.when(differs == 0, F.least(F.size(a), F.size(b))).otherwise((differs - 1).cast("int"))
 
 
-def _first_of(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Rows that have an earlier one with the same keys, and that one in ``first``."""
+def _first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a written table that have an earlier one with the same keys, and that one in ``first``.
+
+    The rows are shuffled once. Keys of which a thousandth of all rows may have the first stay out of
+    the shuffle: their earliest rows are found by an aggregate and broadcast. A sketch of fixed
+    size tells which; what it says decides only the way, not the rows.
+    """
     order = F.struct("rank", "doc_id", "place", "pos")
-    keyed = rows.withColumn("key", F.struct(*keys))
-    first = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min(order).alias("first")).where("copies > 1")
-    return join_counted(keyed, written(first, name), "key", "copies").where(order > F.col("first")).drop("key", "copies")
+    often = F.expr(f"approx_top_k({keys[0]}, {HOT_SHARE}, {10 * HOT_SHARE})").alias("often")
+    counted = rows.agg(often, F.count("*").alias("total"))
+    hot = counted.select("total", F.inline("often")).where(F.col("count") * HOT_SHARE >= F.col("total"))
+    hot = [row["item"] for row in hot.select("item").collect()]
+    rest, found = rows, None
+    if hot:
+        # As many rows as the frequent keys, or windows that share one of their hashes.
+        earliest = rows.where(F.col(keys[0]).isin(hot)).groupBy(*keys).agg(F.min(order).alias("first"))
+        marked = rows.join(F.broadcast(earliest), keys, "left")
+        found = marked.where(order > F.col("first"))
+        rest = marked.where(F.col("first").isNull()).drop("first")
+    later = rest.withColumn("first", F.min(order).over(Window.partitionBy(*keys))).where(order > F.col("first"))
+    return later if found is None else later.unionByName(found)
 
 
 def _stretches(anchors: DataFrame, size: int) -> DataFrame:
@@ -244,7 +288,7 @@ def _stretches(anchors: DataFrame, size: int) -> DataFrame:
     shallow = anchors.where(~F.col("deep")).drop("deep")
     delta = F.col("pos") - F.col("first.pos")
     not_own = (F.col("first.place") != F.col("place")) | (delta != F.col("distance"))
-    later = _first_of(shallow, ["digest"], "first-units").where(not_own).select(
+    later = _first_of(shallow, ["digest"]).where(not_own).select(
         "doc_id", "place", "rank", "pos", F.col("first.place").alias("o_place"), delta.alias("delta"),
         F.col("first.doc_id").alias("kept_doc_id"),
     )
@@ -278,43 +322,50 @@ def _looked_up(runs: DataFrame, docs: DataFrame, least_words: int, size: int) ->
     around = F.when(high - low < least_words, F.array(_want("window", low - lead, high - size))).otherwise(
         F.array(_want("window", low - lead, low - 1), _want("window", high - least_words + 1, high - size))
     )
-    mine = runs.select(
-        "place", F.inline(F.concat(F.array(_want("left", low, low), _want("right", high, high)), around))
-    )
-    theirs = runs.select(
-        F.col("o_place").alias("place"), F.inline(F.array(_want("left", o_low, o_low), _want("right", o_high, o_high)))
+    run = {"run": F.col("run"), "o_place": F.col("o_place")}
+    ends = F.array(_want("left", low, low, **run, o_pos=o_low), _want("right", high, high, **run, o_pos=o_high))
+    mine = runs.select("place", F.inline(F.concat(ends, around)))
+    # A border of an origin is told once, with the number of stretches that wait for it.
+    borders = F.array(
+        *[F.struct(F.lit(f"o_{side}").alias("side"), at.cast("int").alias("low")) for side, at in (("left", o_low), ("right", o_high))]
     )
-    asked = mine.union(theirs).distinct()
-    # A document is asked for each of its places once, so its list is no longer than its text.
-    per_doc = asked.groupBy("place").agg(F.collect_list(F.struct("side", "low", "high")).alias("asked"))
+    theirs = runs.select(F.col("o_place").alias("place"), F.inline(borders)).groupBy("place", "side", "low").agg(F.count("*").alias("copies"))
+    theirs = theirs.select("place", F.inline(F.array(_want(F.col("side"), F.col("low"), F.col("low"), copies=F.col("copies")))))
+    asked = mine.union(theirs)
+    # A document has a few wants for each of its units, so its list is no longer than its text.
+    per_doc = asked.groupBy("place").agg(F.collect_list(F.struct(*asked.columns[1:])).alias("asked"))
     told = docs.join(per_doc, "place").select("doc_id", "place", "rank", "text", "asked")
-    return written(map_arrow(told, _look_up(least_words), _FOUND), "looked-up")
+    return written(map_arrow(told, _look_up(least_words), _FOUND), "looked-up", "zstd")
 
 
-def _want(side: str, low: Column, high: Column) -> Column:
-    return F.struct(F.lit(side).alias("side"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+_OTHERS = {"run": "long", "o_place": "long", "o_pos": "int", "copies": "long"}
 
 
-def _extended(runs: DataFrame, found: DataFrame) -> DataFrame:
+def _want(side: str | Column, low: Column, high: Column, **others: Column) -> Column:
+    side = F.lit(side) if isinstance(side, str) else side
+    more = [others.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _OTHERS.items()]
+    return F.struct(side.alias("side"), low.cast("int").alias("low"), high.cast("int").alias("high"), *more)
+
+
+def _extended(found: DataFrame) -> DataFrame:
     """The stretches with the equal words beside them, and their offsets in the text."""
-    ends = F.array(
-        *[F.struct(F.lit(side).alias("side"), F.col(at).alias("at")) for side, at in (("left", "low"), ("right", "high"))]
-    )
-    o_key = F.struct(F.col("o_place").alias("place"), "side", (F.col("at") - F.col("delta")).cast("int").alias("pos"))
-    sides = runs.select("*", F.inline(ends)).withColumn("o_key", o_key)
-    told = found.where("side <> 'window'")
-    own = told.select("place", "side", F.col("pos").alias("at"), F.col("words").alias("own_words"), "edges")
-    both = sides.join(own, ["place", "side", "at"])
-    wanted = sides.groupBy("o_key").agg(F.count("*").alias("copies"))
-    origin = told.select(F.struct("place", "side", "pos").alias("o_key"), F.col("words").alias("o_words"))
-    both = join_counted(both, written(wanted.join(origin, "o_key"), "origins"), "o_key", "copies").drop("o_key", "copies")
     left = F.col("side") == "left"
+    own = found.where(F.col("side").isin("left", "right")).select(
+        "place", "run", "side", "pos", "doc_id", F.col("words").alias("own_words"), "edges",
+        F.struct(F.col("o_place").alias("place"), "side", F.col("o_pos").alias("pos")).alias("o_key"),
+    )
+    origin = found.where(F.col("side").startswith("o_")).select(
+        F.struct("place", F.substring("side", 3, 5).alias("side"), "pos").alias("o_key"),
+        F.col("doc_id").alias("kept_doc_id"), F.col("words").alias("o_words"), "copies",
+    )
+    both = join_counted(own, origin, "o_key", "copies").drop("o_key", "copies")
+    more, edge = F.col("more"), F.get("edges", "more").cast("long")
     grown = both.withColumn("more", _equal_words(F.col("own_words"), F.col("o_words"))).select(
         "place", "run", "doc_id", "kept_doc_id",
-        F.when(left, F.col("low") - F.col("more")).alias("low"),
-        F.when(~left, F.col("high") + F.col("more")).alias("high"),
-        F.when(left, F.get("edges", "more")).alias("start"),
-        F.when(~left, F.get("edges", "more")).alias("end"),
+        F.when(left, F.col("pos") - more).alias("low"),
+        F.when(~left, F.col("pos") + more).alias("high"),
+        F.when(left, edge).alias("start"),
+        F.when(~left, edge).alias("end"),
     )
     return grown.groupBy("place", "run").agg(
         F.first("doc_id").alias("doc_id"),
@@ -325,7 +376,10 @@ def _extended(runs: DataFrame, found: DataFrame) -> DataFrame:
 
 def _earlier_windows(found: DataFrame, least_words: int) -> DataFrame:
     """Windows around the ends of the stretches that occur earlier."""
-    later = _first_of(found.where("side = 'window'"), ["first_hash", "second_hash"], "first-windows")
+    windows = found.where("side = 'window'").select(
+        "doc_id", "place", "rank", "pos", "start", "end", "first_hash", "second_hash"
+    )
+    later = _first_of(windows, ["first_hash", "second_hash"])
     return later.select(
         "place", "doc_id", F.col("first.doc_id").alias("kept_doc_id"), F.col("pos").alias("low"),
         (F.col("pos") + least_words).alias("high"), "start", "end",
@@ -361,11 +415,11 @@ def repeats(
         F.col(rank_col or id_col).cast("long").alias("rank"),
         F.col(text_col).cast("string").alias("text"),
     )
-    rows = written(rows, "texts")
-    anchors = written(map_arrow(rows, _find_anchors(least_words), _ANCHORS), "units")
+    rows = written(rows, "texts", "zstd")
+    anchors = written(map_arrow(rows, _find_anchors(least_words), _ANCHORS), "units", "zstd")
     runs = written(_stretches(anchors, size), "stretches")
     found = _looked_up(runs, rows, least_words, size)
-    grown = _extended(runs, found).where(F.col("high") - F.col("low") >= least_words)
+    grown = written(_extended(found).where(F.col("high") - F.col("low") >= least_words), "grown")
     windows = _earlier_windows(found, least_words)
     grown = grown.select(windows.columns).withColumn("by_window", F.lit(False))
     spans = grown.union(windows.withColumn("by_window", F.lit(True)))

@@ -50,12 +50,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The rows written to the work folder and read back.
 
     Cuts the lineage of a frame that several branches read. The table is in shared storage, so
-    the loss of an executor costs at most the tasks in flight.
+    the loss of an executor costs at most the tasks in flight. ``compression`` names a codec of
+    Parquet for tables that are large or read often.
     """
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)

@@ -210,6 +210,33 @@ def test_text_that_repeats_itself_is_one_stretch(spark):
     assert deep.sum() > 0.7 * len(text)
 
 
+@pytest.mark.parametrize("common", [0, 3_000])
+def test_first_occurrences_take_one_shuffle(spark, common):
+    # (doc_id, place, rank, pos, digest); with ``common`` one digest is most of all rows.
+    rows = [(i % 50, i, i % 7, i % 3, -1 if i < common else i % (600 if common else 2_000)) for i in range(4_000)]
+    table = spark.createDataFrame(rows, "doc_id long, place long, rank long, pos int, digest long").cache()
+    later = repeats._first_of(table, ["digest"])
+    if not common:
+        assert later._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    first = {}
+    for doc, place, rank, pos, digest in rows:
+        first[digest] = min(first.get(digest, (99,)), (rank, doc, place, pos))
+    expected = sorted((r[1], first[r[4]][2]) for r in rows if first[r[4]] != (r[2], r[0], r[1], r[3]))
+    assert sorted((r.place, r.first.place) for r in later.collect()) == expected
+    table.unpersist()
+
+
+def test_hashes_and_minima_of_runs():
+    values = np.random.default_rng(4).integers(0, 6, 300).astype(np.uint64)
+    for size in (1, 2, 3, 25, 50):
+        runs = [tuple(values[i : i + size].tolist()) for i in range(len(values) - size + 1)]
+        hashes = repeats.run_hashes(values, size).tolist()
+        assert len(hashes) == len(runs) and len(set(zip(runs, hashes))) == len(set(runs)) == len(set(hashes))
+        last = [i + size - 1 - int(np.argmin(values[i : i + size][::-1])) for i in range(len(runs))]
+        assert repeats.last_minima(values, size).tolist() == last
+    assert len(repeats.run_hashes(values[:3], 25)) == len(repeats.last_minima(values[:3], 25)) == 0
+
+
 def test_offsets_of_words():
     texts = ["", " \t", "É  b\n😀c ", "x"]
     words = repeats.Words(texts)
