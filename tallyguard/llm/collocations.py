@@ -35,6 +35,7 @@ NO_LANG = "und"
 
 # What ends a piece, and what parts words in it.
 PIECE_END = "[.,;:!?\n-\r]"
+_OTHER_ENDS = ".,;:!?\v\f\r"
 WORD_GAP = "[ \t]"
 
 SAMPLE_BYTES = 24 << 20
@@ -60,8 +61,8 @@ def joined_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return _mixed(first * _TURN + second)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+def word_hashes(words: list[bytes] | list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def phrase_hash(lang: str, phrase: str) -> int:
@@ -187,7 +188,9 @@ def _tokens(chunk: list[tuple[str, str, int]]):
     number = {lang: i for i, lang in enumerate(langs)}
     texts = pa.array([text for _, text, _ in chunk], pa.large_string())
     texts = pc.ascii_lower(texts)
-    texts = pc.replace_substring_regex(texts, PIECE_END, " \n ")
+    for end in _OTHER_ENDS:
+        texts = pc.replace_substring(texts, end, "\n")
+    texts = pc.replace_substring(texts, "\n", " \n ")
     texts = pc.replace_substring(texts, "\t", " ")
     large = pa.large_string()
     texts = pc.binary_join_element_wise(texts, pa.scalar(" \n", large), pa.scalar("", large))
@@ -195,7 +198,7 @@ def _tokens(chunk: list[tuple[str, str, int]]):
     lengths = pc.list_value_length(split).to_numpy()
     of_text = np.repeat(np.arange(len(chunk)), lengths)
     encoded = pc.dictionary_encode(pc.list_flatten(split))
-    words = encoded.dictionary.to_pylist()
+    words = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
     ids = encoded.indices.to_numpy().astype(np.int64)
     empty = words.index("") if "" in words else -1
     border = words.index("\n")
@@ -211,22 +214,50 @@ def _tokens(chunk: list[tuple[str, str, int]]):
     return ids, of_lang, begins, words, langs
 
 
+def _alike(at: np.ndarray, length: int, ids: np.ndarray, of_lang: np.ndarray, n_words: int):
+    """One of the places of every phrase that begins at the places, and how many begin with it."""
+    columns = [of_lang[at], *(ids[at + i] for i in range(length))]
+    bits = n_words.bit_length()
+    if int(columns[0].max()).bit_length() + length * bits > 62:
+        code = columns[0]
+        for column in columns[1:]:
+            code = np.unique(code, return_inverse=True)[1] * n_words + column
+        _, first, counts = np.unique(code, return_index=True, return_counts=True)
+        return [c[first] for c in columns], counts
+    # Sorted numbers that hold all parts of a phrase need no places beside them.
+    code = columns[0]
+    for column in columns[1:]:
+        code = (code << bits) | column
+    code = np.sort(code)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    counts = np.diff(np.append(first, len(code)))
+    code, parts = code[first], []
+    for _ in range(length):
+        parts.append(code & ((1 << bits) - 1))
+        code = code >> bits
+    return [code, *reversed(parts)], counts
+
+
+def _held_at(where: np.ndarray, hashes: np.ndarray, held: Filter) -> np.ndarray:
+    """Whether the filter holds the phrases at the marked places."""
+    out = np.zeros(len(where), dtype=bool)
+    at = np.flatnonzero(where)
+    out[at] = held.holds(hashes[at])
+    return out
+
+
 def _count_chunk(chunk, most_words: int, known: list[Filter] | None, before: list[Filter] | None):
     """(words, languages, phrases, counts) of the phrases of a chunk that are to be counted."""
     ids, of_lang, begins, words, langs = _tokens(chunk)
-    n_words = len(words)
     names = pa.array(words, pa.large_string())
     lang_names = pa.array(langs, pa.string())
-    seeds = word_hashes([lang.encode() for lang in langs])
-    hashes = _mixed(word_hashes([w.encode() for w in words])[np.maximum(ids, 0)] ^ seeds[of_lang])
-    # For the present length: places where a phrase begins, its number among those of the chunk,
-    # its hash, and one text for each number.
-    at = np.flatnonzero(ids >= 0)
-    codes, first, number = np.unique(of_lang[at] * n_words + ids[at], return_index=True, return_inverse=True)
-    phrase_hashes = hashes[at][first]
-    texts = names.take(pa.array(ids[at][first]))
-    phrase_langs = of_lang[at][first]
-    old = np.full(len(codes), before is not None)
+    seeds = word_hashes(langs)
+    hashes = _mixed(word_hashes(words)[np.maximum(ids, 0)] ^ seeds[of_lang])
+    # For the present length: places where a phrase begins that may be counted, its hash, and whether
+    # it was counted with the filters ``before``.
+    phrase = ids >= 0
+    phrase_hashes = hashes
+    old = np.full(len(ids), before is not None)
     if before is None:
         occurrences = np.bincount(of_lang[begins], minlength=len(langs))
         yield (
@@ -236,41 +267,28 @@ def _count_chunk(chunk, most_words: int, known: list[Filter] | None, before: lis
             pa.array(occurrences.astype(np.int64)),
         )
     for length in range(1, most_words + 1):
-        counts = np.bincount(number[begins[at]], minlength=len(codes))
-        new = (counts > 0) & ~old
-        if new.any():
-            chosen = np.flatnonzero(new)
+        new = np.flatnonzero(phrase & begins[: len(phrase)] & ~old)
+        if len(new):
+            (lang, *parts), counts = _alike(new, length, ids, of_lang, len(words))
+            texts = [names.take(pa.array(part)) for part in parts]
+            text = pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string()))
             yield (
-                pa.array(np.full(len(chosen), length, dtype=np.int32)),
-                lang_names.take(pa.array(phrase_langs[chosen])),
-                texts.take(pa.array(chosen)).cast(pa.string()),
-                pa.array(counts[chosen].astype(np.int64)),
+                pa.array(np.full(len(counts), length, dtype=np.int32)),
+                lang_names.take(pa.array(lang)),
+                text.cast(pa.string()),
+                pa.array(counts.astype(np.int64)),
             )
         if length == most_words:
             return
         # A longer phrase is this one and the next word; its other longest part begins one later.
-        place = np.full(len(ids) + 1, -1, dtype=np.int64)
-        place[at] = number
-        after = place[at + 1]
-        # Phrases of this length at the next place, and the word that ends the longer phrase.
-        end = at + length
-        inside = (end < len(ids)) & (after >= 0)
-        inside[inside] &= ids[end[inside]] >= 0
-        if known is not None:
-            good = known[length - 1].holds(phrase_hashes)
-            inside[inside] &= good[number[inside]] & good[after[inside]]
+        good = phrase if known is None else _held_at(phrase, phrase_hashes, known[length - 1])
         if before is not None:
-            was = old & before[length - 1].holds(phrase_hashes)
-        at, left, right = at[inside], number[inside], after[inside]
-        codes, first, number = np.unique(left * n_words + ids[at + length], return_index=True, return_inverse=True)
-        old = was[left[first]] & was[right[first]] if before is not None else np.full(len(codes), False)
-        texts = pc.binary_join_element_wise(
-            texts.take(pa.array(left[first])),
-            names.take(pa.array(ids[at[first] + length])),
-            pa.scalar(" ", pa.large_string()),
-        )
-        phrase_langs = phrase_langs[left[first]]
-        phrase_hashes = joined_hashes(phrase_hashes[left[first]], hashes[at[first] + length])
+            was = _held_at(old & good, phrase_hashes, before[length - 1])
+            old = was[:-1] & was[1:]
+        else:
+            old = old[1:]
+        phrase = good[:-1] & good[1:]
+        phrase_hashes = joined_hashes(phrase_hashes[:-1], hashes[length:])
 
 
 def _counts(most_words: int, known: list[Filter] | None, before: list[Filter] | None):

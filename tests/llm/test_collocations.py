@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from compare import differences
 from hypothesis import given, settings
@@ -168,3 +169,14 @@ def test_sql_says_the_same(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     df = spark.createDataFrame(rows, f"doc_id long, {SCHEMA}")
     assert differences(col.collocations(df), con, col.oracle()) == []
+
+
+@pytest.mark.parametrize("n_words", [9, 1 << 30])
+def test_phrases_are_told_apart_with_and_without_room_in_a_number(n_words):
+    rng = np.random.default_rng(3)
+    ids, of_lang = rng.integers(0, 9, 400), np.repeat([0, 1], 200)
+    at = np.arange(198)
+    at = np.concatenate([at, at + 200])
+    (lang, *parts), counts = col._alike(at, 3, ids, of_lang, n_words)
+    found = dict(zip(zip(lang.tolist(), *(p.tolist() for p in parts)), counts.tolist()))
+    assert found == Counter((int(of_lang[i]), *ids[i : i + 3].tolist()) for i in at)
