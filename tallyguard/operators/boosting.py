@@ -6,6 +6,9 @@ not depend on the rows, give the driver the split with the largest gain under an
 never leave their partition: the first pass of a tree adds the tree before it to the margins and
 keeps the blocks so, the other passes apply no tree but the one that grows.
 
+Many trees are grown by tasks that run at the same time and need no job for each pass (``together``), the
+same trees by the same sums; passes remain for few trees, and where a cluster gives no such tasks.
+
 Gradients and hessians are whole multiples of 2^-24, so the sums are exact and the model does
 not depend on how the rows are partitioned, or on tasks that run again.
 """
@@ -38,6 +41,11 @@ ROWS_PER_BLOCK = 25_000
 # Trees after which the margins are written to the shared folder, where their lineage ends.
 TREES_PER_STORE = 20
 QUANTILE_ACCURACY = 10_000
+# Rows that are looked up in the tables of leaves at once: what they need stays in a core's cache.
+ROWS_PER_LOOK = 512
+# From so many trees on they are grown by tasks that run at the same time, each with so many rows.
+TREES_TOGETHER = 20
+ROWS_TOGETHER = 200_000
 
 TREE_ROWS = (
     "tree int, node int, feature string, threshold double, gain double, gradient double, hessian double, value double"
@@ -100,10 +108,10 @@ class Ensemble:
     features: list[str]
     trees: list[Tree] = field(default_factory=list)
 
-    def probability(self, columns: np.ndarray) -> np.ndarray:
-        margin = np.zeros(columns.shape[1])
-        for tree in self.trees:
-            margin += tree.value[tree.nodes(columns, tree.threshold)]
+    def probability(self, columns: np.ndarray, tables: LeafTables | None = None) -> np.ndarray:
+        if tables is None and self.trees:
+            tables = LeafTables(self.trees)
+        margin = tables.margins(columns) if tables else np.zeros(columns.shape[1])
         return 1.0 / (1.0 + np.exp(-margin))
 
     def column(self, *values: Column) -> Column:
@@ -159,13 +167,76 @@ class Ensemble:
         return Ensemble(features, out)
 
 
+class LeafTables:
+    """The leaves of all trees at once.
+
+    A tree's leaves are the bits of a number, from left to right. Where a row goes right at a node it can't
+    reach the leaves below its left child. So a table for each column, by the place of its value among
+    the thresholds of all trees, says which leaves of each tree remain; the first one that all columns
+    leave is the row's leaf.
+    """
+
+    def __init__(self, trees: list[Tree]) -> None:
+        depth = max(len(t.feature).bit_length() - 1 for t in trees)
+        # Deeper trees are walked one by one.
+        self.trees = trees if depth > 6 else []
+        if self.trees:
+            return
+        self.kind, n = (np.uint32 if depth < 6 else np.uint64), len(trees)
+        kind = self.kind
+        limits: dict[int, set[float]] = {}
+        for tree in trees:
+            for node in np.flatnonzero(tree.feature >= 0):
+                limits.setdefault(int(tree.feature[node]), set()).add(float(tree.threshold[node]))
+        self.limits = {column: np.array(sorted(found)) for column, found in limits.items()}
+        self.tables = {column: np.full((len(found) + 1, n), ~kind(0), kind) for column, found in self.limits.items()}
+        self.values = np.zeros((n, 1 << depth))
+        for number, tree in enumerate(trees):
+            reached = [(0, 0, 1 << depth)]
+            for node, start, size in reached:
+                column = int(tree.feature[node])
+                if column < 0:
+                    self.values[number, start : start + size] = tree.value[node]
+                    continue
+                half = size // 2
+                place = np.searchsorted(self.limits[column], tree.threshold[node])
+                self.tables[column][place + 1 :, number] &= ~kind(((1 << half) - 1) << start)
+                reached += [(2 * node + 1, start, half), (2 * node + 2, start + half, half)]
+        self.first = np.arange(n) * (1 << depth)
+
+    def margins(self, columns: np.ndarray) -> np.ndarray:
+        if self.trees:
+            margin = np.zeros(columns.shape[1])
+            for tree in self.trees:
+                margin += tree.value[tree.nodes(columns, tree.threshold)]
+            return margin
+        places = {c: np.searchsorted(found, columns[c], side="right") for c, found in self.limits.items()}
+        for column, place in places.items():
+            place[np.isnan(columns[column])] = 0
+        out = np.zeros(columns.shape[1])
+        for start in range(0, len(out), ROWS_PER_LOOK):
+            n = len(out[start : start + ROWS_PER_LOOK])
+            left = np.full((n, len(self.values)), ~self.kind(0))
+            found = np.empty_like(left)
+            for column, table in self.tables.items():
+                left &= np.take(table, places[column][start : start + n], axis=0, out=found, mode="clip")
+            first = np.bitwise_count(~left & (left - self.kind(1)))
+            # Added up tree by tree.
+            out[start : start + n] = np.cumsum(self.values.reshape(-1)[self.first + first], axis=1)[:, -1]
+        return out
+
+
 def _predictor(ensemble: Ensemble):
+    tables: list[LeafTables] = []
+
     @F.arrow_udf("double")
     def predict(*columns: pa.Array) -> pa.Array:
         if not len(columns[0]):
             return pa.array([], pa.float64())
         values = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in columns])
-        return pa.array(ensemble.probability(np.nan_to_num(values, nan=0.0)))
+        if ensemble.trees and not tables:
+            tables.append(LeafTables(ensemble.trees))
+        return pa.array(ensemble.probability(np.nan_to_num(values, nan=0.0), *tables))
 
     return predict
 
@@ -197,21 +268,21 @@ def _binned(cuts: list[np.ndarray], positive_weight: float):
                 weight = np.where(label == 1.0, positive_weight, 1.0)
                 draw = part.column(len(cuts) + 1).to_numpy(zero_copy_only=False).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes()], pa.binary()) for x in (bins, label, weight, draw, np.zeros(n))], names=_NAMES
+                    [pa.array([x.tobytes()], pa.binary()) for x in (bins, label, weight, draw, np.zeros(n))], names=NAMES
                 )
 
     return run
 
 
-_NAMES = ["bins", "label", "weight", "draw", "margin"]
-_BINNED = ", ".join(f"{name} binary" for name in _NAMES)
+NAMES = ["bins", "label", "weight", "draw", "margin"]
+BINNED = ", ".join(f"{name} binary" for name in NAMES)
 
 
 def bin_type(cuts: list[np.ndarray]) -> str:
     return "<u1" if max(len(c) for c in cuts) < 256 else "<u2"
 
 
-def _opened(row, kind: str) -> tuple[np.ndarray, ...]:
+def opened(row, kind: str) -> tuple[np.ndarray, ...]:
     """A block as arrays: bins with a row for each column, label, weight, draw, margin."""
     label, weight, margin = (np.frombuffer(row[i], np.float64) for i in (1, 2, 4))
     return np.frombuffer(row[0], kind).reshape(-1, len(label)), label, weight, np.frombuffer(row[3], np.int64), margin
@@ -288,13 +359,44 @@ def best_splits(g: np.ndarray, h: np.ndarray, l2: float, least_hessian: float):
     return flat[np.arange(len(g)), best], column, cut + 1, whole_g[:, 0], whole_h[:, 0]
 
 
+def used_columns(number: int, columns: int, settings: BoostingSettings) -> np.ndarray:
+    """The columns that a tree sees."""
+    rng = np.random.default_rng([settings.seed, number])
+    return np.sort(rng.permutation(columns)[: max(1, math.ceil(settings.column_share * columns))])
+
+
+def found_splits(g: np.ndarray, h: np.ndarray, first: int, settings: BoostingSettings) -> tuple[np.ndarray, ...]:
+    """``best_splits`` with the sums left of the split; ``first`` is added to the columns' numbers."""
+    gain, column, cut, own_g, own_h = best_splits(g, h, settings.l2, settings.least_hessian)
+    left = np.arange(g.shape[2]) < cut[:, None]
+    nodes = np.arange(len(g))
+    left_g, left_h = (np.where(left, x[nodes, column], 0).sum(axis=1) / UNIT for x in (g, h))
+    return gain, column + first, cut, own_g, own_h, left_g, left_h
+
+
+def put_node(
+    tree: Tree, node: int, split: list, used: np.ndarray, cuts: list[np.ndarray], settings: BoostingSettings
+) -> bool:
+    """Writes a node by its best split (a row of ``found_splits``); whether it has children."""
+    gain, column, cut, own_g, own_h, left_g, left_h = split
+    tree.gradient[node], tree.hessian[node] = own_g, own_h
+    if gain <= LEAST_GAIN:
+        tree.value[node] = -own_g / (own_h + settings.l2) * settings.learning_rate
+        return False
+    name = used[column]
+    tree.feature[node], tree.cut[node], tree.gain[node] = name, cut, gain
+    tree.threshold[node] = cuts[name][cut - 1]
+    for child, (cg, ch) in ((2 * node + 1, (left_g, left_h)), (2 * node + 2, (own_g - left_g, own_h - left_h))):
+        tree.gradient[child], tree.hessian[child] = cg, ch
+        tree.value[child] = -cg / (ch + settings.l2) * settings.learning_rate
+    return True
+
+
 def grow_tree(blocks: RDD, number: int, cuts: list[np.ndarray], settings: BoostingSettings) -> Tree:
     """One more tree: a pass over the rows for each level but the last, whose leaves follow from
     the splits above them."""
     width = max(len(c) for c in cuts) + 1
-    rng = np.random.default_rng([settings.seed, number])
-    n_used = max(1, math.ceil(settings.column_share * len(cuts)))
-    used = np.sort(rng.permutation(len(cuts))[:n_used])
+    used = used_columns(number, len(cuts), settings)
     tree = Tree.empty(settings.depth)
     tasks = blocks.getNumPartitions()
     for level in range(settings.depth):
@@ -307,24 +409,13 @@ def grow_tree(blocks: RDD, number: int, cuts: list[np.ndarray], settings: Boosti
         for place, found in sums.collect():
             total[:, place] = found
         g, h = total.reshape(2, len(used), 1 << level, width).swapaxes(1, 2)
-        gain, column, cut, own_g, own_h = best_splits(g, h, settings.l2, settings.least_hessian)
+        splits = found_splits(g, h, 0, settings)
         grown = False
         for i in range(1 << level):
             node = first + i
             if node and tree.feature[(node - 1) // 2] < 0:
                 continue
-            tree.gradient[node], tree.hessian[node] = own_g[i], own_h[i]
-            if gain[i] <= LEAST_GAIN:
-                tree.value[node] = -own_g[i] / (own_h[i] + settings.l2) * settings.learning_rate
-                continue
-            grown = True
-            name = used[column[i]]
-            tree.feature[node], tree.cut[node], tree.gain[node] = name, cut[i], gain[i]
-            tree.threshold[node] = cuts[name][cut[i] - 1]
-            left = (g[i, column[i], : cut[i]].sum() / UNIT, h[i, column[i], : cut[i]].sum() / UNIT)
-            for child, (cg, ch) in ((2 * node + 1, left), (2 * node + 2, (own_g[i] - left[0], own_h[i] - left[1]))):
-                tree.gradient[child], tree.hessian[child] = cg, ch
-                tree.value[child] = -cg / (ch + settings.l2) * settings.learning_rate
+            grown |= put_node(tree, node, [x[i] for x in splits], used, cuts, settings)
         if not grown:
             break
     return tree
@@ -361,10 +452,16 @@ def fit_ensemble(
     if not count:
         return ensemble
     spark = rows.sparkSession
-    tasks = min(math.ceil(count / ROWS_PER_TASK), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    together = _tasks_together(spark, count, settings)
+    tasks = together or min(math.ceil(count / ROWS_PER_TASK), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     kind = bin_type(cuts)
     path = work_dir(spark, "boosting")
-    clean.repartition(tasks).mapInArrow(_binned(cuts, positive_weight), _BINNED).write.parquet(path)
+    clean.repartition(tasks).mapInArrow(_binned(cuts, positive_weight), BINNED).write.parquet(path)
+    if together:
+        from tallyguard.operators.together import fit_together
+
+        ensemble.trees = fit_together(spark, path, cuts, settings, together)
+        return ensemble
     blocks = _blocks(spark, path, tasks, kind)
     held = [blocks]
     try:
@@ -374,7 +471,7 @@ def fit_ensemble(
                 held.append(blocks)
                 if number % TREES_PER_STORE == 0:
                     path = work_dir(spark, "boosting")
-                    spark.createDataFrame(blocks.map(lambda block: [bytearray(x.tobytes()) for x in block]), _BINNED).write.parquet(path)
+                    spark.createDataFrame(blocks.map(lambda block: [bytearray(x.tobytes()) for x in block]), BINNED).write.parquet(path)
                     for older in held:
                         older.unpersist()
                     blocks = _blocks(spark, path, tasks, kind)
@@ -389,9 +486,25 @@ def fit_ensemble(
     return ensemble
 
 
+def _tasks_together(spark: SparkSession, count: int, settings: BoostingSettings) -> int:
+    """In how many tasks that run at the same time the trees grow; 0 if by passes."""
+    from tallyguard.operators.together import filesystem, tasks_at_once
+
+    if settings.rounds < TREES_TOGETHER:
+        return 0
+    wanted = math.ceil(count / ROWS_TOGETHER)
+    if wanted == 1:
+        return 1
+    try:
+        filesystem(work_dir(spark, "sums"))
+    except (pa.ArrowInvalid, OSError):
+        return 0
+    return min(wanted, tasks_at_once(spark))
+
+
 def _blocks(spark: SparkSession, path: str, tasks: int, kind: str) -> RDD:
     """Blocks written to the shared folder, dealt evenly and cached for the passes."""
-    stored = spark.read.parquet(path).repartition(tasks).rdd.map(lambda row: _opened(row, kind))
+    stored = spark.read.parquet(path).repartition(tasks).rdd.map(lambda row: opened(row, kind))
     return stored.persist(StorageLevel.MEMORY_AND_DISK)
 
 

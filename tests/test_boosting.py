@@ -201,3 +201,80 @@ def test_jobs_and_trees_applied_per_level(spark, monkeypatch):
     found = fit_ensemble(rows_of(spark, table(5, 300)), NAMES, settings=settings)
     assert len(found.trees) == 6
     assert [id(t) for t in applied] == [id(t) for t in found.trees[:5]]
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("tasks, trees_per_job, held", [(1, 55, 10**9), (3, 3, 10**9), (4, 55, 1_000)])
+def test_trees_of_tasks_that_run_together_equal_those_of_passes(spark, monkeypatch, tasks, trees_per_job, held):
+    """Many trees take no job for each level; blocks, tasks, codes and files do not change them."""
+    from tallyguard.operators import boosting, together
+
+    rows = table(6, 800)
+    settings = BoostingSettings(rounds=8, depth=4, learning_rate=0.3, row_share=0.7, column_share=0.6, seed=3)
+    passes = fit_ensemble(rows_of(spark, rows), NAMES, keys=["id"], positive_weight=2.5, settings=settings)
+    monkeypatch.setattr(boosting, "TREES_TOGETHER", 8, raising=False)
+    monkeypatch.setattr(boosting, "ROWS_TOGETHER", math.ceil(800 / tasks), raising=False)
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", 70)
+    monkeypatch.setattr(together, "ROWS_AT_ONCE", 150)
+    monkeypatch.setattr(together, "HELD_BYTES", held)
+    monkeypatch.setattr(together, "TREES_PER_JOB", trees_per_job)
+    found, jobs = jobs_of(
+        spark,
+        f"together{tasks}",
+        lambda: fit_ensemble(rows_of(spark, rows[::-1], 5), NAMES, keys=["id"], positive_weight=2.5, settings=settings),
+    )
+    for one, other in zip(passes.trees, found.trees, strict=True):
+        for x, y in zip(vars(one).values(), vars(other).values()):
+            assert np.array_equal(x, y)
+    assert jobs < settings.rounds * settings.depth
+
+
+def test_the_whole_classifier_takes_few_jobs(spark):
+    settings = BoostingSettings(rounds=30, depth=3, learning_rate=0.3)
+    found, jobs = jobs_of(spark, "whole", lambda: fit_ensemble(rows_of(spark, table(7, 200)), NAMES, settings=settings))
+    assert len(found.trees) == 30 and jobs < 30
+
+
+def test_columns_share_codes():
+    from tallyguard.operators.together import Codes
+
+    rng = np.random.default_rng(3)
+    sizes = [300, 2, 2, 7, 1, 256, 2, 40]
+    bins = np.stack([rng.integers(0, n, 500) for n in sizes])
+    codes = Codes(sizes)
+    assert len(codes.sizes) < len(sizes) and math.prod(codes.sizes) == math.prod(sizes)
+    units = rng.integers(-9, 9, (2, 500)).astype(float)
+    found = codes.of(bins)
+    for column, (code, _) in enumerate(codes.place):
+        assert codes.bin(found[code], column).tolist() == bins[column].tolist()
+        totals = np.stack([np.bincount(found[code], u, codes.sizes[code]) for u in units])[:, None]
+        wanted = [np.bincount(bins[column], u, sizes[column]).tolist() for u in units]
+        assert codes.sums(totals, code, column)[:, 0].tolist() == wanted
+
+
+@pytest.mark.parametrize("depth", [1, 5, 6, 7])
+def test_leaf_tables_equal_a_walk(depth):
+    from tallyguard.operators.boosting import LeafTables
+
+    rng = np.random.default_rng(depth)
+    trees = []
+    for _ in range(12):
+        tree = Tree.empty(depth)
+        for node in range((1 << depth) - 1):
+            if (not node or tree.feature[(node - 1) // 2] >= 0) and rng.random() < 0.8:
+                tree.feature[node], tree.threshold[node] = rng.integers(0, 4), rng.integers(0, 20) / 2
+        tree.value[:] = rng.normal(size=len(tree.value))
+        trees.append(tree)
+    columns = rng.integers(-2, 22, (4, 1_500)) / 2.0
+    columns[0, 3], columns[1, 4], columns[2, 5] = np.nan, np.inf, -np.inf
+    margin = np.zeros(1_500)
+    for tree in trees:
+        margin += tree.value[tree.nodes(columns, tree.threshold)]
+    assert LeafTables(trees).margins(columns).tolist() == margin.tolist()
