@@ -12,7 +12,9 @@ are, so a stream has one branch and decodes a message once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 import tallyguard.functions
@@ -79,6 +82,11 @@ HISTORY = T.StructType(
 )
 
 MERCHANT_SALTS = 16
+# Waiting rows in one entry of the state.
+PACKED_ROWS = 5_000
+# Devices or merchants of an account whose counts lie in its one state value; each further one is asked for
+# by itself.
+SEEN_TOGETHER = 2_000
 CLAIM_BUCKETS = 1024
 CLAIM_SECONDS = 30 * 86_400
 # Text of times in the payload: whole microseconds.
@@ -92,7 +100,8 @@ for _part in (tallyguard.streaming, tallyguard.functions, tallyguard.operators,
 
 def as_batch(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """All rows a key received in this micro-batch (they may come in several chunks)."""
-    return pd.concat(list(chunks), ignore_index=True)
+    found = list(chunks)
+    return found[0].reset_index(drop=True) if len(found) == 1 else pd.concat(found, ignore_index=True)
 
 
 def as_output(batch: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
@@ -101,19 +110,32 @@ def as_output(batch: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
     out = batch.reindex(columns=schema.fieldNames())
     texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     for name in texts:
-        if not out[name].notna().any():
+        if out[name].dtype != object and not out[name].notna().any():
             out[name] = pd.Series([None] * len(out), index=out.index, dtype=object)
     return out
 
 
 def in_time_order(batch: pd.DataFrame) -> pd.DataFrame:
-    return batch.sort_values(["us", "seq"], kind="stable", ignore_index=True)
+    order = np.lexsort((batch["seq"].to_numpy(), batch["us"].to_numpy()))
+    return batch.take(order).reset_index(drop=True)
+
+
+def packed(batch: pd.DataFrame) -> list[tuple[bytes]]:
+    """Carried rows as entries of a list state, many rows an entry: reading and writing one costs as
+    much as that of a row."""
+    schema, out = to_arrow_schema(CARRIED), []
+    for start in range(0, len(batch), PACKED_ROWS):
+        part = pa.Table.from_pandas(batch.iloc[start : start + PACKED_ROWS], schema=schema, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+            stream.write_table(part)
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
 
 
-def plain_rows(batch: pd.DataFrame, columns: list[str]) -> list[tuple]:
-    """Rows as tuples of Python values, as list states take them."""
-    part = batch[columns].astype(object)
-    return list(part.where(part.notna(), None).itertuples(index=False, name=None))
+def unpacked(entries: Iterator[tuple[bytes]]) -> pd.DataFrame:
+    parts = [pa.ipc.open_stream(rows).read_all() for (rows,) in entries]
+    return pa.concat_tables(parts).to_pandas()
 
 
 class EventClaims(StatefulProcessor):
@@ -193,7 +215,7 @@ class MerchantRisk(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.flagged = handle.getValueState("flagged", "us long, seq long")
-        self.waiting = handle.getListState("waiting", CARRIED)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -217,7 +239,7 @@ class MerchantRisk(StatefulProcessor):
             yield self._marked(events[late])
         held, due = events[~late], due[~late]
         if len(held):
-            self.waiting.appendList(plain_rows(held, CARRIED.fieldNames()))
+            self.waiting.appendList(packed(held))
             self._wake_at(int(due.min()))
 
     def _due(self, us: pd.Series) -> pd.Series:
@@ -243,12 +265,12 @@ class MerchantRisk(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
-        held = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=CARRIED.fieldNames())
+        held = unpacked(self.waiting.get())
         due = self._due(held["us"])
         ready = due < timerValues.getCurrentWatermarkInMs()
         rest = held[~ready]
         if len(rest):
-            self.waiting.put(plain_rows(rest, CARRIED.fieldNames()))
+            self.waiting.put(packed(rest))
             self._wake_at(int(due[~ready].min()))
         else:
             self.waiting.clear()
@@ -256,13 +278,59 @@ class MerchantRisk(StatefulProcessor):
             yield self._marked(held[ready])
 
 
+@dataclass
+class Life:
+    """What is known of an account: totals, first and last event, how many devices and merchants, the time
+    of its timer, how often the first devices and merchants came; and the events of the last hour (arrays
+    of time, amount and failure), which are a value of their own."""
+
+    n: int = 0
+    total: int = 0
+    first_us: int | None = None
+    last_us: int | None = None
+    latitude: float | None = None
+    longitude: float | None = None
+    country: str | None = None
+    known_devices: int = 0
+    known_merchants: int = 0
+    wake: int | None = None
+    devices: dict[str | None, int] = field(default_factory=dict)
+    merchants: dict[str | None, int] = field(default_factory=dict)
+    recent: tuple[bytes, bytes, bytes] = (b"", b"", b"")
+
+    @staticmethod
+    def of(row: tuple) -> Life:
+        *plain, devices, merchants = row
+        life = Life(*plain, _counts(devices), _counts(merchants))
+        life.total = int(life.total)
+        return life
+
+    def row(self) -> tuple:
+        seen = (json.dumps([list(x), list(x.values())]) for x in (self.devices, self.merchants))
+        place = self.latitude, self.longitude, self.country
+        known = self.known_devices, self.known_merchants
+        return (self.n, str(self.total), self.first_us, self.last_us, *place, *known, self.wake, *seen)
+
+
+LIFE = (
+    "n long, total string, first_us long, last_us long, latitude double, longitude double, country string, "
+    "known_devices long, known_merchants long, wake long, device_counts string, merchant_counts string"
+)
+
+
+def _counts(text: str) -> dict[str | None, int]:
+    return dict(zip(*json.loads(text)))
+
+
 class AccountHistory(StatefulProcessor):
     """History of an account before each of its events.
 
-    State: totals and last event (one value), the events of the last hour (packed arrays),
-    devices and merchants seen (maps). It starts anew when the account was silent for longer
-    than the lifetime; a timer removes it once the clock says so, also if the account never
-    comes back. The window arrays also keep ``allowance`` seconds for late events.
+    State: two values, read and written once a micro-batch, as a call of the state costs more than many
+    events; and an entry for each device and merchant, written when it is new. Counts of those beyond
+    the first ``SEEN_TOGETHER`` are in their entries, so the values do not grow without end. It starts anew
+    when the account was silent for longer than the lifetime; a timer removes it once the clock says
+    so, also if the account never comes back. The window arrays also keep
+    ``allowance`` seconds for late events.
     """
 
     def __init__(self, windows: FeatureWindows, lifetime: int | None, allowance: int, wait_seconds: int | None) -> None:
@@ -273,67 +341,71 @@ class AccountHistory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.profile = handle.getValueState(
-            "profile",
-            "n long, total string, first_us long, last_us long, latitude double, longitude double, country string",
-        )
+        self.profile = handle.getValueState("profile", LIFE)
         self.recent = handle.getValueState("recent", "us binary, micros binary, failed binary")
         self.devices = handle.getMapState("devices", "device string", "n long")
         self.merchants = handle.getMapState("merchants", "merchant string", "n long")
-        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = as_batch(rows)
-        others = batch[batch["kind"] == OTHER]
-        if len(others):
-            yield as_output(others, HISTORY)
-            batch = batch[batch["kind"] == EVENT]
+        other = batch["kind"].to_numpy() == OTHER
+        if other.any():
+            yield as_output(batch[other], HISTORY)
+            batch = batch[~other]
             if not len(batch):
                 return
         batch = in_time_order(batch)
-        last = self.profile.get()[3] if self.profile.exists() else None
-        for start, end in self._lives(batch["us"].to_numpy(), last):
-            if start > 0 or self._expired(batch["us"].iloc[0], last):
-                self._clear()
-            yield self._advance(batch.iloc[start:end].reset_index(drop=True))
-        if self.lifetime is not None and not self.timer.exists():
-            self._expire_at(self.profile.get()[3])
-
-    def _expire_at(self, last_us: int) -> None:
-        at = last_us // 1_000 + self.lifetime * 1_000 + self.wait_ms + 1
-        self.timer.update((at,))
-        self.handle.registerTimer(at)
+        stored = self.profile.get()
+        life = Life()
+        if stored is not None:
+            life = Life.of(stored)
+            life.recent = self.recent.get()
+        us, parts = batch["us"].to_numpy(), []
+        for start, end in self._lives(us):
+            if start > 0 or self._expired(us[0], life.last_us):
+                life = self._renewed(life)
+            parts.append(self._advance(life, batch.iloc[start:end]))
+        if self.lifetime is not None and life.wake is None:
+            self._expire_at(life)
+        self.profile.update(life.row())
+        self.recent.update(life.recent)
+        yield from parts
+
+    def _expire_at(self, life: Life) -> None:
+        life.wake = life.last_us // 1_000 + self.lifetime * 1_000 + self.wait_ms + 1
+        self.handle.registerTimer(life.wake)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """One timer an account: it moves on if there were events since it was set."""
-        self.timer.clear()
-        if self.profile.exists():
-            last = self.profile.get()[3]
-            if last // 1_000 + self.lifetime * 1_000 + self.wait_ms + 1 < timerValues.getCurrentWatermarkInMs():
-                self._clear()
+        stored = self.profile.get()
+        if stored is not None:
+            life = Life.of(stored)
+            if life.last_us // 1_000 + self.lifetime * 1_000 + self.wait_ms + 1 < timerValues.getCurrentWatermarkInMs():
+                self._renewed(life)
             else:
-                self._expire_at(last)
+                self._expire_at(life)
+                self.profile.update(life.row())
         return iter([])
 
     def _expired(self, us: int, last: int | None) -> bool:
         return self.lifetime is not None and last is not None and us - last > self.lifetime * MICROS
 
-    def _lives(self, us: np.ndarray, last: int | None) -> list[tuple[int, int]]:
+    def _lives(self, us: np.ndarray) -> list[tuple[int, int]]:
         """Row ranges between gaps longer than the state lifetime."""
         if self.lifetime is None:
             return [(0, len(us))]
         cuts = (np.flatnonzero(np.diff(us) > self.lifetime * MICROS) + 1).tolist()
         return list(zip([0, *cuts], [*cuts, len(us)]))
 
-    def _clear(self) -> None:
+    def _renewed(self, life: Life) -> Life:
+        """A life that begins anew, with the timer of the one before."""
         for state in (self.profile, self.recent, self.devices, self.merchants):
             state.clear()
+        return Life(wake=life.wake)
 
-    def _windows(self, batch: pd.DataFrame) -> dict[str, np.ndarray]:
+    def _windows(self, life: Life, batch: pd.DataFrame) -> dict[str, np.ndarray]:
         """Trailing counts and sums over the kept and the new events, as array lookups."""
-        old = [np.empty(0, dtype=np.int64)] * 3
-        if self.recent.exists():
-            old = [np.frombuffer(part, dtype=np.int64) for part in self.recent.get()]
+        old = [np.frombuffer(part, dtype=np.int64) for part in life.recent]
         new = [batch[c].to_numpy(dtype=np.int64) for c in ("us", "micros", "failed")]
         is_new = np.concatenate([np.zeros(len(old[0]), bool), np.ones(len(new[0]), bool)])
         us, micros, failed = (np.concatenate(pair) for pair in zip(old, new))
@@ -348,7 +420,7 @@ class AccountHistory(StatefulProcessor):
 
         short, medium, long = (start(w) for w in (self.windows.short, self.windows.medium, self.windows.long))
         keep = us >= us[-1] - (self.windows.long + self.allowance) * MICROS
-        self.recent.update(tuple(part[keep].tobytes() for part in (us, micros, failed)))
+        life.recent = tuple(part[keep].tobytes() for part in (us, micros, failed))
         return {
             "n_short": here - short,
             "n_medium": here - medium,
@@ -357,50 +429,74 @@ class AccountHistory(StatefulProcessor):
             "fails": fails[here] - fails[medium],
         }
 
-    def _seen(self, values: pd.Series, state) -> np.ndarray:
-        """How often each value came before in this life of the account."""
-        before = values.groupby(values, dropna=False).cumcount().to_numpy(dtype=np.int64)
-        for value, added in values.value_counts(dropna=False).items():
-            known = state.getValue((value,))[0] if state.containsKey((value,)) else 0
-            if known:
-                before[(values == value).to_numpy()] += known
-            state.updateValue((value,), (int(known + added),))
-        return before
-
-    def _advance(self, batch: pd.DataFrame) -> pd.DataFrame:
-        count, total, first, last, latitude, longitude, country = (
-            self.profile.get() if self.profile.exists() else (0, "0", None, None, None, None, None)
-        )
+    def _seen(self, values: pd.Series, together: dict, known: int, state) -> tuple[np.ndarray, int]:
+        """How often each value came before in this life of the account, and how many are known now."""
+        names = [None if x is None or x != x else x for x in values.tolist()]
+        added: dict[str | None, int] = {}
+        before = np.empty(len(names), np.int64)
+        for i, name in enumerate(names):
+            before[i] = added.get(name, 0)
+            added[name] = int(before[i]) + 1
+        others = known > len(together)
+        older: dict[str | None, int] = {}
+        for name, n in added.items():
+            if name in together:
+                older[name] = together[name]
+                together[name] += n
+                continue
+            if others and state.containsKey((name,)):
+                older[name] = state.getValue((name,))[0]
+            else:
+                known += 1
+                if len(together) < SEEN_TOGETHER:
+                    together[name] = n
+                else:
+                    others = True
+            state.updateValue((name,), (older.get(name, 0) + n,))
+        # Missing values are counted within a micro-batch only.
+        older.pop(None, None)
+        if older:
+            before += np.array([older.get(name, 0) for name in names], np.int64)
+        return before, known
+
+    def _advance(self, life: Life, batch: pd.DataFrame) -> pd.DataFrame:
+        n = len(batch)
+        out = {name: batch[name].to_numpy() for name in CARRIED.fieldNames()}
+        us, last = out["us"], life.last_us
+        out |= self._windows(life, batch)
+        out["life_n"] = life.n + np.arange(n)
         sums = []
-        running = int(total)
-        for micros in batch["micros"]:
-            sums.append(str(running))
-            running += int(micros)
-        for name, values in self._windows(batch).items():
-            batch[name] = values
-        batch["life_n"] = count + np.arange(len(batch))
-        batch["life_sum"] = sums
-        origin = int(batch["us"].iloc[0])
-        if first is not None:
-            origin = min(origin, first)
-        batch["first_us"] = origin
+        for micros in out["micros"].tolist():
+            sums.append(str(life.total))
+            life.total += int(micros)
+        out["life_sum"] = np.array(sums, dtype=object)
+        life.first_us = int(us[0]) if life.first_us is None else min(int(us[0]), life.first_us)
+        out["first_us"] = np.full(n, life.first_us)
         # The last event is the latest by its own time: one that comes late doesn't replace it.
-        before = {"us": last, "latitude": latitude, "longitude": longitude, "country": country}
-        previous = batch["us"].shift(1)
-        stored = previous.isna() | (previous < last if last is not None else False)
-        for name, value in before.items():
-            shifted = batch[name].astype(object).shift(1)
-            shifted[stored] = value
-            batch[f"last_{name}"] = shifted
-        batch["last_us"] = batch["last_us"].astype("Int64")
-        batch["device_before"] = self._seen(batch["device_id"], self.devices)
-        batch["merchant_before"] = self._seen(batch["merchant_id"], self.merchants)
-        end = batch.iloc[-1]
-        if last is None or end["us"] >= last:
-            last = int(end["us"])
-            latitude, longitude, country = (_value(end[c]) for c in ("latitude", "longitude", "country"))
-        self.profile.update((int(count + len(batch)), str(running), origin, last, latitude, longitude, country))
-        return as_output(batch, HISTORY)
+        stored = np.zeros(n, bool)
+        stored[0] = True
+        if last is not None:
+            stored[1:] = us[:-1] < last
+        out["last_us"] = pd.arrays.IntegerArray(
+            np.where(stored, 0 if last is None else last, np.roll(us, 1)).astype(np.int64), stored & (last is None)
+        )
+        for name in ("latitude", "longitude", "country"):
+            values = np.roll(out[name].astype(object), 1)
+            values[stored] = getattr(life, name)
+            out[f"last_{name}"] = values
+        out["device_before"], life.known_devices = self._seen(
+            batch["device_id"], life.devices, life.known_devices, self.devices
+        )
+        out["merchant_before"], life.known_merchants = self._seen(
+            batch["merchant_id"], life.merchants, life.known_merchants, self.merchants
+        )
+        if last is None or us[-1] >= last:
+            life.last_us = int(us[-1])
+            life.latitude, life.longitude, life.country = (
+                _value(out[c][-1]) for c in ("latitude", "longitude", "country")
+            )
+        life.n += n
+        return as_output(pd.DataFrame({name: out[name] for name in HISTORY.fieldNames()}, copy=False), HISTORY)
 
 
 def _value(x: object) -> object:

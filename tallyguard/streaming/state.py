@@ -36,7 +36,7 @@ def account_states(spark: SparkSession, checkpoint: str, batch_id: int | None =
     """One row per account in the state: events and spend of its present life, first and last event,
     and how many devices and merchants it has used. This is the context of its next event."""
     profile, account = F.col("value"), F.col("key")["account_id"].alias("account_id")
-    lives = read_state(spark, checkpoint, "profile", batch_id).select(
+    return read_state(spark, checkpoint, "profile", batch_id).select(
         account,
         profile["n"].alias("rolling_count"),
         (profile["total"].cast("decimal(38,0)") / 1_000_000).cast("double").alias("rolling_sum"),
@@ -45,8 +45,6 @@ def account_states(spark: SparkSession, checkpoint: str, batch_id: int | None =
         profile["latitude"].alias("last_latitude"),
         profile["longitude"].alias("last_longitude"),
         profile["country"].alias("last_country"),
+        profile["known_devices"].alias("known_devices"),
+        profile["known_merchants"].alias("known_merchants"),
     )
-    for variable, name in (("devices", "known_devices"), ("merchants", "known_merchants")):
-        seen = read_state(spark, checkpoint, variable, batch_id).groupBy(account).agg(F.count(F.lit(1)).alias(name))
-        lives = lives.join(seen, "account_id", "left")
-    return lives

@@ -7,17 +7,18 @@ from collections import Counter
 from dataclasses import replace
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from helpers import assert_features, expected_features, frame, random_events
 from pyspark.sql import functions as F
 
 from tallyguard.functions.scalars import iso_utc
-from tallyguard.operators.features import add_features
+from tallyguard.operators.features import FeatureWindows, add_features
 from tallyguard.operators.scoring import LogisticScorer
 from tallyguard.schemas import CONTRACT
 from tallyguard.sources.sinks import topic_options, topic_rows
 from tallyguard.sources.streams import MESSAGE_SCHEMA, file_messages
-from tallyguard.streaming import job
+from tallyguard.streaming import job, processor
 from tallyguard.streaming.job import (
     BatchWriter,
     StreamCounters,
@@ -411,3 +412,115 @@ def test_state_partitions_suit_the_cluster_and_the_batch(spark, tmp_path):
         assert suited_partitions(spark, 500 * PARTITION_ROWS) == 500
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+class KeptState:
+    """One state variable of one key, in memory; counts the calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.kept = None
+
+    def _call(self):
+        KeptState.calls += 1
+
+    def exists(self):
+        self._call()
+        return bool(self.kept)
+
+    def get(self):
+        self._call()
+        return self.kept
+
+    def update(self, value):
+        self._call()
+        self.kept = value
+
+    def containsKey(self, key):
+        self._call()
+        return key in (self.kept or {})
+
+    def getValue(self, key):
+        self._call()
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self._call()
+        self.kept = {**(self.kept or {}), key: value}
+
+    def clear(self):
+        self._call()
+        self.kept = None
+
+
+class KeptHandle:
+    def getValueState(self, *_):
+        return KeptState()
+
+    getMapState = getValueState
+
+    def registerTimer(self, _):
+        KeptState.calls += 1
+
+
+def account_batches(devices, starts):
+    """Micro-batches of one account: rows of a second each, with devices and merchants by number."""
+    rng = random.Random(5)
+    out = []
+    for start in starts:
+        rows = []
+        for i in range(40):
+            row = {name: None for name in CARRIED.fieldNames()}
+            row |= {"kind": 0, "route": "good", "event_id": f"e{start}-{i}", "account_id": "a", "country": rng.choice("XY")}
+            row |= {"merchant_id": f"m{rng.randrange(9)}", "device_id": f"d{rng.randrange(devices)}", "latitude": 1.0 * i}
+            row |= {"longitude": 2.0, "arrived": 0, "us": (start + i) * 1_000_000, "seq": i, "micros": 10 + i, "failed": i % 2}
+            rows.append({**row, "risky": False, "repeat_of": -1, "payload": "{}"})
+        out.append(pd.DataFrame(rows))
+    return out
+
+
+def histories(batches, together, monkeypatch):
+    monkeypatch.setattr(processor, "SEEN_TOGETHER", together, raising=False)
+    step = processor.AccountHistory(FeatureWindows(), 1_000, 0, None)
+    step.init(KeptHandle())
+    found = [pd.concat(list(step.handleInputRows(("a",), iter([b.copy()]), None))) for b in batches]
+    return pd.concat(found, ignore_index=True), step
+
+
+def test_an_account_takes_few_calls_of_the_state(monkeypatch):
+    """However many devices and merchants its events have."""
+    KeptState.calls = 0
+    batches = account_batches(30, [0, 100, 200])
+    found, _ = histories(batches, 2_000, monkeypatch)
+    # An entry of the state for each device and merchant when it is new.
+    new = sum(len({x for b in batches for x in b[c]}) for c in ("device_id", "merchant_id"))
+    assert KeptState.calls <= new + 5 * len(batches)
+    seen = pd.concat(batches, ignore_index=True)
+    assert found["device_before"].tolist() == seen.groupby("device_id").cumcount().tolist()
+    assert found["merchant_before"].tolist() == seen.groupby("merchant_id").cumcount().tolist()
+    assert found["life_n"].tolist() == list(range(120))
+    assert found["life_sum"].tolist() == [str(x) for x in [0, *seen["micros"].cumsum().tolist()[:-1]]]
+    assert found["last_us"].tolist()[1:] == seen["us"].tolist()[:-1] and found["last_us"].isna()[0]
+    assert found["last_country"].tolist()[1:] == seen["country"].tolist()[:-1]
+
+
+def test_many_devices_of_an_account_lie_in_entries_of_their_own(monkeypatch):
+    """Also over a silence after which the account begins anew."""
+    batches = account_batches(25, [0, 100, 5_000, 5_100])
+    few, step = histories(batches, 3, monkeypatch)
+    many, _ = histories(batches, 2_000, monkeypatch)
+    pd.testing.assert_frame_equal(few, many)
+    seen = pd.concat(batches[2:], ignore_index=True)
+    assert few["device_before"].tolist()[80:] == seen.groupby("device_id").cumcount().tolist()
+    life = processor.Life.of(step.profile.get())
+    assert (life.known_devices, life.known_merchants) == (seen["device_id"].nunique(), seen["merchant_id"].nunique())
+    assert len(life.devices) == 3 and len(step.devices.kept) == life.known_devices
+
+
+def test_waiting_rows_share_entries_of_the_state():
+    rows = pd.concat(account_batches(5, [0, 100, 200]), ignore_index=True)
+    rows.loc[3, ["device_id", "latitude"]] = None
+    entries = processor.packed(rows)
+    assert len(entries) == 1
+    pd.testing.assert_frame_equal(processor.unpacked(iter(entries)), rows, check_dtype=False)
